@@ -48,7 +48,7 @@ def side_value_counts(long: DataFrame) -> DataFrame:
         F.count_if(is_synth()).alias("n_synth"))
 
 
-def running_totals(df: DataFrame, part: str, order: str, sums: list[str],
+def running_totals(df: DataFrame, part: str | list[str], order: str, sums: list[str],
                    buckets: int | None = None) -> DataFrame:
     """Add ``cum_<c>`` (inclusive prefix sum ordered by ``order``) and
     ``tot_<c>`` (group total) for each c in ``sums``, per ``part``.
@@ -60,30 +60,55 @@ def running_totals(df: DataFrame, part: str, order: str, sums: list[str],
     with the range offset. The bucket of a row is a pure function of its value,
     so a recomputed partition lands in the same bucket.
     """
+    parts = [part] if isinstance(part, str) else list(part)
     if buckets is None:
         sp = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
         buckets = max(1, sp // 4)
     if buckets <= 1:
-        w = Window.partitionBy(part).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        wt = Window.partitionBy(part)
+        w = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+        wt = Window.partitionBy(*parts)
         return df.select("*", *[F.sum(c).over(w).alias(f"cum_{c}") for c in sums],
                          *[F.sum(c).over(wt).alias(f"tot_{c}") for c in sums])
     probs = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(part).agg(
+    bounds = df.groupBy(*parts).agg(
         F.percentile_approx(order, probs, 10000).alias("_bounds"))
-    tagged = (df.join(F.broadcast(bounds), part)  # one row per group: bounded
+    tagged = (df.join(F.broadcast(bounds), parts)  # one row per group: bounded
                 .withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(order))))
                 .drop("_bounds"))
-    per_bucket = tagged.groupBy(part, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in sums])
-    wb = Window.partitionBy(part).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    wt = Window.partitionBy(part)
+    per_bucket = tagged.groupBy(*parts, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in sums])
+    wb = Window.partitionBy(*parts).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    wt = Window.partitionBy(*parts)
     offsets = per_bucket.select(
-        part, "_bucket",
+        *parts, "_bucket",
         *[F.coalesce(F.sum(f"_b_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in sums],
         *[F.sum(f"_b_{c}").over(wt).alias(f"tot_{c}") for c in sums])
-    w = (Window.partitionBy(part, "_bucket").orderBy(order)
+    w = (Window.partitionBy(*parts, "_bucket").orderBy(order)
          .rowsBetween(Window.unboundedPreceding, 0))
-    out = tagged.join(F.broadcast(offsets), [part, "_bucket"])  # groups x buckets rows
+    out = tagged.join(F.broadcast(offsets), [*parts, "_bucket"])  # groups x buckets rows
     return out.select(*df.columns,
                       *[(F.sum(c).over(w) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums],
                       *[F.col(f"tot_{c}") for c in sums])
+
+
+def exact_quantiles(long: DataFrame, probs: dict[str, float], group: list[str],
+                    buckets: int | None = None) -> DataFrame:
+    """Exact quantiles with linear interpolation (NumPy/pandas default).
+
+    Works from value counts and prefix sums, so no group's values are ever
+    held by one task: the value at 0-based rank r is the smallest value whose
+    inclusive running count exceeds r.
+    """
+    vc = long.groupBy(*group, "value").agg(F.count("*").alias("n"))
+    rt = running_totals(vc, group, "value", ["n"], buckets)
+    aggs = [F.max("tot_n").alias("n")]
+    for name, q in probs.items():
+        pos = (F.col("tot_n") - 1) * F.lit(float(q))
+        aggs.append(F.min(F.when(F.col("cum_n") > F.floor(pos), F.col("value"))).alias(f"_lo_{name}"))
+        aggs.append(F.min(F.when(F.col("cum_n") > F.ceil(pos), F.col("value"))).alias(f"_hi_{name}"))
+    a = rt.groupBy(*group).agg(*aggs)
+    outs = []
+    for name, q in probs.items():
+        pos = (F.col("n") - 1) * F.lit(float(q))
+        frac = pos - F.floor(pos)
+        outs.append((F.col(f"_lo_{name}") + frac * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))).alias(name))
+    return a.select(*group, F.col("n").cast("long").alias("n"), *outs)
