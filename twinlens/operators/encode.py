@@ -90,11 +90,11 @@ def one_hot_drop_first(twin: Twin) -> tuple[DataFrame, list[str]]:
     for c, lv in levels.items():
         arr = lv.agg(F.array_sort(F.collect_list("v")).alias(f"_lv_{c}"))
         df = df.crossJoin(F.broadcast(arr))
+    def indicator(c):
+        return lambda v: (F.col(c).cast("string") == v).cast("float")
     for c in twin.categorical:
         # level k (k >= 1 after dropping the first) -> indicator
-        exprs.append(F.transform(F.slice(F.col(f"_lv_{c}"), 2, 1_000_000),
-                                 lambda v, c=c: (F.col(c).cast("string") == v).cast("float"))
-                     .alias(f"_oh_{c}"))
+        exprs.append(F.transform(F.slice(F.col(f"_lv_{c}"), 2, 1_000_000), indicator(c)).alias(f"_oh_{c}"))
     nums = [F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)).cast("float").alias(c)
             for c in twin.numeric]
     out = df.select("src", "row_id", *exprs, *nums)
