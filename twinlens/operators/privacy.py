@@ -48,6 +48,8 @@ def knn(enc: DataFrame, feats: list[str], k: int = 2, grid_axes: int = 2,
     Returns (row_id, rank, distance) with rank 1..k.
     """
     axes = feats[:grid_axes]
+    # the encoded frame feeds several jobs below: materialise it once
+    enc = cut_lineage(enc)
     n_real = enc.where(is_real()).count()  # scalar for the grid resolution
     b = max(1, int(math.ceil((max(n_real, 1) / target_per_cell) ** (1.0 / max(len(axes), 1)))))
 
@@ -71,22 +73,23 @@ def knn(enc: DataFrame, feats: list[str], k: int = 2, grid_axes: int = 2,
         w = Window.partitionBy("s_id").orderBy("distance", "r_id")
         return d.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
 
-    # 1) widen a box of cells until every synthetic row has k candidates
+    # 1) widen a box of cells until every synthetic row has k candidates;
+    # each round materialises its per-row candidate summary once (a reliable
+    # checkpoint), so the search is not recomputed by the checks below
     radius, pending, found = 0, synth, None
     while True:
         r = radius
         cand = search(pending, lambda i, c, r=r: (
             F.greatest(cell(f"s_{c}") - r, F.lit(0)), F.least(cell(f"s_{c}") + r, F.lit(b - 1))))
-        kth = cand.groupBy("s_id").agg(F.count("*").alias("_n"), F.max("distance").alias("_bound"))
+        kth = cut_lineage(cand.groupBy("s_id").agg(F.count("*").alias("_n"), F.max("distance").alias("_bound")))
         done = kth.where(F.col("_n") >= k).select("s_id", "_bound")
         found = done if found is None else found.unionByName(done)
-        pending = pending.join(done, "s_id", "left_anti")
         if radius >= b:
             break
-        # the loop is driven by one scalar per round; cut the lineage it grows
-        found, pending = cut_lineage(found), cut_lineage(pending)
+        pending = pending.join(done, "s_id", "left_anti")
         if pending.limit(1).count() == 0:
             break
+        pending = cut_lineage(pending)
         radius = max(1, radius * 2)
     # 2) exact pass: every real row within the k-th candidate distance
     bounded = synth.join(found, "s_id")
