@@ -42,7 +42,7 @@ def _dist(feats: list[str]):
 
 
 def knn(enc: DataFrame, feats: list[str], k: int = 2, grid_axes: int = 2,
-        target_per_cell: int = 64) -> DataFrame:
+        target_per_cell: int = 64, with_ids: bool = False) -> DataFrame:
     """For each synthetic row, its k nearest real rows.
 
     Returns (row_id, rank, distance) with rank 1..k.
@@ -96,6 +96,8 @@ def knn(enc: DataFrame, feats: list[str], k: int = 2, grid_axes: int = 2,
     final = search(bounded, lambda i, c: (
         F.greatest(F.floor((F.col(f"s_{c}") - F.col("_bound")) * b), F.lit(0)).cast("int"),
         F.least(F.floor((F.col(f"s_{c}") + F.col("_bound")) * b), F.lit(b - 1)).cast("int")))
+    if with_ids:
+        return final.select(F.col("s_id").alias("row_id"), F.col("r_id").alias("neighbor_id"), "rank", "distance")
     return final.select(F.col("s_id").alias("row_id"), "rank", "distance")
 
 

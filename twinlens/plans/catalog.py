@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from . import q_assoc, q_distribution, q_grid, q_ops, q_privacy, q_profile, q_report, q_schema, q_scores  # noqa: F401
+from . import (q_assoc, q_distribution, q_grid, q_more, q_ops, q_privacy, q_profile, q_report,  # noqa: F401
+               q_schema, q_scores)
 from .registry import REGISTRY, oracle_text, spark_query
 
 
