@@ -105,3 +105,64 @@ def categorical_coercion(df: DataFrame, cols: list[str]) -> DataFrame:
     keep = [c for c in df.columns if c not in cols]
     return df.select(*keep, *[F.coalesce(F.nullif(F.col(c).cast("string"), F.lit("")), F.lit("NA")).alias(c)
                               for c in cols])
+
+
+# Verdict labels of the variable type table.
+TYPE_VERDICTS = ("No data", "Types match", "Missing column", "Numeric (int vs float)", "Type mismatch")
+NUMERIC_PREFIX = r"^\s*[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?"
+
+
+def parse_float_prefix(c: Column) -> Column:
+    """``parseFloat``-style: the leading numeric prefix, else null."""
+    m = F.regexp_extract(c, NUMERIC_PREFIX, 0)
+    return F.when(m != "", m.try_cast("double"))
+
+
+def sampled_types(long_str: DataFrame, limit: int = 400) -> DataFrame:
+    """P6f per (src, column): over the first ``limit`` non-missing values in
+    row order: categorical unless > 50 % parse; integer iff every parsed
+    value is whole, else float."""
+    from pyspark.sql import Window
+    v = long_str.where(F.col("value").isNotNull() & (F.col("value") != ""))
+    w = Window.partitionBy("src", "column_name").orderBy("row_id")
+    top = v.select("*", F.row_number().over(w).alias("_k")).where(F.col("_k") <= limit)
+    num = parse_float_prefix(F.col("value"))
+    a = top.groupBy("src", "column_name").agg(
+        F.count("*").alias("_n"), F.count(num).alias("_num"),
+        F.count_if(num.isNotNull() & (num == F.floor(num))).alias("_int"))
+    t = (F.when((F.col("_num") == 0) | (F.col("_num") / F.col("_n") <= 0.5), "categorical")
+          .when(F.col("_int") == F.col("_num"), "integer").otherwise("float"))
+    return a.select("src", "column_name", t.alias("type"))
+
+
+def type_match_table(long_str: DataFrame, names: DataFrame, limit: int = 400) -> DataFrame:
+    """(variable, real_type, synthetic_type, verdict) sorted by name;
+    ``names`` is the union of both sides' column names."""
+    t = sampled_types(long_str, limit)
+    r = t.where(F.col("src") == REAL).select("column_name", F.col("type").alias("_rt"))
+    s = t.where(F.col("src") == SYNTH).select("column_name", F.col("type").alias("_st"))
+    j = names.join(r, "column_name", "left").join(s, "column_name", "left")
+    rt, st = F.coalesce("_rt", F.lit("—")), F.coalesce("_st", F.lit("—"))
+    numeric = lambda c: c.isin("integer", "float")
+    verdict = (F.when((rt == "—") & (st == "—"), TYPE_VERDICTS[0]).when(rt == st, TYPE_VERDICTS[1])
+                .when((rt == "—") | (st == "—"), TYPE_VERDICTS[2])
+                .when(numeric(rt) & numeric(st), TYPE_VERDICTS[3]).otherwise(TYPE_VERDICTS[4]))
+    cap = lambda c: F.when(c == "—", c).otherwise(F.concat(F.upper(F.substring(c, 1, 1)), F.substring(c, 2, 100)))
+    return j.select(F.col("column_name").alias("variable"), cap(rt).alias("real_type"),
+                    cap(st).alias("synthetic_type"), verdict.alias("verdict")).orderBy("variable")
+
+
+def in_polygon(x: str, y: str, polygon: list[tuple[float, float]]) -> str:
+    """Even-odd ray casting as SQL text (same in both dialects): a point is
+    inside when an odd number of polygon edges cross the ray to its right."""
+    terms = []
+    n = len(polygon)
+    for i in range(n):
+        xi, yi = polygon[i]
+        xj, yj = polygon[(i + n - 1) % n]
+        if yi == yj:
+            continue
+        terms.append(f"(CASE WHEN (({yi!r}E0 > {y}) <> ({yj!r}E0 > {y})) AND "
+                     f"({x} < ({xj!r}E0 - {xi!r}E0) * ({y} - {yi!r}E0) / ({yj!r}E0 - {yi!r}E0) + {xi!r}E0) "
+                     f"THEN 1 ELSE 0 END)")
+    return f"((({' + '.join(terms) or '0'})) % 2 = 1)"

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from . import (q_assoc, q_distribution, q_grid, q_more, q_ops, q_privacy, q_profile, q_report,  # noqa: F401
-               q_schema, q_scores)
+from . import (q_assoc, q_distribution, q_extra, q_grid, q_more, q_ops, q_privacy, q_profile,  # noqa: F401
+               q_report, q_schema, q_scores)
 from .registry import REGISTRY, oracle_text, spark_query
 
 
