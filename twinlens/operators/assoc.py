@@ -105,10 +105,10 @@ def share_distances(long_cat: DataFrame, buckets: int | None = 1) -> DataFrame:
     distance walks the categories in sorted order.
     """
     vc = side_value_counts(long_cat)
-    w = Window.partitionBy("column_name")
-    sh = vc.select("column_name", "value",
-                   (F.col("n_real") / F.sum("n_real").over(w)).alias("p"),
-                   (F.col("n_synth") / F.sum("n_synth").over(w)).alias("q"))
+    tot = vc.groupBy("column_name").agg(F.sum("n_real").alias("_tr"), F.sum("n_synth").alias("_ts"))
+    sh = vc.join(F.broadcast(tot), "column_name").select(  # one row per column
+        "column_name", "value", (F.col("n_real") / F.col("_tr")).alias("p"),
+        (F.col("n_synth") / F.col("_ts")).alias("q"))
     sh = sh.select("*", (F.col("p") - F.col("q")).alias("_d"))
     rt = running_totals(sh, "column_name", "value", ["_d"], buckets)
     m = 0.5 * (F.col("p") + F.col("q"))

@@ -135,13 +135,16 @@ def mann_whitney_u(long_num: DataFrame, buckets: int | None = None) -> DataFrame
 
 
 def energy_distance_1d(long_num: DataFrame, buckets: int | None = None) -> DataFrame:
-    """T10 per column: E = sqrt(2 * integral (F - G)^2 dx), exact, from the
-    same prefix sums as KS (the gaps between consecutive distinct values)."""
+    """T10 per column: E = sqrt(2 * integral (F - G)^2 dx), exact.
+
+    With d_j = F(v_j) - G(v_j) over the sorted distinct values and d = 0 at the
+    last value, sum_j d_j^2 (v_{j+1} - v_j) = sum_j v_j (d_{j-1}^2 - d_j^2),
+    and d_{j-1} is the exclusive prefix of the same row. So no ``lead`` is
+    needed and the prefix sums stay two-level on a cluster."""
     cdf = _ecdf(long_num, buckets)
-    from pyspark.sql import Window
-    w = Window.partitionBy("column_name").orderBy("value")
-    gap = F.lead("value").over(w) - F.col("value")
-    diff = (F.col("cum_n_real") / F.col("tot_n_real") - F.col("cum_n_synth") / F.col("tot_n_synth"))
-    seg = cdf.select("column_name", (F.pow(diff, 2) * gap).alias("_a"))
+    fr, gs = F.col("tot_n_real"), F.col("tot_n_synth")
+    d = F.col("cum_n_real") / fr - F.col("cum_n_synth") / gs
+    d_prev = (F.col("cum_n_real") - F.col("n_real")) / fr - (F.col("cum_n_synth") - F.col("n_synth")) / gs
+    seg = cdf.select("column_name", (F.col("value") * (F.pow(d_prev, 2) - F.pow(d, 2))).alias("_a"))
     return seg.groupBy("column_name").agg(
-        F.sqrt(2.0 * F.coalesce(F.sum("_a"), F.lit(0.0))).alias("energy_distance"))
+        F.sqrt(2.0 * F.greatest(F.coalesce(F.sum("_a"), F.lit(0.0)), F.lit(0.0))).alias("energy_distance"))

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.testdata import Twin
-from .reshape import exact_quantiles, is_real
+from .reshape import exact_quantiles, is_real, running_totals
 
 
 def coerce_numeric_zero(df: DataFrame, cols: list[str]) -> DataFrame:
@@ -26,8 +26,10 @@ def first_appearance_codes(twin: Twin, col: str) -> DataFrame:
     real side (by row_id); one row per real category."""
     firsts = (twin.df.where(is_real() & F.col(col).isNotNull())
               .groupBy(F.col(col).cast("string").alias("value")).agg(F.min("row_id").alias("_first")))
-    w = Window.orderBy("_first")  # one row per category: small
-    return firsts.select("value", (F.row_number().over(w) - 1).alias("code"))
+    # rank by first row id from distributed prefix sums (no single-task sort)
+    one = firsts.select("value", "_first", F.lit(1).alias("_one"), F.lit(0).alias("_g"))
+    rt = running_totals(one, "_g", "_first", ["_one"])
+    return rt.select("value", (F.col("cum__one") - 1).cast("int").alias("code"))
 
 
 def encode_for_distance(twin: Twin) -> tuple[DataFrame, list[str]]:

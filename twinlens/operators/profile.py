@@ -34,27 +34,36 @@ def numeric_range(long_num: DataFrame) -> DataFrame:
                      F.abs(F.col("std_real") - F.col("std_synthetic")).alias("std_diff")))
 
 
+def _group_totals(vc, cols, key="column_name"):
+    """Per-group totals as a small frame (one row per group) for a broadcast
+    join, instead of an unordered window that puts a whole group in one task."""
+    return vc.groupBy(key).agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols])
+
+
 def categorical_range(long_cat: DataFrame, show: int = 10) -> DataFrame:
     """A2 (+J4, U2): distinct counts, new / missing categories, overlap ratio,
     and the first ``show`` values of each side in sorted order."""
     vc = side_value_counts(long_cat)
-    w_r = Window.partitionBy("column_name").orderBy(F.when(F.col("n_real") > 0, 0).otherwise(1), "value")
-    w_s = Window.partitionBy("column_name").orderBy(F.when(F.col("n_synth") > 0, 0).otherwise(1), "value")
-    ranked = vc.select("*", F.row_number().over(w_r).alias("_rr"), F.row_number().over(w_s).alias("_rs"))
     r, s = F.col("n_real") > 0, F.col("n_synth") > 0
-    a = ranked.groupBy("column_name").agg(
+    a = vc.groupBy("column_name").agg(
         F.count_if(r).alias("real_unique"), F.count_if(s).alias("synthetic_unique"),
         F.count_if(s & ~r).alias("new_categories"), F.count_if(r & ~s).alias("missing_categories"),
-        F.count_if(r & s).alias("_shared"),
-        F.array_join(F.array_sort(F.collect_list(F.when(r & (F.col("_rr") <= show), F.col("value")))), "|")
-         .alias("real_values"),
-        F.array_join(F.array_sort(F.collect_list(F.when(s & (F.col("_rs") <= show), F.col("value")))), "|")
-         .alias("synthetic_values"))
+        F.count_if(r & s).alias("_shared"))
+    w = Window.partitionBy("column_name").orderBy("value")
+
+    def first_values(side, name):
+        # row_number <= k is planned as a per-partition group limit before the shuffle
+        top = vc.where(side).select("column_name", "value", F.row_number().over(w).alias("_k")).where(
+            F.col("_k") <= show)
+        return top.groupBy("column_name").agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias(name))
+    a = (a.join(first_values(r, "real_values"), "column_name", "left")
+          .join(first_values(s, "synthetic_values"), "column_name", "left"))
     return a.select("column_name", "real_unique", "synthetic_unique", "new_categories",
                     "missing_categories",
                     F.when(F.col("real_unique") > 0, F.col("_shared") / F.col("real_unique"))
                      .otherwise(F.lit(0.0)).alias("overlap_ratio"),
-                    "real_values", "synthetic_values")
+                    F.coalesce("real_values", F.lit("")).alias("real_values"),
+                    F.coalesce("synthetic_values", F.lit("")).alias("synthetic_values"))
 
 
 def descriptive(long_num: DataFrame, population_std: bool = False) -> DataFrame:
@@ -120,12 +129,12 @@ def first_outliers(long_num: DataFrame, k: float = 1.5, limit: int = 5) -> DataF
 def category_shares(long_cat: DataFrame, digits: int = 2) -> DataFrame:
     """Aligned counts and percentages per category (0-filled)."""
     vc = side_value_counts(long_cat)
-    w = Window.partitionBy("column_name")
-    return vc.select(
+    j = vc.join(F.broadcast(_group_totals(vc, ["n_real", "n_synth"])), "column_name")  # one row per column
+    return j.select(
         "column_name", F.col("value").alias("category"),
         F.col("n_real").alias("real_count"), F.col("n_synth").alias("synthetic_count"),
-        F.round(F.col("n_real") * 100.0 / F.sum("n_real").over(w), digits).alias("real_pct"),
-        F.round(F.col("n_synth") * 100.0 / F.sum("n_synth").over(w), digits).alias("synthetic_pct"))
+        F.round(F.col("n_real") * 100.0 / F.col("_tot_n_real"), digits).alias("real_pct"),
+        F.round(F.col("n_synth") * 100.0 / F.col("_tot_n_synth"), digits).alias("synthetic_pct"))
 
 
 def histogram(long_num: DataFrame, max_bins: int = 30, fixed_bins: int | None = None) -> DataFrame:
@@ -164,11 +173,11 @@ def histogram(long_num: DataFrame, max_bins: int = 30, fixed_bins: int | None =
 def discrete_histogram(long_cat: DataFrame) -> DataFrame:
     """Counts and shares per value and side."""
     vc = side_value_counts(long_cat)
-    w = Window.partitionBy("column_name")
-    return vc.select("column_name", "value", F.col("n_real").alias("real_count"),
-                     F.col("n_synth").alias("synthetic_count"),
-                     (F.col("n_real") / F.sum("n_real").over(w)).alias("real_share"),
-                     (F.col("n_synth") / F.sum("n_synth").over(w)).alias("synthetic_share"))
+    j = vc.join(F.broadcast(_group_totals(vc, ["n_real", "n_synth"])), "column_name")  # one row per column
+    return j.select("column_name", "value", F.col("n_real").alias("real_count"),
+                    F.col("n_synth").alias("synthetic_count"),
+                    (F.col("n_real") / F.col("_tot_n_real")).alias("real_share"),
+                    (F.col("n_synth") / F.col("_tot_n_synth")).alias("synthetic_share"))
 
 
 def five_number(long_num: DataFrame) -> DataFrame:

@@ -126,10 +126,10 @@ def q_mwu(spark, sf_dir):
 
 def energy_sql(long_rel: str = LI_LONG) -> str:
     cdf = ecdf_sql(value_counts_sql(long_rel))
-    seg = ("SELECT column_name, pow(cum_n_real / tot_n_real - cum_n_synth / tot_n_synth, 2) * "
-           "(lead(value) OVER (PARTITION BY column_name ORDER BY value) - value) AS _a "
+    seg = ("SELECT column_name, value * (pow((cum_n_real - n_real) / tot_n_real - (cum_n_synth - n_synth) / tot_n_synth, 2) "
+           "- pow(cum_n_real / tot_n_real - cum_n_synth / tot_n_synth, 2)) AS _a "
            f"FROM ({cdf}) _c")
-    return (f"SELECT column_name, sqrt(2.0E0 * coalesce(sum(_a), 0.0E0)) AS energy_distance "
+    return (f"SELECT column_name, sqrt(2.0E0 * greatest(coalesce(sum(_a), 0.0E0), 0.0E0)) AS energy_distance "
             f"FROM ({seg}) _s GROUP BY column_name")
 
 
