@@ -166,3 +166,45 @@ def in_polygon(x: str, y: str, polygon: list[tuple[float, float]]) -> str:
                      f"({x} < ({xj!r}E0 - {xi!r}E0) * ({y} - {yi!r}E0) / ({yj!r}E0 - {yi!r}E0) + {xi!r}E0) "
                      f"THEN 1 ELSE 0 END)")
     return f"((({' + '.join(terms) or '0'})) % 2 = 1)"
+
+
+def type_presets(long_str: DataFrame) -> DataFrame:
+    """P6c / P6d / P6e / P6g / P6h side by side per (src, column).
+
+    P6c: numeric iff > 50 % of non-empty values in the first 100 rows parse;
+    P6d: >= 80 % among the first 200 non-empty; P6e: >= 90 % of all
+    non-missing (null when none); P6g: numeric / categorical / empty over the
+    first 500 non-missing (> 50 %); P6h: numeric iff every value parses.
+    "First n" is row order; each window filter is a per-partition group limit.
+    """
+    from pyspark.sql import Window
+    ok = F.col("value").isNotNull() & (F.trim(F.col("value")) != "")
+    parses = F.col("value").try_cast("double").isNotNull()
+    w = Window.partitionBy("src", "column_name").orderBy("row_id")
+
+    def share(limit: int | None, name: str):
+        v = long_str.where(ok)
+        if limit:
+            v = v.select("*", F.row_number().over(w).alias("_k")).where(F.col("_k") <= limit)
+        return v.groupBy("src", "column_name").agg(
+            F.count("*").alias(f"_n_{name}"), F.count_if(parses).alias(f"_p_{name}"))
+    rows100 = (long_str.select("*", F.row_number().over(w).alias("_k")).where(F.col("_k") <= 100)
+               .where(ok).groupBy("src", "column_name")
+               .agg(F.count("*").alias("_n_c"), F.count_if(parses).alias("_p_c")))
+    keys = long_str.select("src", "column_name").distinct()
+    j = keys
+    for part in (rows100, share(200, "d"), share(None, "e"), share(500, "g")):
+        j = j.join(part, ["src", "column_name"], "left")
+    allp = long_str.groupBy("src", "column_name").agg(
+        F.bool_and(F.col("value").isNull() | parses).alias("p6h_all_parse"))
+    j = j.join(allp, ["src", "column_name"], "left")
+    num = lambda cond: F.when(cond, "numeric").otherwise("categorical")
+    r = lambda n: F.coalesce(F.col(f"_p_{n}"), F.lit(0)) / F.col(f"_n_{n}")
+    return j.select(
+        "src", "column_name",
+        num(F.coalesce(r("c"), F.lit(0.0)) > 0.5).alias("p6c"),
+        num(F.coalesce(r("d"), F.lit(0.0)) >= 0.8).alias("p6d"),
+        F.when(F.coalesce(F.col("_n_e"), F.lit(0)) == 0, F.lit(None).cast("string")).otherwise(num(r("e") >= 0.9))
+         .alias("p6e"),
+        F.when(F.coalesce(F.col("_n_g"), F.lit(0)) == 0, F.lit("empty")).otherwise(num(r("g") > 0.5)).alias("p6g"),
+        "p6h_all_parse")

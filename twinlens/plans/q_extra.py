@@ -291,3 +291,90 @@ def q_j5(spark, sf_dir):
     pts = ranked(embedding_points(spark, sf_dir))
     orig = ranked(embedding_twin(spark, sf_dir, 2).df.select("src", "row_id", "label"))
     return pts.join(orig.select("src", "rank", "label"), ["src", "rank"]).select("src", "rank", "x", "y", "label")
+
+
+def _presets_sql() -> str:
+    L = f"SELECT * FROM ({_str_long_sql()}) _l"
+    ok = "value IS NOT NULL AND trim(value) <> ''"
+    parses = "TRY_CAST(value AS DOUBLE) IS NOT NULL"
+    rn = "row_number() OVER (PARTITION BY src, column_name ORDER BY row_id)"
+
+    def share(limit, name):
+        v = f"SELECT * FROM ({L}) _a WHERE {ok}"
+        if limit:
+            v = f"SELECT * FROM (SELECT *, {rn} AS _k FROM ({v}) _b) _c WHERE _k <= {limit}"
+        return (f"SELECT src, column_name, count(*) AS _n_{name}, count_if({parses}) AS _p_{name} "
+                f"FROM ({v}) _d GROUP BY src, column_name")
+    rows100 = (f"SELECT src, column_name, count(*) AS _n_c, count_if({parses}) AS _p_c FROM (SELECT *, {rn} AS _k "
+               f"FROM ({L}) _a) _b WHERE _k <= 100 AND {ok} GROUP BY src, column_name")
+    j = f"SELECT DISTINCT src, column_name FROM ({L}) _k"
+    for i, part in enumerate((rows100, share(200, "d"), share(None, "e"), share(500, "g"))):
+        j = f"SELECT * FROM ({j}) _j{i} LEFT JOIN ({part}) _p{i} USING (src, column_name)"
+    allp = (f"SELECT src, column_name, bool_and(value IS NULL OR {parses}) AS p6h_all_parse FROM ({L}) _h "
+            "GROUP BY src, column_name")
+    j = f"SELECT * FROM ({j}) _jj LEFT JOIN ({allp}) _hh USING (src, column_name)"
+    r = lambda n: f"(coalesce(_p_{n}, 0) / _n_{n})"
+    num = lambda c: f"CASE WHEN {c} THEN 'numeric' ELSE 'categorical' END"
+    return (f"SELECT src, column_name, {num(f'coalesce({r(chr(99))}, 0.0E0) > 0.5')} AS p6c, "
+            f"{num(f'coalesce({r(chr(100))}, 0.0E0) >= 0.8')} AS p6d, "
+            f"CASE WHEN coalesce(_n_e, 0) = 0 THEN NULL ELSE {num(r('e') + ' >= 0.9')} END AS p6e, "
+            f"CASE WHEN coalesce(_n_g, 0) = 0 THEN 'empty' ELSE {num(r('g') + ' > 0.5')} END AS p6g, "
+            f"p6h_all_parse FROM ({j}) _z")
+
+
+@register("p6_type_presets", sql=_presets_sql)
+def q_p6(spark, sf_dir):
+    long, _ = _str_long(spark, sf_dir)
+    return sc.type_presets(long)
+
+
+COMPLETED_POINTS_SQL = (
+    "SELECT CASE WHEN l_returnflag = 'R' THEN 'real' ELSE 'synthetic' END AS src, l_orderkey AS job_id, "
+    "l_quantity AS x, l_extendedprice AS y FROM lineitem WHERE l_orderkey IN "
+    "(SELECT o_orderkey FROM orders WHERE o_orderstatus = 'O')")
+
+
+def _completed_points(spark, sf_dir):
+    """Points of completed jobs only (left-semi join to the job table)."""
+    li = table(spark, sf_dir, "lineitem")
+    done = jobs(spark, sf_dir).where(F.col("status") == "completed").select("job_id")
+    pts = li.select(F.when(F.col("l_returnflag") == "R", "real").otherwise("synthetic").alias("src"),
+                    F.col("l_orderkey").alias("job_id"), F.col("l_quantity").alias("x"),
+                    F.col("l_extendedprice").alias("y"))
+    return pts.join(done, "job_id", "left_semi")
+
+
+@register("s7_completed_job_points", sql=(
+    f"SELECT job_id, count(*) AS n_points FROM ({COMPLETED_POINTS_SQL}) _p GROUP BY job_id"))
+def q_s7(spark, sf_dir):
+    return _completed_points(spark, sf_dir).groupBy("job_id").agg(F.count("*").alias("n_points"))
+
+
+@register("d1b_detect_from_jobs", dbl=("cell_proportion", "global_proportion", "proportion_diff", "p_value",
+                                       "p_value_adjusted"), sql=lambda: _d1b_sql())
+def q_d1b(spark, sf_dir):
+    from ..operators import grid as g
+    p = _completed_points(spark, sf_dir).select("src", F.col("job_id").alias("row_id"), "x", "y")
+    return g.detect_anomalies(p)
+
+
+def _d1b_sql() -> str:
+    from .q_grid import detect_sql
+    return detect_sql(f"SELECT src, job_id AS row_id, x, y FROM ({COMPLETED_POINTS_SQL}) _c")
+
+
+@register("p21_drop_missing_target", sql=(
+    "SELECT src, count(*) AS rows FROM (SELECT src, nullif(o_orderstatus, 'P') AS target FROM "
+    f"({ORDERS_SQL}) _o) _t WHERE target IS NOT NULL AND target <> '' GROUP BY src"))
+def q_p21(spark, sf_dir):
+    t = orders_twin(spark, sf_dir).df.select("src", F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("target"))
+    return t.where(F.col("target").isNotNull() & (F.col("target") != "")).groupBy("src").agg(F.count("*").alias("rows"))
+
+
+@register("k6_json_export_roundtrip", dbl=("x_sum",), sql=(
+    f"SELECT src, count(*) AS rows, sum(x) AS x_sum FROM ({EMB_POINTS_SQL}) _p GROUP BY src"))
+def q_k6(spark, sf_dir):
+    path = fl.scratch_path(spark, "points-json")
+    fl.write_json(embedding_points(spark, sf_dir), path, codec="gzip")
+    back = spark.read.json(path)
+    return back.groupBy("src").agg(F.count("*").alias("rows"), F.sum("x").alias("x_sum"))
