@@ -95,3 +95,17 @@ def test_share_distances_bounded(spark):
     v = assoc.cramers_v_labels(categorical_long(t)).collect()[0].cramers_v
     assert 0.0 <= v <= 1.0
     assert math.isclose(r.tvd, 0.5 * (3 * abs(1 / 3 - 1 / 4) + 1 / 4))
+
+
+def test_report_materialized_matches_lazy(spark):
+    from twinlens.plans.report import validation_report
+    from twinlens.sources.testdata import lineitem_twin
+
+    from .conftest import SF_SMALL
+    t = lineitem_twin(spark, SF_SMALL)
+    cols = ["test_type", "column_name", "statistic", "p_value", "final_result"]
+
+    def rows(df):
+        return sorted((tuple(None if v is None else (round(v, 9) if isinstance(v, float) else v) for v in r)
+                       for r in df.select(*cols).collect()), key=str)
+    assert rows(validation_report(t, materialize=True)) == rows(validation_report(t, materialize=False))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import chi2_pvalue, ks_pvalue, norm_sf, t_pvalue
 from .fdr import bh_adjust, fdr_result
-from .reshape import is_real, is_synth, running_totals, side_value_counts
+from .reshape import running_totals, side_moments, side_value_counts
 
 
 def _ecdf(long_num: DataFrame, buckets: int | None = None) -> DataFrame:
@@ -20,9 +20,16 @@ def _ecdf(long_num: DataFrame, buckets: int | None = None) -> DataFrame:
     return running_totals(vc, "column_name", "value", ["n_real", "n_synth"], buckets)
 
 
-def ks_statistic(long_num: DataFrame, buckets: int | None = None) -> DataFrame:
+def ecdf(long_num: DataFrame, buckets: int | None = None) -> DataFrame:
+    """The shared per-(column, value) relation: side counts and inclusive
+    prefix sums / totals. KS, energy, Mann-Whitney and exact side quantiles
+    all read it, so a report can materialise it once."""
+    return _ecdf(long_num, buckets)
+
+
+def ks_statistic(long_num: DataFrame, buckets: int | None = None, cdf: DataFrame | None = None) -> DataFrame:
     """(column_name, n_real, n_synthetic, statistic): sup |F_real - F_synth|."""
-    cdf = _ecdf(long_num, buckets)
+    cdf = cdf if cdf is not None else _ecdf(long_num, buckets)
     gap = F.abs(F.col("cum_n_real") / F.nullif(F.col("tot_n_real"), F.lit(0))
                 - F.col("cum_n_synth") / F.nullif(F.col("tot_n_synth"), F.lit(0)))
     return cdf.groupBy("column_name").agg(
@@ -32,10 +39,10 @@ def ks_statistic(long_num: DataFrame, buckets: int | None = None) -> DataFrame:
 
 
 def ks_test(long_num: DataFrame, min_n: int = 30, alpha: float = 0.05,
-            fdr: bool = True, buckets: int | None = None) -> DataFrame:
+            fdr: bool = True, buckets: int | None = None, cdf: DataFrame | None = None) -> DataFrame:
     """KS per numeric column, INSUFFICIENT_DATA below ``min_n`` per side,
     then BH across the ks family."""
-    st = ks_statistic(long_num, buckets)
+    st = ks_statistic(long_num, buckets, cdf)
     enough = (F.col("n_real") >= min_n) & (F.col("n_synthetic") >= min_n)
     out = st.select(
         "column_name", "n_real", "n_synthetic",
@@ -51,13 +58,13 @@ def ks_test(long_num: DataFrame, min_n: int = 30, alpha: float = 0.05,
     return adj.withColumn("final_result", fdr_result())
 
 
-def chi_square_test(long_cat: DataFrame, alpha: float = 0.05) -> DataFrame:
+def chi_square_test(long_cat: DataFrame, alpha: float = 0.05, vc: DataFrame | None = None) -> DataFrame:
     """Chi-square on the 2 x K table of side counts per category.
 
     Yates' correction applies when dof = 1 (K = 2), as SciPy's default does;
     K = 1 gives statistic 0 and p 1.
     """
-    vc = side_value_counts(long_cat)
+    vc = vc if vc is not None else side_value_counts(long_cat)
     tot = vc.groupBy("column_name").agg(
         F.sum("n_real").alias("R"), F.sum("n_synth").alias("S"), F.count("*").alias("K"))
     j = vc.join(tot, "column_name")  # one row per column on the right
@@ -85,14 +92,12 @@ def chi_square_test(long_cat: DataFrame, alpha: float = 0.05) -> DataFrame:
                       F.when(F.col("p_value") < alpha, "REJECT").otherwise("ACCEPT").alias("result"))
 
 
-def welch_t_test(long_num: DataFrame, min_n: int = 20, alpha: float = 0.05) -> DataFrame:
+def welch_t_test(long_num: DataFrame, min_n: int = 20, alpha: float = 0.05,
+                 moments: DataFrame | None = None) -> DataFrame:
     """Welch's t with sample variances and Welch-Satterthwaite dof."""
-    m = long_num.groupBy("column_name").agg(
-        F.count_if(is_real()).alias("n_real"), F.count_if(is_synth()).alias("n_synthetic"),
-        F.avg(F.when(is_real(), F.col("value"))).alias("mean_real"),
-        F.avg(F.when(is_synth(), F.col("value"))).alias("mean_synthetic"),
-        F.var_samp(F.when(is_real(), F.col("value"))).alias("_vr"),
-        F.var_samp(F.when(is_synth(), F.col("value"))).alias("_vs"))
+    m = (moments if moments is not None else side_moments(long_num)).select(
+        "column_name", "n_real", "n_synthetic", "mean_real", "mean_synthetic",
+        F.col("var_real").alias("_vr"), F.col("var_synthetic").alias("_vs"))
     se_r = F.col("_vr") / F.col("n_real")
     se_s = F.col("_vs") / F.col("n_synthetic")
     enough = (F.col("n_real") >= min_n) & (F.col("n_synthetic") >= min_n)
@@ -113,8 +118,10 @@ def mann_whitney_u(long_num: DataFrame, buckets: int | None = None) -> DataFrame
     """Two-sided Mann-Whitney U with tie-averaged ranks, tie-corrected
     normal approximation and continuity correction; ranks come from prefix
     sums over distinct values (no global sort of rows)."""
-    vc = side_value_counts(long_num).withColumn("n_all", F.col("n_real") + F.col("n_synth"))
-    rt = running_totals(vc, "column_name", "value", ["n_all"], buckets)
+    # same ECDF relation as KS / energy / quantiles, so plans can share it
+    rt = _ecdf(long_num, buckets).select(
+        "*", (F.col("n_real") + F.col("n_synth")).alias("n_all"),
+        (F.col("cum_n_real") + F.col("cum_n_synth")).alias("cum_n_all"))
     avg_rank = F.col("cum_n_all") - F.col("n_all") + (F.col("n_all") + 1) / 2.0
     agg = rt.groupBy("column_name").agg(
         F.sum(F.col("n_real") * avg_rank).alias("rank_sum_real"),
@@ -134,14 +141,15 @@ def mann_whitney_u(long_num: DataFrame, buckets: int | None = None) -> DataFrame
                     F.least(F.lit(1.0), 2.0 * norm_sf("z")).alias("p_value"))
 
 
-def energy_distance_1d(long_num: DataFrame, buckets: int | None = None) -> DataFrame:
+def energy_distance_1d(long_num: DataFrame, buckets: int | None = None,
+                       cdf: DataFrame | None = None) -> DataFrame:
     """T10 per column: E = sqrt(2 * integral (F - G)^2 dx), exact.
 
     With d_j = F(v_j) - G(v_j) over the sorted distinct values and d = 0 at the
     last value, sum_j d_j^2 (v_{j+1} - v_j) = sum_j v_j (d_{j-1}^2 - d_j^2),
     and d_{j-1} is the exclusive prefix of the same row. So no ``lead`` is
     needed and the prefix sums stay two-level on a cluster."""
-    cdf = _ecdf(long_num, buckets)
+    cdf = cdf if cdf is not None else _ecdf(long_num, buckets)
     fr, gs = F.col("tot_n_real"), F.col("tot_n_synth")
     d = F.col("cum_n_real") / fr - F.col("cum_n_synth") / gs
     d_prev = (F.col("cum_n_real") - F.col("n_real")) / fr - (F.col("cum_n_synth") - F.col("n_synth")) / gs

@@ -10,20 +10,19 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.testdata import REAL, SYNTH, Twin
-from .reshape import exact_quantiles, is_real, is_synth, side_value_counts
+from .reshape import exact_quantiles, is_real, is_synth, side_moments, side_quantiles, side_value_counts
 
 
 def _on(side_col, col):
     return F.when(side_col, F.col(col))
 
 
-def numeric_range(long_num: DataFrame) -> DataFrame:
+def numeric_range(long_num: DataFrame, moments: DataFrame | None = None) -> DataFrame:
     """A1: min, max, mean, sample std per side; rangeDiff, meanDiff, stdDiff."""
-    a = long_num.groupBy("column_name").agg(
-        F.count_if(is_real()).alias("n_real"), F.count_if(is_synth()).alias("n_synthetic"),
-        *[f(_on(s, "value")).alias(f"{n}_{lab}")
-          for s, lab in ((is_real(), "real"), (is_synth(), "synthetic"))
-          for f, n in ((F.min, "min"), (F.max, "max"), (F.avg, "mean"), (F.stddev_samp, "std"))])
+    a = (moments if moments is not None else side_moments(long_num)).select(
+        "column_name", "n_real", "n_synthetic",
+        *[F.col(f"{n}_{lab}") for lab in ("real", "synthetic") for n in ("min", "max", "mean")],
+        *[F.sqrt(F.col(f"var_{lab}")).alias(f"std_{lab}") for lab in ("real", "synthetic")])
     rr = F.col("max_real") - F.col("min_real")
     rs = F.col("max_synthetic") - F.col("min_synthetic")
     return (a.where((F.col("n_real") > 0) & (F.col("n_synthetic") > 0))
@@ -40,10 +39,10 @@ def _group_totals(vc, cols, key="column_name"):
     return vc.groupBy(key).agg(*[F.sum(c).alias(f"_tot_{c}") for c in cols])
 
 
-def categorical_range(long_cat: DataFrame, show: int = 10) -> DataFrame:
+def categorical_range(long_cat: DataFrame, show: int = 10, vc: DataFrame | None = None) -> DataFrame:
     """A2 (+J4, U2): distinct counts, new / missing categories, overlap ratio,
     and the first ``show`` values of each side in sorted order."""
-    vc = side_value_counts(long_cat)
+    vc = vc if vc is not None else side_value_counts(long_cat)
     r, s = F.col("n_real") > 0, F.col("n_synth") > 0
     a = vc.groupBy("column_name").agg(
         F.count_if(r).alias("real_unique"), F.count_if(s).alias("synthetic_unique"),
@@ -73,7 +72,7 @@ def descriptive(long_num: DataFrame, population_std: bool = False) -> DataFrame:
     m = long_num.groupBy("src", "column_name").agg(
         F.count("value").alias("count"), F.avg("value").alias("mean"), std("value").alias("std"),
         F.min("value").alias("min"), F.max("value").alias("max"))
-    med = exact_quantiles(long_num, {"median": 0.5}, ["src", "column_name"]).drop("n")
+    med = side_quantiles(long_num, {"median": 0.5}).drop("n")
     return m.join(med, ["src", "column_name"]).select(
         "src", "column_name", "count", "mean", "std", "min", "median", "max")
 
@@ -95,9 +94,9 @@ def completeness(twin: Twin, threshold: float = 0.95) -> DataFrame:
         "*", F.when(F.col("ratio") >= threshold, "ACCEPT").otherwise("REJECT").alias("result"))
 
 
-def iqr_outliers(long_num: DataFrame, k: float = 1.5, min_n: int = 4) -> DataFrame:
+def iqr_outliers(long_num: DataFrame, k: float = 1.5, min_n: int = 4, cdf: DataFrame | None = None) -> DataFrame:
     """Own-side IQR fences (linear quartiles), outlier count and percent."""
-    q = exact_quantiles(long_num, {"q1": 0.25, "q3": 0.75}, ["src", "column_name"])
+    q = side_quantiles(long_num, {"q1": 0.25, "q3": 0.75}, cdf=cdf)
     fences = q.select("src", "column_name", "n", "q1", "q3",
                       (F.col("q3") - F.col("q1")).alias("iqr"))
     fences = fences.select("*", (F.col("q1") - k * F.col("iqr")).alias("lower_fence"),
@@ -114,7 +113,7 @@ def iqr_outliers(long_num: DataFrame, k: float = 1.5, min_n: int = 4) -> DataFra
 
 def first_outliers(long_num: DataFrame, k: float = 1.5, limit: int = 5) -> DataFrame:
     """The first ``limit`` outliers per (side, column) in row order."""
-    q = exact_quantiles(long_num, {"q1": 0.25, "q3": 0.75}, ["src", "column_name"])
+    q = side_quantiles(long_num, {"q1": 0.25, "q3": 0.75})
     f = q.select("src", "column_name", (F.col("q1") - k * (F.col("q3") - F.col("q1"))).alias("lo"),
                  (F.col("q3") + k * (F.col("q3") - F.col("q1"))).alias("hi"))
     j = long_num.join(F.broadcast(f), ["src", "column_name"]).where(
@@ -182,8 +181,7 @@ def discrete_histogram(long_cat: DataFrame) -> DataFrame:
 
 def five_number(long_num: DataFrame) -> DataFrame:
     """Box summary (min, q1, median, q3, max) per side and column."""
-    return exact_quantiles(long_num, {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0},
-                           ["src", "column_name"])
+    return side_quantiles(long_num, {"min": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "max": 1.0})
 
 
 def side_totals(twin: Twin) -> DataFrame:

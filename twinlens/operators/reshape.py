@@ -114,3 +114,46 @@ def exact_quantiles(long: DataFrame, probs: dict[str, float], group: list[str],
         frac = pos - F.floor(pos)
         outs.append((F.col(f"_lo_{name}") + frac * (F.col(f"_hi_{name}") - F.col(f"_lo_{name}"))).alias(name))
     return a.select(*group, F.col("n").cast("long").alias("n"), *outs)
+
+
+def side_quantiles(long: DataFrame | None, probs: dict[str, float], buckets: int | None = None,
+                   cdf: DataFrame | None = None) -> DataFrame:
+    """Exact per-side quantiles (linear interpolation) from the *same* side
+    value counts and prefix sums the KS statistic uses (``cdf`` when it is
+    already materialised). Returns (src, column_name, n, <prob names>)."""
+    rt = cdf if cdf is not None else running_totals(side_value_counts(long), "column_name", "value",
+                                                    ["n_real", "n_synth"], buckets)
+    aggs = []
+    for side, cum, tot in (("r", "cum_n_real", "tot_n_real"), ("s", "cum_n_synth", "tot_n_synth")):
+        aggs.append(F.max(tot).alias(f"_n_{side}"))
+        for name, q in probs.items():
+            pos = (F.col(tot) - 1) * F.lit(float(q))
+            aggs.append(F.min(F.when(F.col(cum) > F.floor(pos), F.col("value"))).alias(f"_lo_{side}_{name}"))
+            aggs.append(F.min(F.when(F.col(cum) > F.ceil(pos), F.col("value"))).alias(f"_hi_{side}_{name}"))
+    a = rt.groupBy("column_name").agg(*aggs)
+    rows = []
+    for side, src in (("r", REAL), ("s", SYNTH)):
+        fields = [F.lit(src).alias("src"), F.col(f"_n_{side}").cast("long").alias("n")]
+        for name, q in probs.items():
+            pos = (F.col(f"_n_{side}") - 1) * F.lit(float(q))
+            frac = pos - F.floor(pos)
+            lo, hi = F.col(f"_lo_{side}_{name}"), F.col(f"_hi_{side}_{name}")
+            fields.append((lo + frac * (hi - lo)).alias(name))
+        rows.append(F.struct(*fields))
+    out = a.select("column_name", F.explode(F.array(*rows)).alias("t"))
+    return (out.select(F.col("t.src").alias("src"), "column_name", F.col("t.n").alias("n"),
+                       *[F.col(f"t.{k}").alias(k) for k in probs])
+               .where(F.col("n") > 0))
+
+
+def side_moments(long_num: DataFrame) -> DataFrame:
+    """Per column and side: n, min, max, mean, sample and population variance.
+    Range profiles, Welch's t and the score terms all select from this one
+    aggregate, so a plan that needs several of them shares one shuffle."""
+    aggs = []
+    for side, lab in ((is_real(), "real"), (is_synth(), "synthetic")):
+        v = F.when(side, F.col("value"))
+        aggs += [F.count_if(side).alias(f"n_{lab}"), F.min(v).alias(f"min_{lab}"), F.max(v).alias(f"max_{lab}"),
+                 F.avg(v).alias(f"mean_{lab}"), F.var_samp(v).alias(f"var_{lab}"),
+                 F.var_pop(v).alias(f"varpop_{lab}")]
+    return long_num.groupBy("column_name").agg(*aggs)

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..sources.testdata import REAL, SYNTH
 from . import assoc, correlation, dist_tests
-from .reshape import exact_quantiles, is_real, is_synth
+from .reshape import is_real, is_synth, side_moments, side_quantiles
 
 # Weights of the reference score definition.
 STRUCT_W = {"missing": 0.25, "extra": 0.20, "type": 0.25, "category": 0.15, "range": 0.15}
@@ -114,11 +114,10 @@ def univariate_terms(num_long: DataFrame | None, cat_long: DataFrame | None) ->
     if num_long is not None:
         long = num_long.withColumn("row_id", F.lit(0))
         ks = dist_tests.ks_statistic(long)
-        m = long.groupBy("column_name").agg(
-            F.avg(F.when(is_real(), F.col("value"))).alias("_mr"), F.avg(F.when(is_synth(), F.col("value"))).alias("_ms"),
-            F.stddev_pop(F.when(is_real(), F.col("value"))).alias("_sr"),
-            F.stddev_pop(F.when(is_synth(), F.col("value"))).alias("_ss"))
-        q = exact_quantiles(long, {"q1": 0.25, "median": 0.5, "q3": 0.75}, ["src", "column_name"])
+        m = side_moments(long).select(
+            "column_name", F.col("mean_real").alias("_mr"), F.col("mean_synthetic").alias("_ms"),
+            F.sqrt("varpop_real").alias("_sr"), F.sqrt("varpop_synthetic").alias("_ss"))
+        q = side_quantiles(long, {"q1": 0.25, "median": 0.5, "q3": 0.75})
         qr = q.where(is_real()).select("column_name", F.col("q1").alias("_q1"), F.col("q3").alias("_q3"),
                                        F.col("median").alias("_medr"))
         qs = q.where(is_synth()).select("column_name", F.col("median").alias("_meds"))
@@ -181,7 +180,7 @@ def column_differences(num_long: DataFrame, cat_long: DataFrame) -> DataFrame:
         *[f(F.when(side, F.col("value"))).alias(f"{n}_{lab}")
           for side, lab in ((is_real(), "r"), (is_synth(), "s"))
           for f, n in ((F.avg, "mean"), (F.stddev_pop, "std"), (F.min, "min"), (F.max, "max"))])
-    med = exact_quantiles(num_long, {"median": 0.5}, ["src", "column_name"])
+    med = side_quantiles(num_long, {"median": 0.5})
     md = med.groupBy("column_name").agg(F.max(F.when(is_real(), F.col("median"))).alias("median_r"),
                                         F.max(F.when(is_synth(), F.col("median"))).alias("median_s"))
     j = st.join(md, "column_name")

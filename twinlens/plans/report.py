@@ -35,31 +35,50 @@ def _row(df: DataFrame, category: str, test_type: str | Column, column: Column |
                      (result if result is not None else F.lit(None)).cast("string").alias("result"))
 
 
-def validation_report(twin: Twin, alpha: float = 0.05) -> DataFrame:
+def validation_report(twin: Twin, alpha: float = 0.05, materialize: bool | None = None) -> DataFrame:
+    """The seven categories as one long frame.
+
+    With ``materialize`` the three relations most tests read - the per-value
+    ECDF, per-column moments and categorical side counts - are computed once
+    and cut from the lineage with a reliable checkpoint (``spark.checkpoint.dir``),
+    so the raw data is scanned a handful of times instead of once per test.
+    By default this happens when Catalyst estimates the input above
+    ``MATERIALIZE_BYTES``; on small inputs the extra writes cost more than
+    the rescans they save.
+    """
+    from ..operators.reshape import side_moments, side_value_counts
+    from ..session import MATERIALIZE_BYTES, cut_lineage, estimated_bytes
+    if materialize is None:
+        materialize = estimated_bytes(twin.df) > MATERIALIZE_BYTES
     num = numeric_long(twin)
     cat = categorical_long(twin) if twin.categorical else None
+    cdf, mom = dt.ecdf(num), side_moments(num)
+    cvc = side_value_counts(cat) if cat is not None else None
+    if materialize:
+        cdf, mom = cut_lineage(cdf), cut_lineage(mom)
+        cvc = cut_lineage(cvc) if cvc is not None else None
     parts = []
-    rng = pr.numeric_range(num)
+    rng = pr.numeric_range(num, moments=mom)
     parts.append(_row(rng, "Range Validation", "range_test", F.col("column_name"), F.col("range_diff"), None, None))
     if cat is not None:
-        cr = pr.categorical_range(cat)
+        cr = pr.categorical_range(cat, vc=cvc)
         parts.append(_row(cr, "Range Validation", "categorical_range_test", F.col("column_name"),
                           F.col("overlap_ratio"), None, None))
-    ks = dt.ks_test(num, alpha=alpha, fdr=False)
+    ks = dt.ks_test(num, alpha=alpha, fdr=False, cdf=cdf)
     parts.append(_row(ks, "Distribution Tests", "ks_test", F.col("column_name"), F.col("statistic"),
                       F.col("p_value"), F.col("result")))
     if cat is not None:
-        ch = dt.chi_square_test(cat, alpha)
+        ch = dt.chi_square_test(cat, alpha, vc=cvc)
         parts.append(_row(ch, "Distribution Tests", "chi_square_test", F.col("column_name"), F.col("statistic"),
                           F.col("p_value"), F.col("result")))
     pairs = co.pearson_pairs(twin)
     cmp = co.compare_summary(pairs)
     parts.append(_row(cmp, "Correlation Validation", "correlation_comparison", None,
                       F.col("percentage_significant"), None, F.lit("SUCCESS")))
-    wt = dt.welch_t_test(num, alpha=alpha)
+    wt = dt.welch_t_test(num, alpha=alpha, moments=mom)
     parts.append(_row(wt, "Statistical Tests", "welch_t_test", F.col("column_name"), F.col("statistic"),
                       F.col("p_value"), F.col("result")))
-    ot = pr.iqr_outliers(num)
+    ot = pr.iqr_outliers(num, cdf=cdf)
     op = ot.groupBy("column_name").agg(
         F.max(F.when(F.col("src") == "real", F.col("outlier_percentage"))).alias("_r"),
         F.max(F.when(F.col("src") == "synthetic", F.col("outlier_percentage"))).alias("_s"))
@@ -72,7 +91,7 @@ def validation_report(twin: Twin, alpha: float = 0.05) -> DataFrame:
                       F.when(F.col("ratio") >= 0.95, "ACCEPT").otherwise("REJECT")))
     em = pv.exact_matches(twin.side("real"), twin.side("synthetic"), twin.columns)
     parts.append(_row(em, "Quality Metrics", "ExactMatchRate", None, F.col("rate"), None, F.col("result")))
-    en = dt.energy_distance_1d(num).agg(F.avg("energy_distance").alias("e"))
+    en = dt.energy_distance_1d(num, cdf=cdf).agg(F.avg("energy_distance").alias("e"))
     parts.append(_row(en, "Multivariate Tests", "energy_test", None, F.col("e"), None,
                       F.when(F.col("e") > 0.1, "REJECT").otherwise("ACCEPT")))
     pts = twin.df.select("src", "row_id", F.col(twin.numeric[0]).cast("double").alias("x"),
