@@ -208,3 +208,46 @@ def type_presets(long_str: DataFrame) -> DataFrame:
          .alias("p6e"),
         F.when(F.coalesce(F.col("_n_g"), F.lit(0)) == 0, F.lit("empty")).otherwise(num(r("g") > 0.5)).alias("p6g"),
         "p6h_all_parse")
+
+
+def normalize_headers(real_cols: list[str], synth_cols: list[str]) -> list[str]:
+    """P5: trimmed names, empties dropped, first duplicate wins, real's order
+    then synthetic-only names (planning-time work on the two schemas)."""
+    out: list[str] = []
+    for name in list(real_cols) + list(synth_cols):
+        key = name.strip() if isinstance(name, str) else name
+        if key and key not in out:
+            out.append(key)
+    return out
+
+
+def apply_header_normalization(df: DataFrame) -> DataFrame:
+    """P5 on one frame: trim names, drop empty and later duplicate names."""
+    seen, cols = set(), []
+    for i, name in enumerate(df.columns):
+        key = name.strip()
+        if key and key not in seen:
+            seen.add(key)
+            cols.append(F.col(f"`{name}`").alias(key))
+    return df.select(*cols)
+
+
+def numeric_rescue(real: DataFrame, synth: DataFrame, min_numeric: int = 2):
+    """When real has fewer than ``min_numeric`` numeric columns, convert
+    every real column with at least one parsable value (and the same column of
+    synthetic) to double. The decision is one aggregate row over real."""
+    from pyspark.sql.types import NumericType
+    numeric = [f.name for f in real.schema.fields if isinstance(f.dataType, NumericType)]
+    if len(numeric) >= min_numeric:
+        return real, synth, []
+    cand = [c for c in real.columns if c not in numeric]
+    if not cand:
+        return real, synth, []
+    row = real.agg(*[F.max(F.col(c).cast("string").try_cast("double").isNotNull().cast("int")).alias(c)
+                     for c in cand]).collect()[0]
+    rescue = [c for c in cand if row[c] == 1]
+
+    def conv(df):
+        return df.select(*[F.col(c).cast("string").try_cast("double").alias(c) if c in rescue else F.col(c)
+                           for c in df.columns])
+    return conv(real), conv(synth), rescue

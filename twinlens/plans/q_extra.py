@@ -378,3 +378,63 @@ def q_k6(spark, sf_dir):
     fl.write_json(embedding_points(spark, sf_dir), path, codec="gzip")
     back = spark.read.json(path)
     return back.groupBy("src").agg(F.count("*").alias("rows"), F.sum("x").alias("x_sum"))
+
+
+def _strings_cs(spark, sf_dir):
+    r = customer_real(spark, sf_dir)
+    s = supplier_synth(spark, sf_dir)
+    return (r.select(*[F.col(c).cast("string").alias(c) for c in r.columns]),
+            s.select(*[F.col(c).cast("string").alias(c) for c in s.columns]))
+
+
+@register("p8_numeric_rescue", sql=(
+    "SELECT column_name, bool_or(TRY_CAST(value AS DOUBLE) IS NOT NULL) AS rescued FROM ("
+    + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM ({CUSTOMER_SQL}) _c"
+                         for c in CUST) + ") _u GROUP BY column_name"))
+def q_p8(spark, sf_dir):
+    r, s = _strings_cs(spark, sf_dir)
+    _, _, rescued = sc.numeric_rescue(r, s)
+    names = spark.createDataFrame([(c, c in rescued) for c in r.columns], "column_name string, rescued boolean")
+    # the decision comes from one aggregate over the real rows (inside numeric_rescue)
+    return names
+
+
+def _summary_sql() -> str:
+    parts = []
+    for side, rel, cols in (("real", CUSTOMER_SQL, CUST), ("synthetic", SUPPLIER_SQL, SUPP)):
+        checks = " + ".join(f"CASE WHEN bool_and({c} IS NULL OR TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) IS NOT NULL) "
+                            f"THEN 1 ELSE 0 END" for c in cols)
+        parts.append(f"SELECT '{side}' AS src, count(*) AS rows, {len(cols)} AS columns, {checks} AS numeric_columns, "
+                     f"{len(cols)} - ({checks}) AS categorical_columns, 3 AS common_columns FROM ({rel}) _t")
+    return " UNION ALL ".join(parts)
+
+
+@register("a25_dataset_summary", sql=_summary_sql)
+def q_a25(spark, sf_dir):
+    """P6h (numeric iff every value parses) + A3 + P17 per side."""
+    out = None
+    r, s = customer_real(spark, sf_dir), supplier_synth(spark, sf_dir)
+    common = len([c for c in r.columns if c in s.columns])
+    for side, df in (("real", r), ("synthetic", s)):
+        a = df.agg(F.count("*").alias("rows"), *[
+            F.bool_and(F.col(c).isNull() | F.col(c).cast("string").try_cast("double").isNotNull()).alias(c)
+            for c in df.columns])
+        nnum = sum(F.col(c).cast("int") for c in df.columns)
+        part = a.select(F.lit(side).alias("src"), "rows", F.lit(len(df.columns)).alias("columns"),
+                        nnum.alias("numeric_columns"), (F.lit(len(df.columns)) - nnum).alias("categorical_columns"),
+                        F.lit(common).alias("common_columns"))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+@register("k9_encoded_csv_roundtrip", dbl=("o_totalprice",), sql=(
+    f"SELECT count(*) AS rows, sum(CAST(CAST(CAST(o_totalprice AS FLOAT) AS VARCHAR) AS DOUBLE)) AS o_totalprice "
+    f"FROM ({ORDERS_SQL}) _o"))
+def q_k9(spark, sf_dir):
+    from ..operators import encode as en
+    enc, _ = en.one_hot_drop_first(orders_twin(spark, sf_dir))
+    flat = enc.select(*[F.col("features")[i].alias(f"f{i}") for i in range(7)])
+    path = fl.scratch_path(spark, "encoded-csv")
+    flat.write.mode("overwrite").option("header", True).csv(path)
+    back = spark.read.csv(path, header=True, inferSchema=False)
+    return back.agg(F.count("*").alias("rows"), F.sum(F.col("f6").cast("double")).alias("o_totalprice"))
