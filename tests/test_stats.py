@@ -109,3 +109,38 @@ def test_report_materialized_matches_lazy(spark):
         return sorted((tuple(None if v is None else (round(v, 9) if isinstance(v, float) else v) for v in r)
                        for r in df.select(*cols).collect()), key=str)
     assert rows(validation_report(t, materialize=True)) == rows(validation_report(t, materialize=False))
+
+
+def test_grid_empty_side_is_an_error(spark):
+    pts = spark.createDataFrame([("real", i, float(i), float(i)) for i in range(20)],
+                                "src string, row_id long, x double, y double")
+    with pytest.raises(ValueError):
+        grid.detect_anomalies(pts)
+
+
+def test_two_points_succeed(spark):
+    pts = spark.createDataFrame([("real", 0, 0.0, 0.0), ("synthetic", 1, 1.0, 1.0)],
+                                "src string, row_id long, x double, y double")
+    assert grid.detect_anomalies(pts).count() == 0  # no cell reaches 5 points
+
+
+def test_knn_matches_brute_force_with_categories(spark):
+    # F8-like person table: age, income numeric; education, gender categorical
+    from twinlens.operators import encode, privacy
+    rng = random.Random(42)
+    edu = ["HS", "BSc", "MSc", "PhD"]
+    rows = []
+    for i in range(300):
+        src = "real" if i % 2 == 0 else "synthetic"
+        rows.append((src, i, rng.gauss(40, 10), rng.gauss(50000, 15000), rng.choice(edu), rng.choice("MF")))
+    df = spark.createDataFrame(rows, "src string, row_id long, age double, income double, education string, gender string")
+    twin = Twin(df, ["age", "income"], ["education", "gender"])
+    enc, feats = encode.encode_for_distance(twin)
+    got = {(r.row_id, r.rank): r.distance for r in privacy.knn(enc, feats, k=2, target_per_cell=4).collect()}
+    pts = [(r.src, r.row_id, [r[f] for f in feats]) for r in enc.collect()]
+    real = [p for p in pts if p[0] == "real"]
+    for s_src, sid, sv in pts:
+        if s_src != "synthetic":
+            continue
+        d = sorted(math.dist(sv, rv) for _, _, rv in real)[:2]
+        assert got[(sid, 1)] == pytest.approx(d[0]) and got[(sid, 2)] == pytest.approx(d[1])

@@ -108,9 +108,19 @@ def binomial_cells(counts: DataFrame, min_points: int = 5) -> DataFrame:
                     "test_type")
 
 
+def require_both_sides(points: DataFrame) -> None:
+    """An empty side is an error (as in the reference); one tiny aggregate."""
+    sides = {r["src"] for r in points.select("src").distinct().limit(2).collect()}
+    missing = {"real", "synthetic"} - sides
+    if missing:
+        raise ValueError(f"no {' / '.join(sorted(missing))} points")
+
+
 def detect_anomalies(points: DataFrame, x_bins: int = 20, y_bins: int = 20,
-                     fdr_alpha: float = 0.05, min_points: int = 5) -> DataFrame:
+                     fdr_alpha: float = 0.05, min_points: int = 5, check_sides: bool = True) -> DataFrame:
     """Edges -> counts -> binomial tests -> BH per family -> colours."""
+    if check_sides:
+        require_both_sides(points)
     bounds = grid_bounds(points, x_bins, y_bins)
     tests = binomial_cells(cell_counts(assign_cells(points, bounds)), min_points)
     adj = bh_adjust(tests, "p_value", ["test_type"], fdr_alpha, min_tests=1,
