@@ -438,3 +438,121 @@ def q_k9(spark, sf_dir):
     flat.write.mode("overwrite").option("header", True).csv(path)
     back = spark.read.csv(path, header=True, inferSchema=False)
     return back.agg(F.count("*").alias("rows"), F.sum(F.col("f6").cast("double")).alias("o_totalprice"))
+
+
+@register("s8_job_bundle", dbl=("stored_totalprice",), sql=(
+    f"SELECT j.job_id, j.status, r.n_points, o.o_totalprice AS stored_totalprice FROM ({JOBS_SQL}) j "
+    "LEFT JOIN (SELECT l_orderkey AS job_id, count(*) AS n_points FROM lineitem GROUP BY l_orderkey) r USING (job_id) "
+    "LEFT JOIN orders o ON o.o_orderkey = j.job_id"))
+def q_s8(spark, sf_dir):
+    """Job metadata + stored result size + stored original row, by left joins."""
+    j = jobs(spark, sf_dir).select("job_id", "status")
+    r = table(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("job_id")).agg(F.count("*").alias("n_points"))
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("job_id"),
+                                              F.col("o_totalprice").alias("stored_totalprice"))
+    return j.join(r, "job_id", "left").join(o, "job_id", "left")
+
+
+LI_PAIR_SQL = ("SELECT CASE WHEN l_returnflag = 'R' THEN 'real' ELSE 'synthetic' END AS src, "
+               "{'l_orderkey': l_orderkey, 'l_linenumber': l_linenumber, 'l_partkey': l_partkey, 'l_suppkey': l_suppkey} "
+               "AS row_id, '{c}' AS column_name, CAST({c} AS DOUBLE) AS value FROM lineitem")
+PAIR_COLS = ["l_quantity", "l_linenumber", "l_discount", "l_tax"]
+
+
+def _pair_long(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    w = li.select(F.when(F.col("l_returnflag") == "R", "real").otherwise("synthetic").alias("src"),
+                  F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
+                  *[F.col(c).cast("double").alias(c) for c in PAIR_COLS])
+    return w.unpivot(["src", "row_id"], PAIR_COLS, "column_name", "value")
+
+
+def _p7b_sql(k: int = 7) -> str:
+    u = " UNION ALL ".join(LI_PAIR_SQL.replace("{c}", c) for c in PAIR_COLS)
+    top = (f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src, column_name ORDER BY row_id) AS _k "
+           f"FROM ({u}) _u WHERE value IS NOT NULL) _t WHERE _k <= 400")
+    a = (f"SELECT src, column_name, count(*) AS n, count(DISTINCT value) AS distinct_values, "
+         f"avg(CASE WHEN abs(value - round(value)) < 1e-6 THEN 1.0E0 ELSE 0.0E0 END) AS integer_share "
+         f"FROM ({top}) _t GROUP BY src, column_name")
+    return (f"SELECT *, integer_share >= 0.9 AND distinct_values <= {k} AND distinct_values / n <= 0.35 AND n >= 3 "
+            f"AS is_discrete, distinct_values <= 10 AND integer_share = 1.0 AS low_cardinality, "
+            f"distinct_values = 2 AS is_binary FROM ({a}) _a")
+
+
+@register("p7b_p7c_pair_plot_discreteness", dbl=("integer_share",), sql=_p7b_sql)
+def q_p7b(spark, sf_dir):
+    """>= 90 % integer-like (1e-6), <= 7 distinct, distinct / count <= 0.35,
+    count >= 3 over the first 400 rows; P7c: <= 10 distinct whole values is
+    categorical, 2 distinct is binary."""
+    from pyspark.sql import Window
+    long = _pair_long(spark, sf_dir).where(F.col("value").isNotNull())
+    w = Window.partitionBy("src", "column_name").orderBy("row_id")
+    top = long.select("*", F.row_number().over(w).alias("_k")).where(F.col("_k") <= 400)
+    a = top.groupBy("src", "column_name").agg(
+        F.count("*").alias("n"), F.count_distinct("value").alias("distinct_values"),
+        F.avg(F.when(F.abs(F.col("value") - F.round("value")) < 1e-6, 1.0).otherwise(0.0)).alias("integer_share"))
+    return a.select("*", ((F.col("integer_share") >= 0.9) & (F.col("distinct_values") <= 7)
+                          & (F.col("distinct_values") / F.col("n") <= 0.35) & (F.col("n") >= 3)).alias("is_discrete"),
+                    ((F.col("distinct_values") <= 10) & (F.col("integer_share") == 1.0)).alias("low_cardinality"),
+                    (F.col("distinct_values") == 2).alias("is_binary"))
+
+
+SPECIAL_SQL = ("SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 7 = 0 THEN CAST('Infinity' AS DOUBLE) "
+               "WHEN o_orderkey % 7 = 1 THEN CAST('-Infinity' AS DOUBLE) WHEN o_orderkey % 7 = 2 THEN CAST('NaN' AS DOUBLE) "
+               "ELSE o_totalprice END AS v FROM orders")
+
+
+@register("p22_special_value_text", sql=(
+    "SELECT row_id, CASE WHEN isnan(v) THEN 'NaN' WHEN v = CAST('Infinity' AS DOUBLE) THEN 'Infinity' "
+    "WHEN v = CAST('-Infinity' AS DOUBLE) THEN '-Infinity' ELSE CAST(v AS VARCHAR) END AS text "
+    f"FROM ({SPECIAL_SQL}) _s"))
+def q_p22(spark, sf_dir):
+    """+/-inf and NaN spelled Infinity / -Infinity / NaN for serialisation
+    (special values injected in the query: the tables have none)."""
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey") % 7
+    v = (F.when(k == 0, F.lit(float("inf"))).when(k == 1, F.lit(float("-inf")))
+          .when(k == 2, F.lit(float("nan"))).otherwise(F.col("o_totalprice")))
+    d = o.select(F.col("o_orderkey").alias("row_id"), v.alias("v"))
+    text = (F.when(F.isnan("v"), "NaN").when(F.col("v") == float("inf"), "Infinity")
+             .when(F.col("v") == float("-inf"), "-Infinity").otherwise(F.col("v").cast("string")))
+    return d.select("row_id", text.alias("text"))
+
+
+@register("j10_cell_drilldown", dbl=("x", "y"), sql=lambda: _j10_sql())
+def q_j10(spark, sf_dir):
+    """The original rows of one grid cell, by row id (a coordinate match
+    would be ambiguous for duplicated points)."""
+    from ..operators import grid as g
+    p = embedding_points(spark, sf_dir)
+    cells = g.assign_cells(p, g.grid_bounds(p))
+    return cells.where((F.col("cell_x") == 10) & (F.col("cell_y") == 10)).select("src", "row_id", "x", "y")
+
+
+def _j10_sql() -> str:
+    from .q_grid import cells_sql
+    return f"SELECT src, row_id, x, y FROM ({cells_sql(EMB_POINTS_SQL)}) _c WHERE cell_x = 10 AND cell_y = 10"
+
+
+@register("t33b_correlation_only", dbl=("statistic", "p_value", "p_value_corrected"), sql=lambda: (
+    f"SELECT * FROM ({_report_sql()}) _r WHERE category = 'Correlation Validation'"))
+def q_t33b(spark, sf_dir):
+    from .report import validation_report
+    return validation_report(lineitem_twin(spark, sf_dir)).where(F.col("category") == "Correlation Validation")
+
+
+def _report_sql():
+    from .q_report import report_sql
+    return report_sql()
+
+
+@register("p25b_string_hash_seed", sql=(
+    "SELECT page_id, list_reduce(list_transform(string_split(url, ''), lambda ch: CAST(ascii(ch) AS BIGINT)), "
+    "lambda acc, c: (acc * 31 + c) % 4294967296, CAST(0 AS BIGINT)) AS seed FROM pages"))
+def q_p25b(spark, sf_dir):
+    """P25 (plot seed): 31-multiplier string hash mod 2^32, as a fold over the
+    characters of each value."""
+    p = table(spark, sf_dir, "pages")
+    seed = F.expr("aggregate(transform(split(url, ''), ch -> CAST(ascii(ch) AS BIGINT)), CAST(0 AS BIGINT), "
+                  "(acc, c) -> (acc * 31 + c) % 4294967296)")
+    return p.select("page_id", seed.alias("seed"))
