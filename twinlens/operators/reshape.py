@@ -62,10 +62,10 @@ def running_totals(df: DataFrame, part: str | list[str], order: str, sums: list[
     """
     parts = [part] if isinstance(part, str) else list(part)
     if buckets is None:
-        # one value range per 64 shuffle partitions: a single window on a
-        # laptop, hundreds of ranges per group on a cluster-sized setting
+        # one value range per 64 shuffle partitions from 128 partitions up: a
+        # single window on a laptop, hundreds of ranges per group on a cluster
         sp = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-        buckets = max(1, sp // 64)
+        buckets = sp // 64 if sp >= 128 else 1
     if buckets <= 1:
         w = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
         wt = Window.partitionBy(*parts)
