@@ -144,3 +144,24 @@ def test_knn_matches_brute_force_with_categories(spark):
             continue
         d = sorted(math.dist(sv, rv) for _, _, rv in real)[:2]
         assert got[(sid, 1)] == pytest.approx(d[0]) and got[(sid, 2)] == pytest.approx(d[1])
+
+
+def test_knn_with_a_hot_duplicate_cluster(spark):
+    # a third of all rows are one repeated point: still exact
+    from twinlens.operators import privacy
+    rng = random.Random(3)
+    rows = []
+    for i in range(240):
+        src = "real" if i % 2 == 0 else "synthetic"
+        if i % 3 == 0:
+            rows.append((src, i, 0.5, 0.5, 0.5))
+        else:
+            rows.append((src, i, rng.random(), rng.random(), rng.random()))
+    enc = spark.createDataFrame(rows, "src string, row_id long, a double, b double, c double")
+    got = {(r.row_id, r.rank): r.distance for r in privacy.knn(enc, ["a", "b", "c"], k=2, target_per_cell=8).collect()}
+    real = [(r[2], r[3], r[4]) for r in rows if r[0] == "real"]
+    for r in rows:
+        if r[0] != "synthetic":
+            continue
+        d = sorted(math.dist((r[2], r[3], r[4]), p) for p in real)[:2]
+        assert got[(r[1], 1)] == pytest.approx(d[0]) and got[(r[1], 2)] == pytest.approx(d[1])

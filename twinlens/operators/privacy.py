@@ -4,7 +4,8 @@ Exact match rate is a null-safe left-semi join against the *distinct* real
 rows, so a hot duplicated real row is one build row, not a fan-out.
 
 Nearest neighbours (k = 2, Euclidean) are exact without comparing all pairs:
-real rows are bucketed into a grid over the first two (scaled) features; a
+real rows are bucketed into an equal-frequency grid over the first two
+features (edges from approximate real-side quantiles); a
 synthetic row first searches a box of cells around its own cell, widening the
 box only for rows that still lack k candidates; the k-th candidate distance
 then bounds the true k-th neighbour distance, so a final pass over the cells
@@ -52,15 +53,27 @@ def knn(enc: DataFrame, feats: list[str], k: int = 2, grid_axes: int = 2,
     enc = cut_lineage(enc)
     n_real = enc.where(is_real()).count()  # scalar for the grid resolution
     b = max(1, int(math.ceil((max(n_real, 1) / target_per_cell) ** (1.0 / max(len(axes), 1)))))
+    # equal-frequency cell edges per axis from the real side (one small row),
+    # so dense regions get narrow cells; a cell index is the number of edges
+    # below the value, which is monotone, so box searches stay exact
+    probs = [i / b for i in range(1, b)] or [0.5]
+    edges = cut_lineage(enc.where(is_real()).agg(
+        *[F.percentile_approx(c, probs, 10000).alias(f"_e{i}") for i, c in enumerate(axes)]))
+    if b == 1:
+        edges = edges.select(*[F.array().cast("array<double>").alias(f"_e{i}") for i in range(len(axes))])
+
+    def idx(i, v):
+        return F.size(F.filter(F.col(f"_e{i}"), lambda e: e < v)).cast("int")
 
     def cell(c):
-        return F.least(F.greatest(F.floor(F.col(c) * b), F.lit(0)), F.lit(b - 1)).cast("int")
+        return idx(axes.index(c.replace("s_", "", 1)) if c.startswith("s_") else axes.index(c), F.col(c))
 
-    real = enc.where(is_real()).select(F.col("row_id").alias("r_id"),
-                                       *[F.col(c).alias(f"r_{c}") for c in feats],
-                                       *[cell(c).alias(f"_rc{i}") for i, c in enumerate(axes)])
-    synth = enc.where(is_synth()).select(F.col("row_id").alias("s_id"),
-                                         *[F.col(c).alias(f"s_{c}") for c in feats])
+    real = (enc.where(is_real()).crossJoin(F.broadcast(edges))
+            .select(F.col("row_id").alias("r_id"), *[F.col(c).alias(f"r_{c}") for c in feats],
+                    *[idx(i, F.col(c)).alias(f"_rc{i}") for i, c in enumerate(axes)]))
+    synth = (enc.where(is_synth()).crossJoin(F.broadcast(edges))
+             .select(F.col("row_id").alias("s_id"), *[F.col(c).alias(f"s_{c}") for c in feats],
+                     *[F.col(f"_e{i}") for i in range(len(axes))]))
 
     def search(pts: DataFrame, lo_hi) -> DataFrame:
         """Candidates of pts within the given per-axis cell ranges."""
@@ -68,6 +81,7 @@ def knn(enc: DataFrame, feats: list[str], k: int = 2, grid_axes: int = 2,
         for i, c in enumerate(axes):
             lo, hi = lo_hi(i, c)
             ex = ex.withColumn(f"_rc{i}", F.explode(F.sequence(lo, hi)))
+        ex = ex.drop(*[f"_e{i}" for i in range(len(axes))])
         j = ex.join(real, [f"_rc{i}" for i in range(len(axes))])
         d = j.select("s_id", "r_id", _dist(feats).alias("distance"))
         w = Window.partitionBy("s_id").orderBy("distance", "r_id")
@@ -93,9 +107,8 @@ def knn(enc: DataFrame, feats: list[str], k: int = 2, grid_axes: int = 2,
         radius = max(1, radius * 2)
     # 2) exact pass: every real row within the k-th candidate distance
     bounded = synth.join(found, "s_id")
-    final = search(bounded, lambda i, c: (
-        F.greatest(F.floor((F.col(f"s_{c}") - F.col("_bound")) * b), F.lit(0)).cast("int"),
-        F.least(F.floor((F.col(f"s_{c}") + F.col("_bound")) * b), F.lit(b - 1)).cast("int")))
+    final = search(bounded, lambda i, c: (idx(i, F.col(f"s_{c}") - F.col("_bound")),
+                                          idx(i, F.col(f"s_{c}") + F.col("_bound"))))
     if with_ids:
         return final.select(F.col("s_id").alias("row_id"), F.col("r_id").alias("neighbor_id"), "rank", "distance")
     return final.select(F.col("s_id").alias("row_id"), "rank", "distance")
