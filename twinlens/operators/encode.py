@@ -29,7 +29,7 @@ def first_appearance_codes(twin: Twin, col: str) -> DataFrame:
     # rank by first row id from distributed prefix sums (no single-task sort)
     one = firsts.select("value", "_first", F.lit(1).alias("_one"), F.lit(0).alias("_g"))
     rt = running_totals(one, "_g", "_first", ["_one"])
-    return rt.select("value", (F.col("cum__one") - 1).cast("int").alias("code"))
+    return rt.select("value", (F.col("cum__one") - 1).cast("long").alias("code"))
 
 
 def encode_for_distance(twin: Twin) -> tuple[DataFrame, list[str]]:

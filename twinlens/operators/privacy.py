@@ -109,9 +109,10 @@ def knn(enc: DataFrame, feats: list[str], k: int = 2, grid_axes: int = 2,
     bounded = synth.join(found, "s_id")
     final = search(bounded, lambda i, c: (idx(i, F.col(f"s_{c}") - F.col("_bound")),
                                           idx(i, F.col(f"s_{c}") + F.col("_bound"))))
+    rank = F.col("rank").cast("long").alias("rank")
     if with_ids:
-        return final.select(F.col("s_id").alias("row_id"), F.col("r_id").alias("neighbor_id"), "rank", "distance")
-    return final.select(F.col("s_id").alias("row_id"), "rank", "distance")
+        return final.select(F.col("s_id").alias("row_id"), F.col("r_id").alias("neighbor_id"), rank, "distance")
+    return final.select(F.col("s_id").alias("row_id"), rank, "distance")
 
 
 def nndr(neigh: DataFrame, eps: float = 1e-12) -> DataFrame:

@@ -122,7 +122,7 @@ def first_outliers(long_num: DataFrame, k: float = 1.5, limit: int = 5) -> DataF
     # row_number <= k becomes a per-partition group limit before the shuffle
     return (j.select("src", "column_name", "row_id", "value", F.row_number().over(w).alias("ordinal"))
              .where(F.col("ordinal") <= limit)
-             .select("src", "column_name", "ordinal", "value"))
+             .select("src", "column_name", F.col("ordinal").cast("long").alias("ordinal"), "value"))
 
 
 def category_shares(long_cat: DataFrame, digits: int = 2) -> DataFrame:

@@ -287,7 +287,7 @@ def q_j5(spark, sf_dir):
     def ranked(df):
         one = df.select("*", F.lit(1).alias("_one"))
         rt = running_totals(one, "src", "row_id", ["_one"])
-        return rt.select(*df.columns, F.col("cum__one").cast("int").alias("rank"))
+        return rt.select(*df.columns, F.col("cum__one").cast("long").alias("rank"))
     pts = ranked(embedding_points(spark, sf_dir))
     orig = ranked(embedding_twin(spark, sf_dir, 2).df.select("src", "row_id", "label"))
     return pts.join(orig.select("src", "rank", "label"), ["src", "rank"]).select("src", "rank", "x", "y", "label")

@@ -46,11 +46,34 @@ def spark_query(name: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
+def _bigint_counts(sql: str) -> str:
+    """Wrap every count_if(...) in CAST(... AS BIGINT): DuckDB returns HUGEINT
+    for it, Spark bigint."""
+    out, i, key = [], 0, "count_if("
+    while True:
+        j = sql.find(key, i)
+        if j < 0:
+            out.append(sql[i:])
+            return "".join(out)
+        depth, k = 0, j + len(key) - 1
+        while True:
+            if sql[k] == "(":
+                depth += 1
+            elif sql[k] == ")":
+                depth -= 1
+                if depth == 0:
+                    break
+            k += 1
+        inner = _bigint_counts(sql[j + len(key):k])
+        out.append(sql[i:j] + f"CAST(count_if({inner}) AS BIGINT)")
+        i = k + 1
+
+
 def oracle_text(name: str) -> str | None:
     e = REGISTRY[name]
     if e.sql is None:
         return None
-    text = e.sql() if callable(e.sql) else e.sql
+    text = _bigint_counts(e.sql() if callable(e.sql) else e.sql)
     if not e.dbl:
         return text
     repl = ", ".join(f"{sig(f'CAST({c} AS DOUBLE)')} AS {c}" for c in e.dbl)

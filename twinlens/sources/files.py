@@ -94,7 +94,7 @@ def preview(df: DataFrame, n: int = 5) -> DataFrame:
     w = Window.partitionBy("src").orderBy("row_id")
     tot = df.groupBy("src").agg(F.count("*").alias("side_rows"))
     head = df.select("*", F.row_number().over(w).alias("ordinal")).where(F.col("ordinal") <= n)
-    return head.join(F.broadcast(tot), "src")  # two rows
+    return head.withColumn("ordinal", F.col("ordinal").cast("long")).join(F.broadcast(tot), "src")  # two rows
 
 
 def export_points_csv(points: DataFrame, path: str, dims: list[str], headers: list[str] | None = None) -> str:
