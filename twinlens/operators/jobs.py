@@ -13,6 +13,12 @@ from pyspark.sql import functions as F
 TERMINAL = ("completed", "failed")
 
 
+def _ts(text: str):
+    """A wall-clock timestamp literal (NTZ), so filters do not depend on the
+    session time zone."""
+    return F.lit(text).cast("timestamp_ntz")
+
+
 def display_status(col: str = "status"):
     """L2: completed / failed kept, anything else shown as running."""
     return F.when(F.col(col).isin(*TERMINAL), F.col(col)).otherwise(F.lit("running"))
@@ -28,9 +34,9 @@ def job_page(jobs: DataFrame, status: str | None = None, method: str | None = No
     if method:
         f = f.where(F.col("method") == method)
     if date_from:
-        f = f.where(F.col("created_at") >= F.to_timestamp(F.lit(date_from)))
+        f = f.where(F.col("created_at") >= _ts(date_from))
     if date_to:
-        f = f.where(F.col("created_at") <= F.to_timestamp(F.lit(date_to)))
+        f = f.where(F.col("created_at") <= _ts(date_to))
     if favorites_only:
         f = f.where("is_favorite")
     total = f.agg(F.count("*").alias("total"))
@@ -58,7 +64,7 @@ def job_count(jobs: DataFrame, status: str | None = None, date_from: str | None
     if status:
         f = f.where(F.col("status") == status)
     if date_from:
-        f = f.where(F.col("created_at") >= F.to_timestamp(F.lit(date_from)))
+        f = f.where(F.col("created_at") >= _ts(date_from))
     return f.agg(F.count("*").alias("count"))
 
 

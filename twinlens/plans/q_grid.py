@@ -213,3 +213,34 @@ def q_t7(spark, sf_dir):
     "AND NOT isnan(real_r) AND NOT isnan(synthetic_r)"))
 def q_t22(spark, sf_dir):
     return co.bivariate_score(co.pearson_pairs(lineitem_twin(spark, sf_dir)))
+
+
+LI_NULLS = ("SELECT src, row_id, l_quantity, l_extendedprice, nullif(l_discount, 0.0E0) AS l_discount, "
+            f"nullif(l_tax, 0.0E0) AS l_tax FROM ({LINEITEM_SQL}) _li")
+
+
+def strict_pairs_sql() -> str:
+    parts = []
+    for a, b in combinations(LI_NUMERIC, 2):
+        ok = lambda side: (f"count_if(src = '{side}' AND ({a} IS NULL OR isnan({a}))) + "
+                           f"count_if(src = '{side}' AND ({b} IS NULL OR isnan({b}))) = 0")
+        parts.append(
+            f"SELECT '{a}' AS col_i, '{b}' AS col_j, CASE WHEN {ok('real')} THEN "
+            f"corr(CASE WHEN src = 'real' THEN {a} END, CASE WHEN src = 'real' THEN {b} END) END AS real_r, "
+            f"CASE WHEN {ok('synthetic')} THEN corr(CASE WHEN src = 'synthetic' THEN {a} END, "
+            f"CASE WHEN src = 'synthetic' THEN {b} END) END AS synthetic_r FROM ({LI_NULLS}) _t")
+    return " UNION ALL ".join(parts)
+
+
+@register("t5_pearson_strict", sql=strict_pairs_sql, dbl=("real_r", "synthetic_r"))
+def q_t5s(spark, sf_dir):
+    """T5 strict: a column with any missing value poisons its coefficients
+    (missing values injected in the query: zero discount / tax)."""
+    from pyspark.sql import functions as F
+
+    from ..sources.testdata import Twin
+    t = lineitem_twin(spark, sf_dir)
+    df = t.df.select("src", "row_id", "l_quantity", "l_extendedprice",
+                     F.nullif(F.col("l_discount"), F.lit(0.0)).alias("l_discount"),
+                     F.nullif(F.col("l_tax"), F.lit(0.0)).alias("l_tax"))
+    return co.pearson_pairs(Twin(df, t.numeric, []), strict=True)
