@@ -165,3 +165,18 @@ def test_knn_with_a_hot_duplicate_cluster(spark):
             continue
         d = sorted(math.dist((r[2], r[3], r[4]), p) for p in real)[:2]
         assert got[(r[1], 1)] == pytest.approx(d[0]) and got[(r[1], 2)] == pytest.approx(d[1])
+
+
+def test_wide_correlation_matches_pairwise(spark):
+    from twinlens.operators import correlation
+    rng = random.Random(5)
+    cols = [f"c{i}" for i in range(45)]
+    rows = [("real" if i % 2 else "synthetic", i, *[rng.gauss(0, 1) + (k % 3) * 0.1 * i / 100 for k in range(45)])
+            for i in range(200)]
+    df = spark.createDataFrame(rows, "src string, row_id long, " + ", ".join(f"{c} double" for c in cols))
+    twin = Twin(df, cols, [])
+    wide = {(r.col_i, r.col_j): (r.real_r, r.synthetic_r) for r in correlation.pearson_pairs(twin).collect()}
+    narrow = {(r.col_i, r.col_j): (r.real_r, r.synthetic_r)
+              for r in correlation.pearson_pairs(Twin(df, cols[:6], []), cols[:6]).collect()}
+    for k, v in narrow.items():
+        assert wide[k][0] == pytest.approx(v[0]) and wide[k][1] == pytest.approx(v[1])

@@ -16,14 +16,21 @@ from ..sources.testdata import Twin
 from .reshape import is_real, is_synth
 
 
+WIDE = 40
+
+
 def pearson_pairs(twin: Twin, cols: list[str] | None = None, strict: bool = False) -> DataFrame:
     """(col_i, col_j, real_r, synthetic_r) for i < j in catalogue order.
 
     Pairwise-complete by default (rows with a null in either column are
     skipped); ``strict`` makes a column with any missing value yield null,
-    like a NumPy matrix with NaN in it.
+    like a NumPy matrix with NaN in it. Above ``WIDE`` columns the p(p-1)
+    ``corr`` expressions would strain code generation, so the matrix comes
+    from one d x d Gram aggregation per side instead (``wide_pearson_pairs``).
     """
     cols = cols or twin.numeric
+    if len(cols) > WIDE:
+        return wide_pearson_pairs(twin, cols)
     pairs = list(combinations(cols, 2))
     aggs = []
     for k, (a, b) in enumerate(pairs):
@@ -74,3 +81,21 @@ def bivariate_score(pairs: DataFrame) -> DataFrame:
         ~F.isnan("real_r") & ~F.isnan("synthetic_r")
     return pairs.where(ok).agg(F.count("*").alias("pairs"),
                                F.avg(F.abs(F.col("real_r") - F.col("synthetic_r"))).alias("bivariate_distance"))
+
+
+def wide_pearson_pairs(twin: Twin, cols: list[str]) -> DataFrame:
+    """Pearson matrix of many columns per side from Spark ML's distributed
+    Gram-matrix correlation (treeAggregate of d x d partial sums; rows with a
+    missing value in any column are left out: complete cases)."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation
+    spark = twin.df.sparkSession
+    out = None
+    for side, lab in ((is_real(), "real_r"), (is_synth(), "synthetic_r")):
+        d = twin.df.where(side).select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
+        vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(d).select("_v")
+        m = Correlation.corr(vec, "_v").head()[0].toArray()  # d x d: bounded by the schema
+        rows = [(cols[i], cols[j], float(m[i][j])) for i in range(len(cols)) for j in range(i + 1, len(cols))]
+        part = spark.createDataFrame(rows, f"col_i string, col_j string, {lab} double")
+        out = part if out is None else out.join(part, ["col_i", "col_j"])
+    return out
