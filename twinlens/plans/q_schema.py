@@ -147,12 +147,10 @@ def _onehot_sql() -> str:
     "o_orderstatus_1", "o_orderstatus_2", "o_totalprice"))
 def q_p10(spark, sf_dir):
     enc, _ = en.one_hot_drop_first(orders_twin(spark, sf_dir))
-    a, b = "_oh_o_orderpriority", "_oh_o_orderstatus"
     out = enc.select("src", "row_id", "features")
     cols = [F.col("features")[i].alias(f"o_orderpriority_{i + 1}") for i in range(4)] + \
            [F.col("features")[4 + i].alias(f"o_orderstatus_{i + 1}") for i in range(2)] + \
            [F.col("features")[6].cast("double").alias("o_totalprice")]
-    del a, b
     return out.select("src", "row_id", *cols)
 
 
