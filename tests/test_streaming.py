@@ -49,3 +49,29 @@ def test_batch_twins_run(spark):
     assert st.call_metrics_agg(calls).count() > 0
     assert st.counters_agg(calls).count() > 0
     assert st.latest_status_agg(calls).count() > 0
+
+
+def test_terminal_status_stream_matches_batch(spark):
+    from twinlens.sources.testdata import table
+    from twinlens.streaming import jobstatus as js
+    ev = js.status_events(table(spark, SF_SMALL, "events")).select(
+        "job_id", "status", F.col("ts").cast("timestamp").alias("ts"))
+    src = tempfile.mkdtemp(prefix="tl-js-src-", dir="/tmp")
+    ck = tempfile.mkdtemp(prefix="tl-js-ck-", dir="/tmp")
+    cut = F.lit("2024-01-15").cast("timestamp")
+    ev.where(F.col("ts") < cut).coalesce(1).write.parquet(f"{src}/part=0")
+    stream = spark.readStream.schema(ev.schema).option("maxFilesPerTrigger", 1).parquet(f"{src}/part=*")
+    q = (js.latest_status_stream(stream).writeStream.outputMode("update").format("memory")
+         .queryName("tl_jobstatus").option("checkpointLocation", ck).start())
+    try:
+        q.processAllAvailable()
+        ev.where(F.col("ts") >= cut).coalesce(1).write.parquet(f"{src}/part=1")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {}
+    for r in spark.sql("SELECT * FROM tl_jobstatus").collect():
+        if r.job_id not in got or r.last_update >= got[r.job_id][1]:
+            got[r.job_id] = (r.status, r.last_update)
+    want = {r.job_id: r.status for r in js.latest_status_batch(ev).collect()}
+    assert {k: v[0] for k, v in got.items()} == want

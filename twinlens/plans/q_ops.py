@@ -157,3 +157,13 @@ def q_w5(spark, sf_dir):
     f"SELECT status_code, endpoint AS action, count(*) AS requests FROM ({CALL_LOG_SQL}) _c GROUP BY 1, 2"))
 def q_w7(spark, sf_dir):
     return st.status_action_agg(call_log(spark, sf_dir))
+
+
+@register("w6b_terminal_status", sql=(
+    "SELECT job_id, coalesce(arg_min(status, ts) FILTER (WHERE status IN ('completed', 'failed')), "
+    "arg_max(status, ts)) AS status, max(ts) AS last_update FROM (SELECT user_id AS job_id, CASE "
+    "WHEN event_type = 'purchase' THEN 'completed' WHEN event_type = 'error' THEN 'failed' ELSE 'running' END "
+    "AS status, ts FROM events) _e GROUP BY job_id"))
+def q_w6b(spark, sf_dir):
+    from ..streaming import jobstatus as js
+    return js.latest_status_batch(js.status_events(table(spark, sf_dir, "events")))
