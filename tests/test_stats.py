@@ -180,3 +180,24 @@ def test_wide_correlation_matches_pairwise(spark):
               for r in correlation.pearson_pairs(Twin(df, cols[:6], []), cols[:6]).collect()}
     for k, v in narrow.items():
         assert wide[k][0] == pytest.approx(v[0]) and wide[k][1] == pytest.approx(v[1])
+
+
+def test_results_unchanged_under_repartitioning(spark):
+    # SURVEY 5(c): partitioning must not change any statistic or sample
+    from twinlens.operators import profile, sample
+    from twinlens.sources.testdata import lineitem_twin
+
+    from .conftest import SF_SMALL
+    t = lineitem_twin(spark, SF_SMALL)
+
+    def stats(df):
+        tw = Twin(df, t.numeric, t.categorical)
+        long = numeric_long(tw)
+        ks = sorted((r.column_name, round(r.statistic, 12)) for r in dist_tests.ks_statistic(long).collect())
+        q = sorted((r.src, r.column_name, round(r.q1, 9), round(r.q3, 9))
+                   for r in profile.iqr_outliers(long).collect())
+        s = sorted((r.src, str(r.row_id)) for r in sample.sample_per_side(df, 25).select("src", "row_id").collect())
+        return ks, q, s
+    base = stats(t.df)
+    assert stats(t.df.repartition(7)) == base
+    assert stats(t.df.repartition(1)) == base
