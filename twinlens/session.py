@@ -39,22 +39,27 @@ def get_session(master: str | None = None, shuffle_partitions: int = 8,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return spark.checkpoint.dir; set a scratch one only when it is unset.
+    """Return the checkpoint folder; set a scratch one only when none is set.
 
-    On a cluster this setting names a shared folder and is left untouched.
+    On a cluster ``spark.checkpoint.dir`` names a shared folder and is left
+    untouched; the local fallback is for tests and single-machine runs.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir() if hasattr(
-            spark.sparkContext, "getCheckpointDir") else None
+    sc = None
+    try:
+        sc = spark.sparkContext
+        current = current or sc.getCheckpointDir()
+    except Exception:  # pragma: no cover - sessions without a context
+        sc = None
     if not current:
         current = tempfile.mkdtemp(prefix="twinlens-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
-    try:
-        if not spark.sparkContext.getCheckpointDir():
-            spark.sparkContext.setCheckpointDir(current)
-    except Exception:  # pragma: no cover - connect sessions have no context
-        pass
+    if sc is not None:
+        try:
+            if not sc.getCheckpointDir():
+                sc.setCheckpointDir(current)
+        except Exception:  # pragma: no cover
+            pass
     return current
 
 
