@@ -81,6 +81,7 @@ def _mixed(spark, sf_dir):
 
 @register("t15_mixed_matrix", sql=mixed_sql, dbl=("value",))
 def q_t15(spark, sf_dir):
+    """Mixed association matrix per side: Pearson, Cramer's V or eta by column-type pair; diagonal 1."""
     return _mixed(spark, sf_dir)
 
 

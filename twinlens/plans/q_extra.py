@@ -82,6 +82,7 @@ def q_j9(spark, sf_dir):
     f"SELECT src, o_orderpriority, o_orderstatus, count(*) AS count FROM ({ORDERS_SQL}) _o "
     "GROUP BY src, o_orderpriority, o_orderstatus"))
 def q_a16(spark, sf_dir):
+    """Contingency table of two categorical columns per side."""
     return orders_twin(spark, sf_dir).df.groupBy("src", "o_orderpriority", "o_orderstatus").agg(F.count("*").alias("count"))
 
 
@@ -93,6 +94,7 @@ PART_SIDES = ("SELECT CASE WHEN p_partkey % 2 = 0 THEN 'real' ELSE 'synthetic' E
     "SELECT src, p_type, count(*) AS n, quantile_cont(value, 0.25) AS q1, quantile_cont(value, 0.5) AS median, "
     f"quantile_cont(value, 0.75) AS q3, min(value) AS min, max(value) AS max FROM ({PART_SIDES}) _p GROUP BY src, p_type"))
 def q_a17(spark, sf_dir):
+    """Values grouped by category per side: count, exact quartiles, min, max."""
     p = table(spark, sf_dir, "part").select(
         F.when(F.col("p_partkey") % 2 == 0, "real").otherwise("synthetic").alias("src"), "p_type",
         F.col("p_retailprice").cast("double").alias("value"))
@@ -104,6 +106,7 @@ def q_a17(spark, sf_dir):
 @register("a18_scatter_extents", dbl=("x_min", "x_max", "y_min", "y_max"), sql=(
     f"SELECT min(x) AS x_min, max(x) AS x_max, min(y) AS y_min, max(y) AS y_max, count(*) AS points FROM ({EMB_POINTS_SQL}) _p"))
 def q_a18(spark, sf_dir):
+    """Shared x / y extents of the scatter points."""
     p = embedding_points(spark, sf_dir)
     return p.agg(F.min("x").alias("x_min"), F.max("x").alias("x_max"), F.min("y").alias("y_min"),
                   F.max("y").alias("y_max"), F.count("*").alias("points"))
@@ -117,6 +120,7 @@ def q_a18(spark, sf_dir):
                          for c in ("l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_linestatus"))
     + ") _u GROUP BY src, column_name) _c GROUP BY src"))
 def q_a22(spark, sf_dir):
+    """Variables per side: total, numeric, categorical, with any value."""
     t = lineitem_twin(spark, sf_dir)
     long = t.df.select("src", *[F.col(c).cast("string").alias(c) for c in t.columns]).unpivot(
         ["src"], t.columns, "column_name", "value")
@@ -139,6 +143,7 @@ CUST_TYPES = ["bigint", "string", "int", "double", "string"]
 
 @register("a24_dataset_fingerprint", sql=lambda: _fp_sql(CUSTOMER_SQL, CUST, CUST_TYPES, "custkey"))
 def q_a24(spark, sf_dir):
+    """Dataset fingerprint: md5 over shape, names, types and the first 100 rows (8 hex, upper case)."""
     df = customer_real(spark, sf_dir)
     types = [f.dataType.simpleString() for f in df.schema.fields]
     # the first 100 rows by key: a bounded top-k, then one small row
@@ -159,6 +164,7 @@ def q_a24(spark, sf_dir):
     "SELECT CAST(json_extract_string(parameters, '$.n_real') AS BIGINT) AS size, avg(runtime) AS m "
     f"FROM ({JOBS_SQL}) _j WHERE status = 'completed' GROUP BY 1) _g"))
 def q_a29(spark, sf_dir):
+    """Runtime model: mean runtime per input size, log-linear fit, predictions."""
     j = jobs(spark, sf_dir).where(F.col("status") == "completed")
     g = j.groupBy(F.get_json_object("parameters", "$.n_real").cast("long").alias("size")).agg(F.avg("runtime").alias("m"))
     a = g.agg(F.regr_slope(F.ln("m"), "size").alias("slope"), F.regr_intercept(F.ln("m"), "size").alias("intercept"),
@@ -194,6 +200,7 @@ def q_p15(spark, sf_dir):
     "AS result FROM (SELECT substr(column_name, 3) AS c, data_type FROM information_schema.columns WHERE table_name = 'customer') r "
     "JOIN (SELECT substr(column_name, 3) AS c, data_type FROM information_schema.columns WHERE table_name = 'supplier') s USING (c)"))
 def q_p19(spark, sf_dir):
+    """Declared-type comparison of shared columns and the consistency ratio."""
     r, s = customer_real(spark, sf_dir), supplier_synth(spark, sf_dir)
     rt = {f.name: f.dataType.simpleString() for f in r.schema.fields}
     st = {f.name: f.dataType.simpleString() for f in s.schema.fields}
@@ -212,6 +219,7 @@ def q_p19(spark, sf_dir):
     f"FROM ({diffs_sql()}) _k WHERE metric = 'ks') b WHERE d.metric = 'ks' AND (d.value IS NULL OR "
     "(d.value >= b.lo - 1e-6 AND d.value <= b.lo + (b.hi - b.lo) / 2 + 1e-6))"))
 def q_p23(spark, sf_dir):
+    """Columns whose chosen metric lies in a [lo - 1e-6, hi + 1e-6] range."""
     d = _diffs(spark, sf_dir).where(F.col("metric") == "ks")
     b = d.agg(F.min("value").alias("lo"), F.max("value").alias("hi"))
     j = d.crossJoin(b)
@@ -229,6 +237,7 @@ def _name_sql() -> str:
 
 @register("p24_display_names", sql=_name_sql)
 def q_p24(spark, sf_dir):
+    """Display names: last path segment, extension stripped, 17 chars + '...', '_' / '-' as spaces."""
     p = table(spark, sf_dir, "pages")
     base = F.regexp_replace(F.regexp_extract("url", r"[^/?#]*([?#].*)?$", 0), r"[?#].*$", "")
     stem = F.regexp_replace(base, r"\.[^.]*$", "")
@@ -240,6 +249,7 @@ def q_p24(spark, sf_dir):
     "SELECT job_id, CAST(('0x' || right(sha256(parameters), 8))::UBIGINT AS BIGINT) AS seed FROM "
     f"({JOBS_SQL}) _j"))
 def q_p25(spark, sf_dir):
+    """P25: deterministic seed = sha256(text) mod 2^32."""
     j = jobs(spark, sf_dir)
     return j.select("job_id", F.conv(F.substring(F.sha2("parameters", 256), 57, 8), 16, 10).cast("long").alias("seed"))
 
@@ -264,6 +274,7 @@ def q_m7(spark, sf_dir):
 @register("u4_category_union", sql=(
     f"SELECT DISTINCT o_orderpriority AS category FROM ({ORDERS_SQL}) _o"))
 def q_u4(spark, sf_dir):
+    """U4: distinct union of the categories of both sides."""
     t = orders_twin(spark, sf_dir)
     return (t.side("real").select(F.col("o_orderpriority").alias("category"))
              .union(t.side("synthetic").select(F.col("o_orderpriority").alias("category"))).distinct())
@@ -347,12 +358,14 @@ def _completed_points(spark, sf_dir):
 @register("s7_completed_job_points", sql=(
     f"SELECT job_id, count(*) AS n_points FROM ({COMPLETED_POINTS_SQL}) _p GROUP BY job_id"))
 def q_s7(spark, sf_dir):
+    """Stored points of completed jobs (left-semi join to the job table)."""
     return _completed_points(spark, sf_dir).groupBy("job_id").agg(F.count("*").alias("n_points"))
 
 
 @register("d1b_detect_from_jobs", dbl=("cell_proportion", "global_proportion", "proportion_diff", "p_value",
                                        "p_value_adjusted"), sql=lambda: _d1b_sql())
 def q_d1b(spark, sf_dir):
+    """Grid anomaly detection on the stored points of completed jobs only."""
     from ..operators import grid as g
     p = _completed_points(spark, sf_dir).select("src", F.col("job_id").alias("row_id"), "x", "y")
     return g.detect_anomalies(p)
@@ -367,6 +380,7 @@ def _d1b_sql() -> str:
     "SELECT src, count(*) AS rows FROM (SELECT src, nullif(o_orderstatus, 'P') AS target FROM "
     f"({ORDERS_SQL}) _o) _t WHERE target IS NOT NULL AND target <> '' GROUP BY src"))
 def q_p21(spark, sf_dir):
+    """Rows kept after dropping those with a missing target value."""
     t = orders_twin(spark, sf_dir).df.select("src", F.nullif(F.col("o_orderstatus"), F.lit("P")).alias("target"))
     return t.where(F.col("target").isNotNull() & (F.col("target") != "")).groupBy("src").agg(F.count("*").alias("rows"))
 
@@ -431,6 +445,7 @@ def q_a25(spark, sf_dir):
     f"SELECT count(*) AS rows, sum(CAST(CAST(CAST(o_totalprice AS FLOAT) AS VARCHAR) AS DOUBLE)) AS o_totalprice "
     f"FROM ({ORDERS_SQL}) _o"))
 def q_k9(spark, sf_dir):
+    """K9: encoded (one-hot, float32) frame written as CSV and read back."""
     from ..operators import encode as en
     enc, _ = en.one_hot_drop_first(orders_twin(spark, sf_dir))
     flat = enc.select(*[F.col("features")[i].alias(f"f{i}") for i in range(7)])
@@ -537,6 +552,7 @@ def _j10_sql() -> str:
 @register("t33b_correlation_only", dbl=("statistic", "p_value", "p_value_corrected"), sql=lambda: (
     f"SELECT * FROM ({_report_sql()}) _r WHERE category = 'Correlation Validation'"))
 def q_t33b(spark, sf_dir):
+    """The correlation validation of the report only."""
     from .report import validation_report
     return validation_report(lineitem_twin(spark, sf_dir)).where(F.col("category") == "Correlation Validation")
 

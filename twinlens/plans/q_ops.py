@@ -165,5 +165,6 @@ def q_w7(spark, sf_dir):
     "WHEN event_type = 'purchase' THEN 'completed' WHEN event_type = 'error' THEN 'failed' ELSE 'running' END "
     "AS status, ts FROM events) _e GROUP BY job_id"))
 def q_w6b(spark, sf_dir):
+    """Job status from progress events where a terminal state wins (batch twin of the stateful stream)."""
     from ..streaming import jobstatus as js
     return js.latest_status_batch(js.status_events(table(spark, sf_dir, "events")))

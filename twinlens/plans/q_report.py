@@ -78,6 +78,7 @@ def _report(spark, sf_dir):
 
 @register("t32_validation_report", sql=report_sql, dbl=REPORT_DBL)
 def q_t32(spark, sf_dir):
+    """The full validation report in seven categories with per-type BH correction."""
     return _report(spark, sf_dir)
 
 
@@ -93,12 +94,14 @@ def tally_sql() -> str:
 
 @register("a28_report_tally", sql=tally_sql, dbl=("pass_rate",))
 def q_a28(spark, sf_dir):
+    """Verdict tally of the full report per category and overall, with pass-rate grade."""
     return tally(_report(spark, sf_dir))
 
 
 @register("t33_distribution_only", sql=lambda: (
     f"SELECT * FROM ({report_sql()}) _r WHERE category = 'Distribution Tests'"), dbl=REPORT_DBL)
 def q_t33(spark, sf_dir):
+    """The distribution tests of the report only."""
     return _report(spark, sf_dir).where(F.col("category") == "Distribution Tests")
 
 
@@ -111,6 +114,7 @@ def info_sql() -> str:
 
 @register("a3_dataset_info", sql=info_sql, dbl=("size_difference",))
 def q_a3(spark, sf_dir):
+    """A3: dataset info: rows and columns per side, same count / headers, size difference."""
     r, s = customer_real(spark, sf_dir), supplier_synth(spark, sf_dir)
     rc, sc = r.columns, s.columns
     rn = r.agg(F.count("*").alias("real_rows"))

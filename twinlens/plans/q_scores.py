@@ -54,6 +54,7 @@ S_DBL = ("structural_discrepancy", "structural_score")
 
 @register("t20_structural_score", sql=struct_sql, dbl=S_DBL)
 def q_t20(spark, sf_dir):
+    """Structural score from missing / extra columns, type mismatches, invalid categories, out-of-range values."""
     return _struct(spark, sf_dir)[0]
 
 
@@ -85,6 +86,7 @@ def _uni_terms(spark, sf_dir):
 
 @register("t21_univariate_terms", sql=uni_terms_sql, dbl=("discrepancy",))
 def q_t21t(spark, sf_dir):
+    """T21 terms: per-column numeric (KS + IQR-scaled gaps) or categorical (TVD) discrepancy."""
     return _uni_terms(spark, sf_dir)
 
 
@@ -96,6 +98,7 @@ def uni_sql() -> str:
 
 @register("t21_univariate_score", sql=uni_sql, dbl=("univariate_discrepancy", "univariate_score"))
 def q_t21(spark, sf_dir):
+    """Univariate score: mean of per-column discrepancies."""
     return scx.univariate(_uni_terms(spark, sf_dir))
 
 
@@ -175,6 +178,7 @@ def _diffs(spark, sf_dir):
 
 @register("t19_column_differences", sql=diffs_sql, dbl=("value",))
 def q_t19(spark, sf_dir):
+    """Per-column differences: KS, |d mean|, |d std|, |d median|, |d min|, |d max|; V, TVD, JSD, Wasserstein."""
     return _diffs(spark, sf_dir)
 
 
@@ -189,6 +193,7 @@ def q_t25(spark, sf_dir):
 @register("a20_metric_domains", dbl=("domain_min", "domain_max"), sql=lambda: (
     f"SELECT metric, min(value) AS domain_min, max(value) AS domain_max FROM ({diffs_sql()}) _d GROUP BY metric"))
 def q_a20(spark, sf_dir):
+    """[min, max] of each per-column difference metric."""
     from ..operators.profile import metric_domains
     return metric_domains(_diffs(spark, sf_dir))
 
