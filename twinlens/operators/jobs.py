@@ -145,3 +145,23 @@ def upsert(table: DataFrame, changes: DataFrame, key: str = "job_id") -> DataFra
 def delete_jobs(table: DataFrame, keys: DataFrame, key: str = "job_id") -> DataFrame:
     """K10 delete: anti-join (cascades the same way on results)."""
     return table.join(keys.select(key), key, "left_anti")
+
+
+def toggle_favorite(table: DataFrame, keys: DataFrame, key: str = "job_id") -> DataFrame:
+    """Flip ``is_favorite`` for the given jobs (left join on a key set)."""
+    k = keys.select(key).distinct().withColumn("_hit", F.lit(True))
+    j = table.join(k, key, "left")
+    return j.select(*[(F.when(F.col("_hit"), ~F.col("is_favorite")).otherwise(F.col("is_favorite"))
+                       .alias("is_favorite") if c == "is_favorite" else F.col(c)) for c in table.columns])
+
+
+def mark_failed(table: DataFrame, before: str) -> DataFrame:
+    """Jobs still running that were created before ``before`` become failed."""
+    stale = ~F.col("status").isin(*TERMINAL) & (F.col("created_at") < _ts(before))
+    return table.select(*[(F.when(stale, F.lit("failed")).otherwise(F.col("status")).alias("status")
+                           if c == "status" else F.col(c)) for c in table.columns])
+
+
+def delete_cascade(table: DataFrame, results: DataFrame, keys: DataFrame, key: str = "job_id"):
+    """Delete jobs and their stored results (two anti-joins)."""
+    return delete_jobs(table, keys, key), results.join(keys.select(key), key, "left_anti")

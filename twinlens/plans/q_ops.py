@@ -168,3 +168,27 @@ def q_w6b(spark, sf_dir):
     """Job status from progress events where a terminal state wins (batch twin of the stateful stream)."""
     from ..streaming import jobstatus as js
     return js.latest_status_batch(js.status_events(table(spark, sf_dir, "events")))
+
+
+@register("k10b_delete_cascade", sql=(
+    f"SELECT (SELECT count(*) FROM ({JOBS_SQL}) _j WHERE status <> 'failed') AS jobs_left, "
+    f"(SELECT count(*) FROM lineitem WHERE l_orderkey NOT IN (SELECT job_id FROM ({JOBS_SQL}) _f WHERE status = 'failed')) "
+    "AS result_rows_left"))
+def q_k10b(spark, sf_dir):
+    """Delete the failed jobs and, by cascade, their stored result rows."""
+    j = jobs(spark, sf_dir)
+    res = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("job_id"))
+    left_jobs, left_res = jb.delete_cascade(j, res, j.where(F.col("status") == "failed"))
+    return left_jobs.agg(F.count("*").alias("jobs_left")).crossJoin(
+        left_res.agg(F.count("*").alias("result_rows_left")))
+
+
+@register("k10c_toggle_favorite_mark_failed", sql=(
+    "SELECT status, count_if(fav) AS favorites, count(*) AS jobs FROM (SELECT CASE WHEN status NOT IN "
+    "('completed', 'failed') AND created_at < TIMESTAMP '1997-01-01 00:00:00' THEN 'failed' ELSE status END AS status, "
+    f"CASE WHEN owner_id % 3 = 0 THEN NOT is_favorite ELSE is_favorite END AS fav FROM ({JOBS_SQL}) _j) _t GROUP BY status"))
+def q_k10c(spark, sf_dir):
+    """Toggle favourites for a set of jobs, mark stale running jobs failed."""
+    j = jobs(spark, sf_dir)
+    t = jb.mark_failed(jb.toggle_favorite(j, j.where(F.col("owner_id") % 3 == 0)), "1997-01-01")
+    return t.groupBy("status").agg(F.count_if("is_favorite").alias("favorites"), F.count("*").alias("jobs"))
