@@ -201,3 +201,39 @@ def test_results_unchanged_under_repartitioning(spark):
     base = stats(t.df)
     assert stats(t.df.repartition(7)) == base
     assert stats(t.df.repartition(1)) == base
+
+
+def _brute_ks_sf(a, b, d):
+    from itertools import combinations
+    m, n = len(a), len(b)
+    hits = total = 0
+    for pos in combinations(range(m + n), m):
+        s = set(pos)
+        i = j = 0
+        dmax = 0.0
+        for k in range(m + n):
+            if k in s:
+                i += 1
+            else:
+                j += 1
+            dmax = max(dmax, abs(i / m - j / n))
+        total += 1
+        hits += dmax >= d - 1e-12
+    return hits / total
+
+
+@pytest.mark.parametrize("m,n", [(3, 3), (5, 4), (6, 3), (7, 5)])
+def test_exact_ks_matches_enumeration(m, n):
+    from math import gcd
+
+    from twinlens.functions.exact_ks import ks_exact_sf
+    lcm = m * n // gcd(m, n)
+    for h in range(1, lcm + 1):
+        d = h / lcm
+        assert ks_exact_sf(m, n, d) == pytest.approx(_brute_ks_sf([0] * m, [0] * n, d), abs=1e-12)
+
+
+def test_exact_ks_known_value():
+    from twinlens.functions.exact_ks import ks_exact_sf
+    # samples [1,2,3] vs [4,5,6]: D = 1, two of the C(6,3) = 20 paths reach it
+    assert ks_exact_sf(3, 3, 1.0) == pytest.approx(0.1)

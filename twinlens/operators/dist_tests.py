@@ -156,3 +156,29 @@ def energy_distance_1d(long_num: DataFrame, buckets: int | None = None,
     seg = cdf.select("column_name", (F.col("value") * (F.pow(d_prev, 2) - F.pow(d, 2))).alias("_a"))
     return seg.groupBy("column_name").agg(
         F.sqrt(2.0 * F.greatest(F.coalesce(F.sum("_a"), F.lit(0.0)), F.lit(0.0))).alias("energy_distance"))
+
+
+def ks_test_auto(long_num: DataFrame, min_n: int = 30, alpha: float = 0.05,
+                 buckets: int | None = None) -> DataFrame:
+    """T1 with SciPy's 'auto' p-value: the exact lattice-path probability when
+    both sides have at most 10,000 values, else the asymptotic series; the
+    ``method`` column says which. The exact part is an Arrow-batched pandas
+    UDF over the one-row-per-column statistics (never over data rows)."""
+    from pyspark.sql.functions import pandas_udf
+
+    from ..functions.exact_ks import ks_pvalues
+
+    @pandas_udf("p_value_auto double, method string")
+    def auto(n_real, n_synth, stat, p_asymp):
+        return ks_pvalues(n_real, n_synth, stat, p_asymp)
+
+    base = ks_test(long_num, min_n, alpha, fdr=False, buckets=buckets)
+    a = base.select("column_name", "n_real", "n_synthetic", "statistic",
+                    F.col("p_value").alias("p_value_asymptotic"),
+                    auto("n_real", "n_synthetic", "statistic", "p_value").alias("_a"))
+    out = a.select("*", F.col("_a.p_value_auto").alias("p_value"), F.col("_a.method").alias("method")).drop("_a")
+    out = out.select("*", (F.col("p_value") < alpha).alias("significant"),
+                     F.when(F.col("p_value").isNull(), F.lit("INSUFFICIENT_DATA"))
+                      .when(F.col("p_value") < alpha, F.lit("REJECT")).otherwise(F.lit("ACCEPT")).alias("result"))
+    adj = bh_adjust(out, "p_value", None, alpha, tiebreak=["column_name"])
+    return adj.withColumn("final_result", fdr_result())

@@ -136,3 +136,9 @@ def energy_sql(long_rel: str = LI_LONG) -> str:
 @register("t10_energy_distance_1d", sql=energy_sql, dbl=("energy_distance",))
 def q_energy(spark, sf_dir):
     return dt.energy_distance_1d(numeric_long(lineitem_twin(spark, sf_dir)))
+
+
+@register("t1_ks_test_auto", note="exact small-sample p-values via a pandas UDF: rows-only check")
+def q_ks_auto(spark, sf_dir):
+    """T1 with SciPy's 'auto' p-value choice (exact up to 10,000 per side) and a method column."""
+    return dt.ks_test_auto(numeric_long(lineitem_twin(spark, sf_dir)))
