@@ -46,6 +46,8 @@ def con():
 @pytest.mark.parametrize("name", NAMES)
 def test_query_matches_oracle(spark, con, name):
     df = E.queries()[name](spark, SF_SMALL)
+    # plan property: no query may pair every row with every row
+    assert "CartesianProduct" not in df._jdf.queryExecution().executedPlan().toString()
     rows = [tuple(r) for r in df.collect()]
     if name not in ORACLE:
         assert rows is not None
