@@ -66,3 +66,19 @@ def test_polygon_filter(spark):
     df = spark.createDataFrame([(0.5, 0.5), (1.5, 0.5), (0.2, 0.9)], "x double, y double")
     from pyspark.sql import functions as F
     assert df.where(F.expr(sc.in_polygon("x", "y", sq))).count() == 2
+
+
+def test_csv_typed_drops_index_column(spark):
+    p = _tmp("t.csv", "idx,a,b\n0,1,x\n1,2.5,y\n")
+    df = fl.read_csv_typed(spark, p, index_col="idx")
+    assert df.columns == ["a", "b"] and dict(df.dtypes)["a"] == "double"
+
+
+def test_float_matrix_cells(spark):
+    from pyspark.sql import functions as F
+
+    from twinlens.operators.encode import FLOAT32_MAX, finite_float
+    df = spark.createDataFrame([(float("nan"),), (float("inf"),), (float("-inf"),), (None,), (1.5,)], "v double")
+    got = [r[0] for r in df.select(finite_float(F.col("v"))).collect()]
+    assert got[0] == 0.0 and got[3] == 0.0 and got[4] == 1.5
+    assert got[1] == pytest.approx(FLOAT32_MAX, rel=1e-6) and got[2] == pytest.approx(-FLOAT32_MAX, rel=1e-6)

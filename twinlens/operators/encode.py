@@ -77,6 +77,17 @@ def min_max_by_real(df: DataFrame, feats: list[str]) -> DataFrame:
     return j.select("src", "row_id", *out)
 
 
+FLOAT32_MAX = 3.4028234663852886e38  # fixed value: largest finite float32
+
+
+def finite_float(v):
+    """float32 cell with missing / NaN -> 0 and +/-inf -> +/- float32 max."""
+    v = F.nanvl(v, F.lit(0.0))
+    v = (F.when(v == float("inf"), F.lit(FLOAT32_MAX)).when(v == float("-inf"), F.lit(-FLOAT32_MAX))
+          .otherwise(v))
+    return F.coalesce(v, F.lit(0.0)).cast("float")
+
+
 def one_hot_drop_first(twin: Twin) -> tuple[DataFrame, list[str]]:
     """P10 + P11: categories sorted and fitted on real, the *first* level
     dropped, unknown -> all zeros; indicator columns precede numerics;
@@ -97,8 +108,7 @@ def one_hot_drop_first(twin: Twin) -> tuple[DataFrame, list[str]]:
     for c in twin.categorical:
         # level k (k >= 1 after dropping the first) -> indicator
         exprs.append(F.transform(F.slice(F.col(f"_lv_{c}"), 2, 1_000_000), indicator(c)).alias(f"_oh_{c}"))
-    nums = [F.coalesce(F.col(c).cast("string").try_cast("double"), F.lit(0.0)).cast("float").alias(c)
-            for c in twin.numeric]
+    nums = [finite_float(F.col(c).cast("string").try_cast("double")).alias(c) for c in twin.numeric]
     out = df.select("src", "row_id", *exprs, *nums)
     parts = [F.col(f"_oh_{c}") for c in twin.categorical] + [F.array(F.col(c)) for c in twin.numeric]
     vec = F.concat(*parts) if parts else F.array()
