@@ -19,18 +19,25 @@ def _present(c: str):
     return F.col(c).isNotNull() & (F.col(c).cast("string") != "")
 
 
+def _marginals(ct: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
+    """Contingency cells with their row, column and grand totals, from grouped
+    marginals joined back (no window holds a whole side in one task)."""
+    ra = ct.groupBy(*by, a).agg(F.sum("o").alias("_row"))
+    cb = ct.groupBy(*by, b).agg(F.sum("o").alias("_col"))
+    n = ct.groupBy(*by).agg(F.sum("o").alias("_n"), F.count("*").alias("_cells"))
+    return ct.join(ra, [*by, a]).join(cb, [*by, b]).join(F.broadcast(n), by)  # n: one row per group
+
+
 def cramers_v(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """(by..., cramers_v) without correction, clamped to [0, 1],
     0 when either variable has a single level; missing values skipped."""
     ct = df.where(_present(a) & _present(b)).groupBy(*by, a, b).agg(F.count("*").alias("o"))
-    wa, wb, wn = Window.partitionBy(*by, a), Window.partitionBy(*by, b), Window.partitionBy(*by)
-    t = ct.select(*by, a, b, "o", F.sum("o").over(wa).alias("_row"), F.sum("o").over(wb).alias("_col"),
-                  F.sum("o").over(wn).alias("_n"))
-    ra = ct.groupBy(*by, a).count().groupBy(*by).agg(F.count("*").alias("_ka"))
-    rb = ct.groupBy(*by, b).count().groupBy(*by).agg(F.count("*").alias("_kb"))
+    t = _marginals(ct, a, b, by)
+    ka = ct.groupBy(*by, a).count().groupBy(*by).agg(F.count("*").alias("_ka"))
+    kb = ct.groupBy(*by, b).count().groupBy(*by).agg(F.count("*").alias("_kb"))
     s = t.groupBy(*by).agg(F.first("_n").alias("_n"),
                            F.sum(F.col("o") * F.col("o") / (F.col("_row") * F.col("_col"))).alias("_s"))
-    j = s.join(ra, by).join(rb, by)
+    j = s.join(ka, by).join(kb, by)
     chi2 = F.col("_n") * F.col("_s") - F.col("_n")
     k = F.least(F.col("_ka"), F.col("_kb")) - 1
     v = F.when(k <= 0, F.lit(0.0)).otherwise(
@@ -129,8 +136,6 @@ def share_distances(long_cat: DataFrame, buckets: int | None = 1) -> DataFrame:
 def mutual_information(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     """Sum p(a,b) ln(p(a,b) / (p(a) p(b))) from the contingency table."""
     ct = df.where(_present(a) & _present(b)).groupBy(*by, a, b).agg(F.count("*").alias("o"))
-    wa, wb, wn = Window.partitionBy(*by, a), Window.partitionBy(*by, b), Window.partitionBy(*by)
-    t = ct.select(*by, "o", F.sum("o").over(wa).alias("_ra"), F.sum("o").over(wb).alias("_cb"),
-                  F.sum("o").over(wn).alias("_n"))
+    t = _marginals(ct, a, b, by).select(*by, "o", F.col("_row").alias("_ra"), F.col("_col").alias("_cb"), "_n")
     term = (F.col("o") / F.col("_n")) * F.log((F.col("o") * F.col("_n")) / (F.col("_ra") * F.col("_cb")))
     return t.groupBy(*by).agg(F.sum(term).alias("mutual_information"))
