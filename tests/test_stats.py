@@ -237,3 +237,43 @@ def test_exact_ks_known_value():
     from twinlens.functions.exact_ks import ks_exact_sf
     # samples [1,2,3] vs [4,5,6]: D = 1, two of the C(6,3) = 20 paths reach it
     assert ks_exact_sf(3, 3, 1.0) == pytest.approx(0.1)
+
+
+def _f6_twin(spark):
+    # four numerics; synthetic means .2 .1 0 .3 and std 1.1 1.2 1 1.1, seed 42
+    rng = random.Random(42)
+    shift = [(0.2, 1.1), (0.1, 1.2), (0.0, 1.0), (0.3, 1.1)]
+    rows = [("real", i, *[rng.gauss(0, 1) for _ in range(4)]) for i in range(100)]
+    rows += [("synthetic", 1000 + i, *[rng.gauss(m, s) for m, s in shift]) for i in range(100)]
+    cols = ["var1", "var2", "var3", "var4"]
+    df = spark.createDataFrame(rows, "src string, row_id long, " + ", ".join(f"{c} double" for c in cols))
+    return Twin(df, cols, [])
+
+
+def test_bh_properties_on_shifted_numerics(spark):
+    twin = _f6_twin(spark)
+    for res in (dist_tests.ks_test(numeric_long(twin)),
+                fdr.bh_adjust(dist_tests.welch_t_test(numeric_long(twin)), "p_value", None, 0.05,
+                              tiebreak=["column_name"])):
+        rows = sorted(res.collect(), key=lambda r: r.p_value)
+        assert len(rows) == 4
+        adj = [r.p_value_corrected for r in rows]
+        assert all(a >= r.p_value - 1e-15 for a, r in zip(adj, rows))   # adjusted >= raw
+        assert adj == sorted(adj)                                        # monotone in rank
+        assert all(0.0 <= a <= 1.0 for a in adj)
+
+
+def test_correlated_numerics(spark):
+    # x2 = x1 + noise, x3 independent, seed 42
+    from twinlens.operators import correlation
+    rng = random.Random(42)
+    rows = []
+    for i in range(200):
+        x1 = rng.gauss(0, 1)
+        rows.append(("real" if i % 2 == 0 else "synthetic", i, x1, x1 + rng.gauss(0, 0.3), rng.gauss(0, 1)))
+    df = spark.createDataFrame(rows, "src string, row_id long, x1 double, x2 double, x3 double")
+    pairs = {(r.col_i, r.col_j): r for r in correlation.pearson_pairs(Twin(df, ["x1", "x2", "x3"], [])).collect()}
+    assert pairs[("x1", "x2")].real_r > 0.9 and pairs[("x1", "x2")].synthetic_r > 0.9
+    assert abs(pairs[("x1", "x3")].real_r) < 0.3
+    j = correlation.jennrich(correlation.pearson_pairs(Twin(df, ["x1", "x2", "x3"], []))).collect()[0]
+    assert j.statistic >= 0.0 and j.result in ("ACCEPT", "REJECT")
