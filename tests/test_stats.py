@@ -114,8 +114,10 @@ def test_report_materialized_matches_lazy(spark):
 def test_grid_empty_side_is_an_error(spark):
     pts = spark.createDataFrame([("real", i, float(i), float(i)) for i in range(20)],
                                 "src string, row_id long, x double, y double")
+    with pytest.raises(Exception, match="needs real and synthetic"):
+        grid.detect_anomalies(pts).collect()
     with pytest.raises(ValueError):
-        grid.detect_anomalies(pts)
+        grid.detect_anomalies(pts, check_sides=True)
 
 
 def test_two_points_succeed(spark):

@@ -86,8 +86,12 @@ def binomial_cells(counts: DataFrame, min_points: int = 5) -> DataFrame:
     Cells with >= ``min_points``; 'greater' where the real share is above the
     global share, 'less' where below, no test where equal.
     """
-    g = counts.agg((F.sum("real_count") / (F.sum("real_count") + F.sum("synthetic_count")))
-                   .alias("global_proportion"))
+    tr, ts = F.sum("real_count"), F.sum("synthetic_count")
+    # an empty side is an error (as in the reference), raised inside the plan
+    g = counts.agg(F.when((tr == 0) | (ts == 0),
+                          F.raise_error(F.lit("grid anomaly detection needs real and synthetic points"))
+                          .cast("double"))
+                   .otherwise(tr / (tr + ts)).alias("global_proportion"))
     c = counts.crossJoin(g).select(
         "cell_x", "cell_y", F.col("real_count").cast("long").alias("real_count"),
         F.col("synthetic_count").cast("long").alias("synthetic_count"),
@@ -109,7 +113,8 @@ def binomial_cells(counts: DataFrame, min_points: int = 5) -> DataFrame:
 
 
 def require_both_sides(points: DataFrame) -> None:
-    """An empty side is an error (as in the reference); one tiny aggregate."""
+    """Eager check that both sides have points (one tiny job); the detection
+    plan itself also raises lazily, so this is optional."""
     sides = {r["src"] for r in points.select("src").distinct().limit(2).collect()}
     missing = {"real", "synthetic"} - sides
     if missing:
@@ -117,7 +122,7 @@ def require_both_sides(points: DataFrame) -> None:
 
 
 def detect_anomalies(points: DataFrame, x_bins: int = 20, y_bins: int = 20,
-                     fdr_alpha: float = 0.05, min_points: int = 5, check_sides: bool = True) -> DataFrame:
+                     fdr_alpha: float = 0.05, min_points: int = 5, check_sides: bool = False) -> DataFrame:
     """Edges -> counts -> binomial tests -> BH per family -> colours."""
     if check_sides:
         require_both_sides(points)
