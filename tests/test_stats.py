@@ -279,3 +279,22 @@ def test_correlated_numerics(spark):
     assert abs(pairs[("x1", "x3")].real_r) < 0.3
     j = correlation.jennrich(correlation.pearson_pairs(Twin(df, ["x1", "x2", "x3"], []))).collect()[0]
     assert j.statistic >= 0.0 and j.result in ("ACCEPT", "REJECT")
+
+
+def test_iqr_outlier_counts_match_direct_count(spark):
+    from twinlens.operators import profile
+    rng = random.Random(11)
+    real = [rng.gauss(0, 1) for _ in range(300)] + [8.0, -9.0, 12.5]
+    synth = [rng.gauss(0.2, 1.5) for _ in range(250)] + [30.0] * 4
+    got = {r.src: r for r in profile.iqr_outliers(numeric_long(_twin(spark, real, synth))).collect()}
+
+    def lin_q(xs, q):
+        xs = sorted(xs)
+        pos = (len(xs) - 1) * q
+        lo, hi = math.floor(pos), math.ceil(pos)
+        return xs[lo] + (pos - lo) * (xs[hi] - xs[lo])
+    for side, xs in (("real", real), ("synthetic", synth)):
+        q1, q3 = lin_q(xs, 0.25), lin_q(xs, 0.75)
+        lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
+        assert got[side].q1 == pytest.approx(q1) and got[side].q3 == pytest.approx(q3)
+        assert got[side].outlier_count == sum(1 for x in xs if x < lo or x > hi)

@@ -95,19 +95,35 @@ def completeness(twin: Twin, threshold: float = 0.95) -> DataFrame:
 
 
 def iqr_outliers(long_num: DataFrame, k: float = 1.5, min_n: int = 4, cdf: DataFrame | None = None) -> DataFrame:
-    """Own-side IQR fences (linear quartiles), outlier count and percent."""
-    q = side_quantiles(long_num, {"q1": 0.25, "q3": 0.75}, cdf=cdf)
-    fences = q.select("src", "column_name", "n", "q1", "q3",
-                      (F.col("q3") - F.col("q1")).alias("iqr"))
+    """Own-side IQR fences (linear quartiles), outlier count and percent.
+
+    Quartiles and counts both come from the per-value ECDF relation: the
+    number of values below a fence is the running count at the last value
+    under it, so the raw rows are not scanned a second time."""
+    from .reshape import running_totals
+    cdf = cdf if cdf is not None else running_totals(side_value_counts(long_num), "column_name", "value",
+                                                     ["n_real", "n_synth"])
+    q = side_quantiles(None, {"q1": 0.25, "q3": 0.75}, cdf=cdf)
+    fences = q.select("src", "column_name", "n", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"))
     fences = fences.select("*", (F.col("q1") - k * F.col("iqr")).alias("lower_fence"),
                            (F.col("q3") + k * F.col("iqr")).alias("upper_fence"))
-    # one row per (side, column): a bounded broadcast
-    j = long_num.join(F.broadcast(fences), ["src", "column_name"])
-    out = (F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence"))
-    cnt = j.groupBy("src", "column_name").agg(F.count_if(out).alias("outlier_count"))
-    res = fences.join(cnt, ["src", "column_name"], "left").where(F.col("n") >= min_n)
+    wide = fences.groupBy("column_name").agg(
+        *[F.max(F.when(F.col("src") == side, F.col(c))).alias(f"_{c}_{lab}")
+          for side, lab in ((REAL, "r"), (SYNTH, "s")) for c in ("lower_fence", "upper_fence")])
+    j = cdf.join(F.broadcast(wide), "column_name")  # one row per column
+    aggs = []
+    for lab, cum, tot in (("r", "cum_n_real", "tot_n_real"), ("s", "cum_n_synth", "tot_n_synth")):
+        below = F.coalesce(F.max(F.when(F.col("value") < F.col(f"_lower_fence_{lab}"), F.col(cum))), F.lit(0))
+        upto = F.coalesce(F.max(F.when(F.col("value") <= F.col(f"_upper_fence_{lab}"), F.col(cum))), F.lit(0))
+        aggs.append((below + F.max(tot) - upto).alias(f"_out_{lab}"))
+    cnt = j.groupBy("column_name").agg(*aggs)
+    counts = cnt.select("column_name", F.explode(F.array(
+        F.struct(F.lit(REAL).alias("src"), F.col("_out_r").alias("outlier_count")),
+        F.struct(F.lit(SYNTH).alias("src"), F.col("_out_s").alias("outlier_count")))).alias("t")).select(
+        F.col("t.src").alias("src"), "column_name", F.col("t.outlier_count").cast("long").alias("outlier_count"))
+    res = fences.join(counts, ["src", "column_name"], "left").where(F.col("n") >= min_n)
     return res.select("src", "column_name", "n", "q1", "q3", "iqr", "lower_fence", "upper_fence",
-                      F.coalesce("outlier_count", F.lit(0)).alias("outlier_count"),
+                      F.coalesce("outlier_count", F.lit(0)).cast("long").alias("outlier_count"),
                       (F.coalesce("outlier_count", F.lit(0)) / F.col("n") * 100.0).alias("outlier_percentage"))
 
 
