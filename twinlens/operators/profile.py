@@ -97,42 +97,22 @@ def completeness(twin: Twin, threshold: float = 0.95) -> DataFrame:
 def iqr_outliers(long_num: DataFrame, k: float = 1.5, min_n: int = 4, cdf: DataFrame | None = None) -> DataFrame:
     """Own-side IQR fences (linear quartiles), outlier count and percent.
 
-    Quartiles and counts both come from the per-value ECDF relation: the
-    number of values below a fence is the running count at the last value
-    under it, so the raw rows are not scanned a second time. Above the
-    materialisation threshold the ECDF is checkpointed once and read twice."""
-    from ..session import MATERIALIZE_BYTES, cut_lineage, estimated_bytes
-    from .reshape import running_totals
-    if cdf is None:
-        cdf = running_totals(side_value_counts(long_num), "column_name", "value", ["n_real", "n_synth"])
-        if estimated_bytes(long_num) > MATERIALIZE_BYTES:
-            cdf = cut_lineage(cdf)
-    q = side_quantiles(None, {"q1": 0.25, "q3": 0.75}, cdf=cdf)
-    f = q.select("src", "column_name", "n", "q1", "q3", (F.col("q3") - F.col("q1")).alias("iqr"))
-    f = f.select("*", (F.col("q1") - k * F.col("iqr")).alias("lower_fence"),
-                 (F.col("q3") + k * F.col("iqr")).alias("upper_fence"))
-    cols = ("n", "q1", "q3", "iqr", "lower_fence", "upper_fence")
-    wide = f.groupBy("column_name").agg(
-        *[F.max(F.when(F.col("src") == side, F.col(c))).alias(f"_{c}_{lab}")
-          for side, lab in ((REAL, "r"), (SYNTH, "s")) for c in cols])
-    j = cdf.join(F.broadcast(wide), "column_name")  # one row per column
-    aggs = []
-    for lab, cum, tot in (("r", "cum_n_real", "tot_n_real"), ("s", "cum_n_synth", "tot_n_synth")):
-        below = F.coalesce(F.max(F.when(F.col("value") < F.col(f"_lower_fence_{lab}"), F.col(cum))), F.lit(0))
-        upto = F.coalesce(F.max(F.when(F.col("value") <= F.col(f"_upper_fence_{lab}"), F.col(cum))), F.lit(0))
-        aggs.append((below + F.max(tot) - upto).alias(f"_out_{lab}"))
-        aggs += [F.first(f"_{c}_{lab}").alias(f"_{c}_{lab}") for c in cols]
-    cnt = j.groupBy("column_name").agg(*aggs)
-    rows = [F.struct(F.lit(side).alias("src"), *[F.col(f"_{c}_{lab}").alias(c) for c in cols],
-                     F.col(f"_out_{lab}").alias("outlier_count"))
-            for side, lab in ((REAL, "r"), (SYNTH, "s"))]
-    res = cnt.select("column_name", F.explode(F.array(*rows)).alias("t")).select(
-        F.col("t.src").alias("src"), "column_name", *[F.col(f"t.{c}").alias(c) for c in cols],
-        F.col("t.outlier_count").alias("outlier_count"))
-    res = res.where(F.col("n").isNotNull() & (F.col("n") >= min_n))
-    return res.select("src", "column_name", F.col("n").cast("long").alias("n"), "q1", "q3", "iqr", "lower_fence",
-                      "upper_fence", F.col("outlier_count").cast("long").alias("outlier_count"),
-                      (F.col("outlier_count") / F.col("n") * 100.0).alias("outlier_percentage"))
+    The quartiles come from the shared per-value ECDF; the counts are one
+    map-only pass over the values against the broadcast fences (one row per
+    side and column), so no second shuffle of the data."""
+    q = side_quantiles(long_num, {"q1": 0.25, "q3": 0.75}, cdf=cdf)
+    fences = q.select("src", "column_name", "n", "q1", "q3",
+                      (F.col("q3") - F.col("q1")).alias("iqr"))
+    fences = fences.select("*", (F.col("q1") - k * F.col("iqr")).alias("lower_fence"),
+                           (F.col("q3") + k * F.col("iqr")).alias("upper_fence"))
+    # one row per (side, column): a bounded broadcast
+    j = long_num.join(F.broadcast(fences), ["src", "column_name"])
+    out = (F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence"))
+    cnt = j.groupBy("src", "column_name").agg(F.count_if(out).alias("outlier_count"))
+    res = fences.join(cnt, ["src", "column_name"], "left").where(F.col("n") >= min_n)
+    return res.select("src", "column_name", "n", "q1", "q3", "iqr", "lower_fence", "upper_fence",
+                      F.coalesce("outlier_count", F.lit(0)).alias("outlier_count"),
+                      (F.coalesce("outlier_count", F.lit(0)) / F.col("n") * 100.0).alias("outlier_percentage"))
 
 
 def first_outliers(long_num: DataFrame, k: float = 1.5, limit: int = 5) -> DataFrame:
