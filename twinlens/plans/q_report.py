@@ -125,3 +125,26 @@ def q_a3(spark, sf_dir):
                     F.lit(rc == sc).alias("same_headers"),
                     (F.abs(F.col("real_rows") - F.col("synthetic_rows"))
                      / F.greatest("real_rows", "synthetic_rows")).alias("size_difference"))
+
+
+@register("a28b_family_counts", sql=lambda: (
+    "SELECT test_type, count(*) AS tests, count_if(coalesce(final_result IN ('ACCEPT', 'SUCCESS'), false)) AS passed, "
+    f"count_if(coalesce(final_result = 'REJECT', false)) AS failed FROM ({report_sql()}) _r GROUP BY test_type"))
+def q_a28b(spark, sf_dir):
+    """Verdict counts per test family of the full report."""
+    r = F.col("final_result")
+    return _report(spark, sf_dir).groupBy("test_type").agg(
+        F.count("*").alias("tests"), F.count_if(r.isin("ACCEPT", "SUCCESS")).alias("passed"),
+        F.count_if(r == "REJECT").alias("failed"))
+
+
+@register("a28c_issue_list", dbl=("statistic", "p_value"), sql=lambda: (
+    "SELECT category, test_type, column_name, statistic, p_value, final_result, CASE WHEN final_result = 'CRITICAL' "
+    "THEN 'high' WHEN final_result = 'REJECT' THEN 'medium' ELSE 'low' END AS severity "
+    f"FROM ({report_sql()}) _r WHERE final_result IN ('REJECT', 'WARNING', 'CRITICAL')"))
+def q_a28c(spark, sf_dir):
+    """The issue list - tests whose final verdict is not a pass, with a severity."""
+    r = F.col("final_result")
+    return (_report(spark, sf_dir).where(r.isin("REJECT", "WARNING", "CRITICAL"))
+            .select("category", "test_type", "column_name", "statistic", "p_value", "final_result",
+                    F.when(r == "CRITICAL", "high").when(r == "REJECT", "medium").otherwise("low").alias("severity")))
