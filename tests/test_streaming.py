@@ -75,3 +75,25 @@ def test_terminal_status_stream_matches_batch(spark):
             got[r.job_id] = (r.status, r.last_update)
     want = {r.job_id: r.status for r in js.latest_status_batch(ev).collect()}
     assert {k: v[0] for k, v in got.items()} == want
+
+
+def test_sliding_window_stream_matches_batch(spark):
+    calls = _calls(spark).where(F.col("ts") < F.lit("2024-01-03").cast("timestamp"))
+    src = tempfile.mkdtemp(prefix="tl-w1-src-", dir="/tmp")
+    ck = tempfile.mkdtemp(prefix="tl-w1-ck-", dir="/tmp")
+    calls.coalesce(1).write.parquet(f"{src}/batch=0")
+    q = st.start(st.call_metrics_agg(st.read_call_stream(spark, f"{src}/batch=*")), "tl_w1", ck, mode="append")
+    try:
+        q.processAllAvailable()
+        # advance event time past the watermark so every window above closes
+        spark.createDataFrame([(dt.datetime(2024, 1, 5), "view", 200, 1.0, "GET", 1)],
+                              st.CALL_SCHEMA).coalesce(1).write.parquet(f"{src}/batch=1")
+        q.processAllAvailable()
+        spark.createDataFrame([(dt.datetime(2024, 1, 6), "view", 200, 1.0, "GET", 1)],
+                              st.CALL_SCHEMA).coalesce(1).write.parquet(f"{src}/batch=2")
+        q.processAllAvailable()
+    finally:
+        q.stop()
+    got = {r.window_start: (r.requests, round(r.mean_response, 9)) for r in spark.sql("SELECT * FROM tl_w1").collect()}
+    want = {r.window_start: (r.requests, round(r.mean_response, 9)) for r in st.call_metrics_agg(calls).collect()}
+    assert want and all(got.get(k) == v for k, v in want.items())
