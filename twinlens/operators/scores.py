@@ -26,18 +26,23 @@ def _present(c):
 
 def infer_side_types(real: DataFrame, synth: DataFrame, cols: list[str], share: float = 0.9) -> dict:
     """P6e per side: numeric iff >= 90 % of non-missing values parse; None when
-    a column has no values. One aggregate per side; a small dict comes back
-    (one entry per shared column)."""
-    def one(df):
-        aggs = []
-        for c in cols:
-            ok = _present(c)
-            aggs += [F.count_if(ok).alias(f"n_{c}"),
-                     F.count_if(ok & F.col(c).cast("string").try_cast("double").isNotNull()).alias(f"p_{c}")]
-        r = df.agg(*aggs).collect()[0]
-        return {c: (None if r[f"n_{c}"] == 0 else
+    a column has no values. One aggregate over both sides; two small rows come
+    back (one entry per shared column and side)."""
+    def tag(df, side):  # strings on both sides: the union never depends on the two dtypes
+        return df.select(F.lit(side).alias("_side"), *[F.col(c).cast("string").alias(c) for c in cols])
+    both = tag(real, REAL).unionByName(tag(synth, SYNTH))
+    aggs = []
+    for c in cols:
+        ok = _present(c)
+        aggs += [F.count_if(ok).alias(f"n_{c}"),
+                 F.count_if(ok & F.col(c).cast("string").try_cast("double").isNotNull()).alias(f"p_{c}")]
+    rows = {r["_side"]: r for r in both.groupBy("_side").agg(*aggs).collect()}
+
+    def decide(side):
+        r = rows.get(side)
+        return {c: (None if r is None or r[f"n_{c}"] == 0 else
                     ("numeric" if r[f"p_{c}"] / r[f"n_{c}"] >= share else "categorical")) for c in cols}
-    return {"real": one(real), "synthetic": one(synth)}
+    return {"real": decide(REAL), "synthetic": decide(SYNTH)}
 
 
 def shared_long(real: DataFrame, synth: DataFrame, numeric: list[str], categorical: list[str]):
