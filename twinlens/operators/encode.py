@@ -53,8 +53,9 @@ def encode_for_distance(twin: Twin) -> tuple[DataFrame, list[str]]:
     for c in twin.categorical:
         codes = first_appearance_codes(twin, c)
         mx = codes.agg(F.greatest(F.lit(1), F.max("code")).alias("_den"))
-        # one row per real category of this column
-        df = (df.join(F.broadcast(codes.withColumnRenamed("value", f"_v_{c}")),
+        # one row per real category: grows with the column's cardinality, so
+        # no broadcast hint - Spark broadcasts it only under its own size check
+        df = (df.join(codes.withColumnRenamed("value", f"_v_{c}"),
                       F.col(c).cast("string") == F.col(f"_v_{c}"), "left")
                 .crossJoin(F.broadcast(mx.withColumnRenamed("_den", f"_den_{c}")))
                 .withColumn(f"f_{c}", F.coalesce(F.col("code"), F.lit(-1)) / F.col(f"_den_{c}"))
