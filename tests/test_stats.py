@@ -298,3 +298,26 @@ def test_iqr_outlier_counts_match_direct_count(spark):
         lo, hi = q1 - 1.5 * (q3 - q1), q3 + 1.5 * (q3 - q1)
         assert got[side].q1 == pytest.approx(q1) and got[side].q3 == pytest.approx(q3)
         assert got[side].outlier_count == sum(1 for x in xs if x < lo or x > hi)
+
+
+def test_two_level_path_matches_single_level_on_registered_queries(spark):
+    # with >= 128 shuffle partitions prefix sums switch to the two-level form
+    import __spark_entry__ as E
+
+    from .conftest import SF_SMALL
+    names = ["t1b_ks_statistic", "t11_mann_whitney", "a12_five_number", "p13_first_appearance_codes",
+             "m6_fraction_subset"]
+
+    def run():
+        out = {}
+        for n in names:
+            rows = E.queries()[n](spark, SF_SMALL).collect()
+            out[n] = sorted(tuple(str(v) for v in r) for r in rows)
+        return out
+    single = run()
+    old = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "256")
+    try:
+        assert run() == single
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", old)
