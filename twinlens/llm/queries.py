@@ -5,16 +5,29 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, mixing, quality_rules, sharding
+from . import html_extract, license_scan, lm_score, mixing, packing, quality_rules, sharding
 from .common import documents
 from .oracles import ORACLES
 
 
+def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm_score.score(documents(spark, sf_dir).select("doc_id", "text"))
+
+
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = html_extract.extract(documents(spark, sf_dir, "pages"))
+    return d.select("page_id", "url", "text", "n_chars")
+
+
 def op5_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = mixing.plan(documents(spark, sf_dir).select("doc_id", "text", "source"))
     return d.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), "taken")
 
 
+def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(documents(spark, sf_dir))
+
+
 def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = license_scan.scan(documents(spark, sf_dir).select("doc_id", "text"))
     return d.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score")
@@ -32,7 +45,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op5_mixing, op7_license_scan, op8_quality_rules, op9_sharding)}
+    op3_lm_scoring, op4_html_extraction, op5_mixing, op6_packing, op7_license_scan, op8_quality_rules, op9_sharding)}
 
 
 def queries():
