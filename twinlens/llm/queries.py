@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import html_extract, license_scan, lm_score, mixing, packing, quality_rules, sharding
+from . import embed_dedup, html_extract, license_scan, lm_score, mixing, packing, quality_rules, sharding
 from .common import documents
 from .oracles import ORACLES
 
 
+def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.near_duplicates(documents(spark, sf_dir, "embeddings"))
+
+
 def op3_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_score.score(documents(spark, sf_dir).select("doc_id", "text"))
 
@@ -45,7 +49,7 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op3_lm_scoring, op4_html_extraction, op5_mixing, op6_packing, op7_license_scan, op8_quality_rules, op9_sharding)}
+    op2_embedding_dedup, op3_lm_scoring, op4_html_extraction, op5_mixing, op6_packing, op7_license_scan, op8_quality_rules, op9_sharding)}
 
 
 def queries():
