@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, html_extract, license_scan, lm_score, mixing, packing, quality_rules, sharding
+from . import embed_dedup, html_extract, license_scan, lm_score, mixing, packing, quality_rules, sharding, toxicity
 from .common import documents
 from .oracles import ORACLES
 
@@ -48,8 +48,16 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    index = toxicity.fit(docs, documents(spark, sf_dir, "labels"))
+    held_out = F.coalesce(toxicity.fold_of(F.col("doc_id")) == toxicity.HELD_OUT, F.lit(False))
+    return (toxicity.score(docs, index, evidence=False)
+            .select("doc_id", held_out.alias("held_out"), "score", "predicted"))
+
+
 QUERIES = {f.__name__: f for f in (
-    op2_embedding_dedup, op3_lm_scoring, op4_html_extraction, op5_mixing, op6_packing, op7_license_scan, op8_quality_rules, op9_sharding)}
+    op2_embedding_dedup, op3_lm_scoring, op4_html_extraction, op5_mixing, op6_packing, op7_license_scan, op8_quality_rules, op9_sharding, op10_toxicity)}
 
 
 def queries():
