@@ -52,3 +52,8 @@ def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> Data
 def lanes(spark: SparkSession) -> int:
     """Number of lanes a hot group is dealt over: the session's shuffle width."""
     return max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
+def small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """``df`` marked for broadcast when it is counted to hold few rows, else as it is."""
+    return F.broadcast(df) if df.count() <= rows else df

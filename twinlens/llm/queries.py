@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, html_extract, license_scan, lm_score, mixing, packing, quality_rules, sharding, toxicity
+from . import embed_dedup, html_extract, license_scan, lm_score, mixing, ngram_join, packing, quality_rules, sharding, toxicity
 from .common import documents
 from .oracles import ORACLES
 
 
+def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.near_duplicates(documents(spark, sf_dir).select("doc_id", "text"))
+
+
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return embed_dedup.near_duplicates(documents(spark, sf_dir, "embeddings"))
 
@@ -57,7 +61,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op2_embedding_dedup, op3_lm_scoring, op4_html_extraction, op5_mixing, op6_packing, op7_license_scan, op8_quality_rules, op9_sharding, op10_toxicity)}
+    op1_ngram_jaccard, op2_embedding_dedup, op3_lm_scoring, op4_html_extraction, op5_mixing, op6_packing, op7_license_scan, op8_quality_rules, op9_sharding, op10_toxicity)}
 
 
 def queries():
