@@ -324,3 +324,10 @@ def score(df: DataFrame, index: Index, text: str = "text", threshold: float = TH
                 at += len(run)
     rows = df.select(*[F.col(f"`{c}`") for c in kept], F.col(f"`{text}`").cast("string").alias("__text"))
     return rows.mapInArrow(scored, schema)
+
+
+def drop_toxic(df: DataFrame, index: Index, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows below the threshold, with their own columns only."""
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("input"),
+                       F.col(f"`{text}`").alias("text"))
+    return score(packed, index, "text", threshold, evidence=False).where("predicted = 0").select("input.*")
