@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import saved
-from .words import _BYTE, chunks, mix, powers, words_of
+from .words import _BYTE, chunks, powers, ranges, words_of
 
 FOLDS, HELD_OUT = 7, 2
 FREQUENT_WORDS = 1 << 18
@@ -65,93 +65,112 @@ def vocabulary(model: str = "piece_bpe_32k.model") -> tuple[list[bytes], np.ndar
 
 
 class Lattice:
-    """Forward (and backward) recursions over many words at once."""
+    """Forward (and backward) recursions over many words at once.
+
+    Words come as their joined bytes and their sizes.  Every place of a word walks
+    the vocabulary's prefixes until none goes on; the pieces met on the way are
+    the lattice's edges, kept as lists by (end, size)."""
 
     def __init__(self, pieces: list[bytes], log_weight: np.ndarray):
         """Pieces that read the same (a byte and its character) share one entry."""
         self.log_weight = log_weight
+        ids: dict[bytes, int] = {}
+        for i, p in enumerate(pieces):
+            for k in range(1, len(p)):
+                ids.setdefault(p[:k], -1)
+            if p and ids.get(p, -1) < 0:
+                ids[p] = i
         self.by_size = {}
         for size in range(1, MAX_PIECE + 1):
-            ids = [i for i, p in enumerate(pieces) if len(p) == size]
-            if ids:
-                raw = np.frombuffer(b"".join(pieces[i] for i in ids), dtype=np.uint8).reshape(-1, size)
+            some = [p for p in ids if len(p) == size]
+            if some:
+                raw = np.frombuffer(b"".join(some), dtype=np.uint8).reshape(-1, size)
                 h = (_BYTE[raw] * powers(MAX_PIECE + 1)[:size]).sum(axis=1, dtype=np.uint64)
                 order = np.argsort(h, kind="stable")
-                self.by_size[size] = (h[order], np.array(ids, dtype=np.int32)[order])
+                self.by_size[size] = (h[order], np.array([ids[p] for p in some], dtype=np.int64)[order])
 
-    def _edges(self, words: list[bytes]):
-        """Piece ids (or -1) for every size, word and place."""
-        size = np.array([len(w) for w in words])
+    def _edges(self, text: np.ndarray, size: np.ndarray):
+        """Marked sizes and the edges as [(end, piece size, words, pieces)], by end."""
+        first = len(MARK)
+        size = size + first
         width = int(size.max())
-        raw = np.frombuffer(b"".join(w.ljust(width, b"\0") for w in words), dtype=np.uint8).reshape(len(words), width)
-        value = _BYTE[raw]
-        p = powers(MAX_PIECE + 1)
-        total = np.zeros_like(value)
-        edges = {}
-        for k in range(1, min(MAX_PIECE, width) + 1):
-            # hash of the k bytes from each place on
-            total = total[:, :width - k + 1] + value[:, k - 1:] * p[k - 1]
-            if k in self.by_size:
-                hashes, ids = self.by_size[k]
-                at = np.minimum(np.searchsorted(hashes, total), len(hashes) - 1)
-                inside = np.arange(width - k + 1)[None, :] + k <= size[:, None]
-                edges[k] = np.where((hashes[at] == total) & inside, ids[at], -1)
-        return size, width, edges
-
-    def _weights(self, edges):
-        return {k: np.where(e >= 0, self.log_weight[e], -np.inf) for k, e in edges.items()}
-
-    def _forward(self, words):
-        size, width, edges = self._edges(words)
-        w = self._weights(edges)
-        alpha = np.full((width + 1, len(words)), -np.inf)
+        raw = np.zeros((len(size), width), dtype=np.uint8)
+        raw[:, :first] = np.frombuffer(MARK, dtype=np.uint8)
+        raw[:, first:][np.arange(width - first) < (size - first)[:, None]] = text
+        word, place = np.nonzero(np.arange(width) < size[:, None])
+        left, raw, at = (size[word] - place), raw.ravel(), word * width + place
+        h, p = np.zeros(len(word), dtype=np.uint64), powers(MAX_PIECE + 1)
+        found = []
+        for k, (hashes, ids) in self.by_size.items():
+            go = np.flatnonzero(left >= k)
+            if not len(go):
+                break
+            word, place, left, at = word[go], place[go], left[go], at[go]
+            h = h[go] + _BYTE[raw[at + k - 1]] * p[k - 1]
+            spot = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
+            go = np.flatnonzero(hashes[spot] == h)
+            word, place, left, at, h = word[go], place[go], left[go], at[go], h[go]
+            piece = ids[spot[go]]
+            whole = np.flatnonzero(piece >= 0)
+            found.append(np.stack((place[whole] + k, np.full(len(whole), k), word[whole], piece[whole])))
+        end, k, word, piece = np.concatenate(found, axis=1)
+        key = end * (MAX_PIECE + 1) + k
+        order = np.argsort(key, kind="stable")
+        key, word, piece = key[order], word[order], piece[order]
+        cut = np.concatenate(([0], np.flatnonzero(key[1:] != key[:-1]) + 1, [len(key)]))
+        return size, width, [(*divmod(int(key[a]), MAX_PIECE + 1), word[a:b], piece[a:b])
+                             for a, b in zip(cut[:-1], cut[1:], strict=True) if b > a]
+
+    def _forward(self, text, size):
+        size, width, edges = self._edges(text, size)
+        alpha = np.full((width + 1, len(size)), -np.inf)
         alpha[0] = 0.0
-        with np.errstate(invalid="ignore"):
-            for j in range(1, width + 1):
-                for k, weight in w.items():
-                    if k <= j:
-                        alpha[j] = np.logaddexp(alpha[j], alpha[j - k] + weight[:, j - k])
-        return size, width, edges, w, alpha
-
-    def score(self, words: list[bytes]) -> np.ndarray:
+        for end, k, word, piece in edges:
+            alpha[end, word] = np.logaddexp(alpha[end, word], alpha[end - k, word] + self.log_weight[piece])
+        return size, width, edges, alpha
+
+    def score(self, text: np.ndarray, size: np.ndarray) -> np.ndarray:
         """Natural log of each word's marginal probability."""
-        out = np.zeros(len(words))
-        for run in _runs(words):
-            size, _, _, _, alpha = self._forward([MARK + words[i] for i in run])
-            out[run] = alpha[size, np.arange(len(run))]
+        out = np.zeros(len(size))
+        for run, part in _runs(text, size):
+            marked, _, _, alpha = self._forward(part, size[run])
+            out[run] = alpha[marked, np.arange(len(run))]
         return out
 
-    def expected(self, words: list[bytes], counts: np.ndarray) -> np.ndarray:
+    def expected(self, text: np.ndarray, size: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Expected number of uses of every piece over all segmentations."""
         out = np.zeros(len(self.log_weight))
-        for run in _runs(words):
-            size, width, edges, w, alpha = self._forward([MARK + words[i] for i in run])
+        for run, part in _runs(text, size):
+            marked, width, edges, alpha = self._forward(part, size[run])
             n = np.arange(len(run))
-            whole = alpha[size, n]
+            whole = alpha[marked, n]
             beta = np.full((width + 1, len(run)), -np.inf)
-            beta[size, n] = 0.0
-            with np.errstate(invalid="ignore"):
-                for j in range(width - 1, -1, -1):
-                    for k, weight in w.items():
-                        if j + k <= width:
-                            beta[j] = np.logaddexp(beta[j], beta[j + k] + weight[:, j])
-                for k, weight in w.items():
-                    e = edges[k]
-                    share = np.exp(alpha[:width - k + 1].T + weight + beta[k:].T - whole[:, None]) * counts[run][:, None]
-                    used = e >= 0
-                    out += np.bincount(e[used], share[used], len(out))
+            beta[marked, n] = 0.0
+            used, share = [], []
+            for end, k, word, piece in reversed(edges):
+                behind = beta[end, word] + self.log_weight[piece]
+                used.append(piece)
+                share.append(np.exp(alpha[end - k, word] + behind - whole[word]) * counts[run][word])
+                beta[end - k, word] = np.logaddexp(beta[end - k, word], behind)
+            out += np.bincount(np.concatenate(used), np.concatenate(share), len(out))
         return out
 
 
-def _runs(words: list[bytes]):
-    """Index runs of words of like length, so that a run's matrix stays small."""
-    order = sorted(range(len(words)), key=lambda i: len(words[i]))
+def joined(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(words), dtype=np.uint8), np.array([len(w) for w in words], dtype=np.int64)
+
+
+def _runs(text: np.ndarray, size: np.ndarray):
+    """Runs of words of like length (indices, joined bytes), so that a run's matrix stays small."""
+    order = np.argsort(size, kind="stable")
+    start = np.cumsum(size) - size
     a = 0
     while a < len(order):
-        b = a + 1
-        while b < len(order) and (b + 1 - a) * (len(words[order[b]]) + len(MARK)) <= LATTICE_CELLS:
-            b += 1
-        yield np.array(order[a:b])
+        b = min(len(order), a + max(1, LATTICE_CELLS // int(size[order[a]] + len(MARK))))
+        while b > a + 1 and (b - a) * (int(size[order[b - 1]]) + len(MARK)) > 2 * LATTICE_CELLS:
+            b = a + max(1, (b - a) // 2)
+        run = order[a:b]
+        yield run, text[ranges(start[run], size[run])]
         a = b
 
 
@@ -164,6 +183,11 @@ def _hash_words(words: list[bytes]) -> np.ndarray:
     return w.hash
 
 
+def _binary(pa, text: np.ndarray, size: np.ndarray):
+    ends = np.concatenate(([0], np.cumsum(size))).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(size), [None, pa.py_buffer(ends), pa.py_buffer(text)])
+
+
 def word_counts(docs: DataFrame) -> DataFrame:
     """(word, c) over the texts of ``docs``; chunk counts are combined map-side."""
     import pyarrow as pa
@@ -174,8 +198,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             for run in chunks(texts, lambda t: len(t or b"")):
                 w = words_of(run)
                 _, at, c = np.unique(w.hash, return_index=True, return_counts=True)
-                words = [w.word(k) for k in at]
-                yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), pa.array(c, pa.int64())], ["word", "c"])
+                yield pa.RecordBatch.from_arrays([_binary(pa, *w.slices(at)), pa.array(c, pa.int64())], ["word", "c"])
     return (docs.select("text").mapInArrow(counted, "word binary, c long")
             .groupBy("word").agg(F.sum("c").alias("c")))
 
@@ -192,7 +215,7 @@ def fit_pieces(counts: DataFrame, n_texts: int, model: str, rounds: int = ROUNDS
             lattice, total = Lattice(names, known.value), 0.0
             for batch in batches:
                 words, c = batch.column(0).to_pylist(), batch.column(1).to_numpy()
-                total = total + lattice.expected(words, c.astype(float))
+                total = total + lattice.expected(*joined(words), c.astype(float))
             if np.ndim(total):
                 used = np.flatnonzero(total)
                 yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["piece", "n"])
@@ -240,7 +263,7 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str
         for batch in batches:
             words = batch.column(0).to_pylist()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_hash_words(words).view(np.int64)), batch.column(1), pa.array(lattice.score(words))],
+                [pa.array(_hash_words(words).view(np.int64)), batch.column(1), pa.array(lattice.score(*joined(words)))],
                 ["h", "c", "lp"])
     top = frequent.mapInArrow(valued, "h long, c long, lp double").toPandas()
     order = np.argsort(top["h"].to_numpy().view(np.uint64))
@@ -267,11 +290,11 @@ def score(df: DataFrame, doc_id: str = "doc_id", text: str = "text", model: str
                     value[hit], count[hit] = lp[place[hit]], c[place[hit]]
                 miss = np.flatnonzero(~hit)
                 if len(miss):
-                    value[miss] = lattice.score([w.word(k) for k in first[miss]])
+                    value[miss] = lattice.score(*w.slices(first[miss]))
                 text_of, n = w.text_of_word(), len(run)
                 rare_at = np.flatnonzero(~hit[inv])
                 ends = np.searchsorted(rare_at, w.first)
-                sums = [np.bincount(text_of, x[inv], n) for x in (value, np.log10(count + 1), hit)]
+                sums = [np.bincount(text_of, x[inv], n).astype(float) for x in (value, np.log10(count + 1), hit)]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(row, row + n)), batch.column(0).slice(at, n), batch.column(2).slice(at, n),
                      pa.array(np.diff(w.first).astype(np.int64) + 1), pa.array(sums[2].astype(np.int64)),

@@ -55,10 +55,21 @@ class Words:
     def word(self, k: int) -> bytes:
         return self.buf[self.start[k]:self.start[k] + self.size[k]].tobytes()
 
+    def slices(self, at: np.ndarray):
+        """The words at the given indices, joined: (bytes, sizes)."""
+        size = self.size[at]
+        return self.buf[ranges(self.start[at], size)], size
+
     def text_of_word(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
+def ranges(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0] .. start[0] + size[0] - 1, start[1] .. and so on."""
+    ends = np.cumsum(size)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+
+
 def _hashes(buf, word, start, size, limit=None) -> np.ndarray:
     if not len(start):
         return np.zeros(0, dtype=np.uint64)
