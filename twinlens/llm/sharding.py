@@ -2,12 +2,11 @@
 
 Documents with equal texts are linked; every document of such a group starts
 with the label (shard) its id hashes to.  The documents of one group that share
-a start label form an atom, and atoms move: in each round a join tells every
-group its fullest shard that has room left, the group's other atoms ask to move
-there, and requests are granted, largest first, as far as the shard's quota
+a start label (and one of ``PARTS`` parts) form an atom, and atoms move: in each round a join tells every
+group its fullest shard that has room left (as many as it has quotas to fill),
+the group's other atoms ask to move there, and requests are granted, most links first, as far as the shard's quota
 reaches (a two-level prefix sum over (shard, lane), so no task sorts a shard).
-Rounds go on until nothing moves.  A group larger than a quota fills one shard
-after another.  Unlinked documents have no preference and fill what is left, so
+Rounds go on until nothing moves.  Unlinked documents have no preference and fill what is left, so
 that shard sizes (law ``rows``) differ by one row at most.
 
 Texts are read once, for their length, checksum and group key; rounds work on
@@ -28,6 +27,7 @@ from pyspark.sql import functions as F
 from .common import lanes, saved
 
 SHARDS = 40
+PARTS = 8                              # atoms a group has for each start label, at most
 MAX_ROUNDS = 16
 OVERHEAD = 16
 
@@ -68,17 +68,24 @@ def _round(atoms: DataFrame, quota: int, n_lanes: int) -> DataFrame:
     room = (atoms.groupBy("shard").agg(F.sum("n").alias("_used"))
             .select("shard", (F.lit(quota) - F.col("_used")).alias("room")))
     open_cells = cells.join(F.broadcast(room), "shard").where("room > 0")
-    target = (open_cells.groupBy("g", "g_len")
-              .agg(F.max(F.struct(F.col("n_cell"), (-F.col("shard")).alias("neg"), F.col("room"))).alias("t"))
-              .select("g", "g_len", (-F.col("t.neg")).cast("int").alias("to"), F.col("t.n_cell").alias("n_to"),
-                      F.col("t.room").alias("room")))
-    own = cells.withColumnRenamed("n_cell", "n_own")
-    asks = atoms.join(own, ["g", "g_len", "shard"]).join(target, ["g", "g_len"])
-    # only towards a fuller shard (equal ones: the smaller number), so rounds cannot swap for ever
+    # a group of m quotas draws to its m fullest open shards (40 cells a group at most)
+    fullest = Window.partitionBy("g", "g_len").orderBy(F.desc("n_cell"), "shard")
+    m = cells.groupBy("g", "g_len").agg(F.ceil(F.sum("n_cell") / F.lit(max(1, quota))).cast("int").alias("m"))
+    target = (open_cells.withColumn("k", F.row_number().over(fullest)).join(m, ["g", "g_len"]).where("k <= m")
+              .select("g", "g_len", "k", F.col("shard").alias("to"), F.col("n_cell").alias("n_to"), "room"))
+    own = (cells.join(F.broadcast(room), "shard")
+           .select("g", "g_len", "shard", F.col("n_cell").alias("n_own"), (F.col("room") <= 0).alias("full")))
+    drawn = target.groupBy("g", "g_len").agg(F.max("k").alias("targets"), F.collect_set("to").alias("all_to"))
+    asks = (atoms.join(own, ["g", "g_len", "shard"]).join(drawn, ["g", "g_len"])
+            .where(~F.array_contains("all_to", F.col("shard")) | (F.col("targets") == 1))
+            .withColumn("k", (F.pmod(F.xxhash64("g", "start"), F.col("targets")) + 1).cast("int"))
+            .join(target, ["g", "g_len", "k"]))
+    # only towards a cell of more rows (equal ones: out of a full shard, or to the smaller number),
+    # so rounds cannot swap for ever
     asks = asks.where((F.col("shard") != F.col("to")) & (
-        (F.col("n_to") > F.col("n_own")) | ((F.col("n_to") == F.col("n_own")) & (F.col("to") < F.col("shard")))))
-    # lane 0 .. 31: by size of the atom, largest first; small atoms are dealt over further lanes
-    size_class = F.lit(31) - F.least(F.lit(31), F.floor(F.log2(F.col("n"))).cast("int"))
+        (F.col("n_to") > F.col("n_own")) | ((F.col("n_to") == F.col("n_own")) & (F.col("full") | (F.col("to") < F.col("shard"))))))
+    # lane 0 .. 31: by the links gained, largest target first; equal ones are dealt over further lanes
+    size_class = F.lit(31) - F.least(F.lit(31), F.floor(F.log2(F.col("n_to"))).cast("int"))
     asks = asks.withColumn("_lane", size_class * n_lanes + F.pmod(F.xxhash64("g", "start"), F.lit(n_lanes)))
     off = _offsets(asks, ["to"], "_lane", F.col("n"))
     w = Window.partitionBy("to", "_lane").orderBy("g", "start").rowsBetween(Window.unboundedPreceding, 0)
@@ -97,12 +104,12 @@ def shard_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     n_lanes = lanes(spark)
     base = saved(base_rows(df, doc_id, text), "shard-base")
     total = base.count()
-    start = F.pmod(F.col("h1"), F.lit(shards)).cast("int")
+    start = F.pmod(F.col("h1"), F.lit(shards * PARTS)).cast("int")
     atoms0 = base.groupBy("g", "g_len", start.alias("start")).agg(F.count(F.lit(1)).alias("n"))
     linked = (atoms0.groupBy("g", "g_len").agg(F.sum("n").alias("n_group")).where("n_group > 1")
               .select("g", "g_len"))
     atoms = saved(atoms0.join(linked, ["g", "g_len"])
-                  .select("g", "g_len", "start", "n", F.col("start").alias("shard"), F.lit(True).alias("moved")),
+                  .select("g", "g_len", "start", "n", (F.col("start") % shards).alias("shard"), F.lit(True).alias("moved")),
                   "shard-atoms")
     quota = total // shards
     for k in range(max_rounds):
