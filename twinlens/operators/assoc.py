@@ -36,7 +36,7 @@ def cramers_v(df: DataFrame, a: str, b: str, by: list[str]) -> DataFrame:
     ka = ct.groupBy(*by, a).count().groupBy(*by).agg(F.count("*").alias("_ka"))
     kb = ct.groupBy(*by, b).count().groupBy(*by).agg(F.count("*").alias("_kb"))
     s = t.groupBy(*by).agg(F.first("_n").alias("_n"),
-                           F.sum(F.col("o") * F.col("o") / (F.col("_row") * F.col("_col"))).alias("_s"))
+                           F.sum(F.col("o").cast("double") * F.col("o") / (F.col("_row").cast("double") * F.col("_col"))).alias("_s"))
     j = s.join(ka, by).join(kb, by)
     chi2 = F.col("_n") * F.col("_s") - F.col("_n")
     k = F.least(F.col("_ka"), F.col("_kb")) - 1
@@ -105,27 +105,28 @@ def matrix_difference(m: DataFrame) -> DataFrame:
     return j.select("col_i", "col_j", "kind", "real_value", "synthetic_value", d.alias("abs_diff"))
 
 
-def share_distances(long_cat: DataFrame, buckets: int | None = 1) -> DataFrame:
+def share_distances(long_cat: DataFrame) -> DataFrame:
     """T16 TVD, T17 JSD (base 2), T18 categorical Wasserstein per column.
 
     Shares are aligned over the category union (0-filled); the Wasserstein
-    distance walks the categories in sorted order.
+    distance walks the categories in sorted order. A side without any value
+    has no shares: the distances are null.
     """
     vc = side_value_counts(long_cat)
     tot = vc.groupBy("column_name").agg(F.sum("n_real").alias("_tr"), F.sum("n_synth").alias("_ts"))
     sh = vc.join(F.broadcast(tot), "column_name").select(  # one row per column
-        "column_name", "value", (F.col("n_real") / F.col("_tr")).alias("p"),
-        (F.col("n_synth") / F.col("_ts")).alias("q"))
+        "column_name", "value", (F.col("n_real") / F.nullif(F.col("_tr"), F.lit(0))).alias("p"),
+        (F.col("n_synth") / F.nullif(F.col("_ts"), F.lit(0))).alias("q"))
     sh = sh.select("*", (F.col("p") - F.col("q")).alias("_d"))
-    rt = running_totals(sh, "column_name", "value", ["_d"], buckets)
+    rt = running_totals(sh, "column_name", "value", ["_d"])
     m = 0.5 * (F.col("p") + F.col("q"))
-    kl = lambda x: F.when(F.col(x) > 0, F.col(x) * F.log2(F.col(x) / m)).otherwise(0.0)
+    kl = lambda x: F.when(m.isNull(), F.lit(None)).when(F.col(x) > 0, F.col(x) * F.log2(F.col(x) / m)).otherwise(0.0)
     a = rt.groupBy("column_name").agg(
         F.count("*").alias("categories"),
         (0.5 * F.sum(F.abs(F.col("_d")))).alias("_tvd"),
         (0.5 * F.sum(kl("p")) + 0.5 * F.sum(kl("q"))).alias("_jsd"),
         F.sum(F.abs(F.col("cum__d"))).alias("_w"))
-    clamp = lambda c: F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
+    clamp = lambda c: F.when(c.isNotNull(), F.least(F.lit(1.0), F.greatest(F.lit(0.0), c)))
     return a.select("column_name", "categories", clamp(F.col("_tvd")).alias("tvd"),
                     clamp(F.col("_jsd")).alias("jsd"),
                     F.when(F.col("categories") == 1, F.lit(0.0))
@@ -137,5 +138,5 @@ def mutual_information(df: DataFrame, a: str, b: str, by: list[str]) -> DataFram
     """Sum p(a,b) ln(p(a,b) / (p(a) p(b))) from the contingency table."""
     ct = df.where(_present(a) & _present(b)).groupBy(*by, a, b).agg(F.count("*").alias("o"))
     t = _marginals(ct, a, b, by).select(*by, "o", F.col("_row").alias("_ra"), F.col("_col").alias("_cb"), "_n")
-    term = (F.col("o") / F.col("_n")) * F.log((F.col("o") * F.col("_n")) / (F.col("_ra") * F.col("_cb")))
+    term = (F.col("o") / F.col("_n")) * F.log((F.col("o").cast("double") * F.col("_n")) / (F.col("_ra").cast("double") * F.col("_cb")))
     return t.groupBy(*by).agg(F.sum(term).alias("mutual_information"))

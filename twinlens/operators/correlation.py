@@ -1,14 +1,12 @@
 """Correlation structure.
 
-All pairwise coefficients for both sides come from a single aggregation
-(``corr`` is a mergeable moment sketch, so it partially aggregates per
+All pairwise coefficients for both sides come from a single aggregation by
+pair (``corr`` is a mergeable moment sketch, so it partially aggregates per
 partition before the one small shuffle).
 """
 
 from __future__ import annotations
 
-from itertools import combinations
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -16,40 +14,30 @@ from ..sources.testdata import Twin
 from .reshape import is_real, is_synth
 
 
-WIDE = 40
-
-
 def pearson_pairs(twin: Twin, cols: list[str] | None = None, strict: bool = False) -> DataFrame:
     """(col_i, col_j, real_r, synthetic_r) for i < j in catalogue order.
 
     Pairwise-complete by default (rows with a null in either column are
     skipped); ``strict`` makes a column with any missing value yield null,
-    like a NumPy matrix with NaN in it. Above ``WIDE`` columns the p(p-1)
-    ``corr`` expressions would strain code generation, so the matrix comes
-    from one d x d Gram aggregation per side instead (``wide_pearson_pairs``).
+    like a NumPy matrix with NaN in it. A row is unfolded into its pairs and
+    aggregated by pair, map-side combined: the plan is the same small one at any
+    number of columns, and only one row a pair and task is shuffled.
     """
     cols = cols or twin.numeric
-    if len(cols) > WIDE:
-        return wide_pearson_pairs(twin, cols)
-    pairs = list(combinations(cols, 2))
+    values = F.array(*[F.col(c).cast("double") for c in cols])
+    one = twin.df.select("src", values.alias("v")).select("src", "v", F.posexplode("v").alias("i", "x"))
+    two = one.where(F.col("i") < len(cols) - 1).select(
+        "src", "i", "x", F.posexplode(F.slice("v", F.col("i") + 2, len(cols))).alias("k", "y"))
     aggs = []
-    for k, (a, b) in enumerate(pairs):
-        for lab, side in (("r", is_real()), ("s", is_synth())):
-            aggs.append(F.corr(F.when(side, F.col(a)), F.when(side, F.col(b))).alias(f"{lab}{k}"))
-    if strict:
-        for c in cols:
-            for lab, side in (("r", is_real()), ("s", is_synth())):
-                aggs.append(F.count_if(side & (F.col(c).isNull() | F.isnan(c))).alias(f"miss_{lab}_{c}"))
-    row = twin.df.agg(*aggs)
-    stacks = []
-    for k, (a, b) in enumerate(pairs):
-        real, syn = F.col(f"r{k}"), F.col(f"s{k}")
+    for side, name in ((is_real(), "real_r"), (is_synth(), "synthetic_r")):
+        r = F.corr(F.when(side, F.col("x")), F.when(side, F.col("y")))
         if strict:
-            real = F.when((F.col(f"miss_r_{a}") + F.col(f"miss_r_{b}")) == 0, real)
-            syn = F.when((F.col(f"miss_s_{a}") + F.col(f"miss_s_{b}")) == 0, syn)
-        stacks.append(F.struct(F.lit(a).alias("col_i"), F.lit(b).alias("col_j"),
-                               real.alias("real_r"), syn.alias("synthetic_r")))
-    return row.select(F.explode(F.array(*stacks)).alias("p")).select("p.*")
+            missing = lambda c: F.col(c).isNull() | F.isnan(c)
+            r = F.when(F.count_if(side & (missing("x") | missing("y"))) == 0, r)
+        aggs.append(r.alias(name))
+    names = F.array(*[F.lit(c) for c in cols])
+    return two.groupBy("i", (F.col("i") + F.col("k") + 1).alias("j")).agg(*aggs).select(
+        F.get(names, F.col("i")).alias("col_i"), F.get(names, F.col("j")).alias("col_j"), "real_r", "synthetic_r")
 
 
 def compare_pairs(pairs: DataFrame, threshold: float = 0.3) -> DataFrame:
@@ -81,21 +69,3 @@ def bivariate_score(pairs: DataFrame) -> DataFrame:
         ~F.isnan("real_r") & ~F.isnan("synthetic_r")
     return pairs.where(ok).agg(F.count("*").alias("pairs"),
                                F.avg(F.abs(F.col("real_r") - F.col("synthetic_r"))).alias("bivariate_distance"))
-
-
-def wide_pearson_pairs(twin: Twin, cols: list[str]) -> DataFrame:
-    """Pearson matrix of many columns per side from Spark ML's distributed
-    Gram-matrix correlation (treeAggregate of d x d partial sums; rows with a
-    missing value in any column are left out: complete cases)."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation
-    spark = twin.df.sparkSession
-    out = None
-    for side, lab in ((is_real(), "real_r"), (is_synth(), "synthetic_r")):
-        d = twin.df.where(side).select(*[F.col(c).cast("double").alias(c) for c in cols]).na.drop()
-        vec = VectorAssembler(inputCols=cols, outputCol="_v").transform(d).select("_v")
-        m = Correlation.corr(vec, "_v").head()[0].toArray()  # d x d: bounded by the schema
-        rows = [(cols[i], cols[j], float(m[i][j])) for i in range(len(cols)) for j in range(i + 1, len(cols))]
-        part = spark.createDataFrame(rows, f"col_i string, col_j string, {lab} double")
-        out = part if out is None else out.join(part, ["col_i", "col_j"])
-    return out

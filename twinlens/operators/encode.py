@@ -108,7 +108,7 @@ def one_hot_drop_first(twin: Twin) -> tuple[DataFrame, list[str]]:
         return lambda v: (F.col(c).cast("string") == v).cast("float")
     for c in twin.categorical:
         # level k (k >= 1 after dropping the first) -> indicator
-        exprs.append(F.transform(F.slice(F.col(f"_lv_{c}"), 2, 1_000_000), indicator(c)).alias(f"_oh_{c}"))
+        exprs.append(F.transform(F.slice(F.col(f"_lv_{c}"), F.lit(2), F.greatest(F.size(f"_lv_{c}") - 1, F.lit(0))), indicator(c)).alias(f"_oh_{c}"))
     nums = [finite_float(F.col(c).cast("string").try_cast("double")).alias(c) for c in twin.numeric]
     out = df.select("src", "row_id", *exprs, *nums)
     parts = [F.col(f"_oh_{c}") for c in twin.categorical] + [F.array(F.col(c)) for c in twin.numeric]

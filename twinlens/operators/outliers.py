@@ -76,7 +76,8 @@ def min_cross_distance(points: DataFrame) -> DataFrame:
 
 def local_outlier_factor(points: DataFrame, k: int = 20, threshold: float = 1.5) -> DataFrame:
     """LOF of synthetic points among themselves (fitted on synthetic
-    only, as the notebook does), flag LOF > threshold."""
+    only, as the notebook does), flag LOF > threshold. The mean reach gains 1e-10,
+    so that a point with k equal neighbours has a finite density."""
     syn = points.where(is_synth()).select("row_id", "x", "y")
     both = (syn.select(F.lit("real").alias("src"), "row_id", "x", "y")
                .unionByName(syn.select(F.lit("synthetic").alias("src"), "row_id", "x", "y")))
@@ -87,7 +88,7 @@ def local_outlier_factor(points: DataFrame, k: int = 20, threshold: float = 1.5)
     nb = nb.select("row_id", "neighbor_id", "distance", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
     kd = nb.where(F.col("rank") == k).select(F.col("row_id").alias("neighbor_id"), F.col("distance").alias("_kd"))
     reach = nb.join(kd, "neighbor_id").select("row_id", "neighbor_id", F.greatest("distance", "_kd").alias("_reach"))
-    lrd = reach.groupBy("row_id").agg((1.0 / F.avg("_reach")).alias("lrd"))
+    lrd = reach.groupBy("row_id").agg((1.0 / (F.avg("_reach") + 1e-10)).alias("lrd"))
     lo = nb.join(lrd.select(F.col("row_id").alias("neighbor_id"), F.col("lrd").alias("_lrd_o")), "neighbor_id") \
         .groupBy("row_id").agg(F.avg("_lrd_o").alias("_m"))
     out = lo.join(lrd, "row_id").select("row_id", (F.col("_m") / F.col("lrd")).alias("lof"))

@@ -136,8 +136,8 @@ def category_shares(long_cat: DataFrame, digits: int = 2) -> DataFrame:
     return j.select(
         "column_name", F.col("value").alias("category"),
         F.col("n_real").alias("real_count"), F.col("n_synth").alias("synthetic_count"),
-        F.round(F.col("n_real") * 100.0 / F.col("_tot_n_real"), digits).alias("real_pct"),
-        F.round(F.col("n_synth") * 100.0 / F.col("_tot_n_synth"), digits).alias("synthetic_pct"))
+        F.round(F.col("n_real") * 100.0 / F.nullif(F.col("_tot_n_real"), F.lit(0)), digits).alias("real_pct"),
+        F.round(F.col("n_synth") * 100.0 / F.nullif(F.col("_tot_n_synth"), F.lit(0)), digits).alias("synthetic_pct"))
 
 
 def histogram(long_num: DataFrame, max_bins: int = 30, fixed_bins: int | None = None) -> DataFrame:
@@ -169,8 +169,8 @@ def histogram(long_num: DataFrame, max_bins: int = 30, fixed_bins: int | None =
         "column_name", "bin", (F.col("_start") + F.col("bin") * F.col("bin_size")).alias("bin_start"),
         (F.col("_start") + (F.col("bin") + 1) * F.col("bin_size")).alias("bin_end"),
         "real_count", "synthetic_count",
-        (F.col("real_count") / (F.col("_nr") * F.col("bin_size"))).alias("real_density"),
-        (F.col("synthetic_count") / (F.col("_ns") * F.col("bin_size"))).alias("synthetic_density"))
+        (F.col("real_count") / F.nullif(F.col("_nr") * F.col("bin_size"), F.lit(0.0))).alias("real_density"),
+        (F.col("synthetic_count") / F.nullif(F.col("_ns") * F.col("bin_size"), F.lit(0.0))).alias("synthetic_density"))
 
 
 def discrete_histogram(long_cat: DataFrame) -> DataFrame:
@@ -179,8 +179,8 @@ def discrete_histogram(long_cat: DataFrame) -> DataFrame:
     j = vc.join(F.broadcast(_group_totals(vc, ["n_real", "n_synth"])), "column_name")  # one row per column
     return j.select("column_name", "value", F.col("n_real").alias("real_count"),
                     F.col("n_synth").alias("synthetic_count"),
-                    (F.col("n_real") / F.col("_tot_n_real")).alias("real_share"),
-                    (F.col("n_synth") / F.col("_tot_n_synth")).alias("synthetic_share"))
+                    (F.col("n_real") / F.nullif(F.col("_tot_n_real"), F.lit(0))).alias("real_share"),
+                    (F.col("n_synth") / F.nullif(F.col("_tot_n_synth"), F.lit(0))).alias("synthetic_share"))
 
 
 def five_number(long_num: DataFrame) -> DataFrame:

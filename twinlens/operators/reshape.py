@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut_lineage
 from ..sources.testdata import REAL, SYNTH, Twin
 
 
@@ -48,52 +49,35 @@ def side_value_counts(long: DataFrame) -> DataFrame:
         F.count_if(is_synth()).alias("n_synth"))
 
 
-def running_totals(df: DataFrame, part: str | list[str], order: str, sums: list[str],
-                   buckets: int | None = None) -> DataFrame:
+def running_totals(df: DataFrame, part: str | list[str], order: str, sums: list[str]) -> DataFrame:
     """Add ``cum_<c>`` (inclusive prefix sum ordered by ``order``) and
     ``tot_<c>`` (group total) for each c in ``sums``, per ``part``.
 
-    One level: a window partitioned by ``part`` (one task per group).
-    Two levels (``buckets`` > 1): split each group's ordered domain into
-    value ranges from approximate quantiles, total each range, prefix-sum the
-    small range table, and finish with a window per (group, range) seeded
-    with the range offset. The bucket of a row is a pure function of its value,
-    so a recomputed partition lands in the same bucket.
+    The aggregated rows are dealt into ranges of (part, order) - any orderable
+    key: number, string or struct - and checkpointed, so a row's range is fixed.
+    Per-range totals give each range's offset, and a window per (part, range)
+    adds the running sum inside it. The number of ranges follows the number of
+    rows (adaptive execution merges small ranges), so no task sorts a group.
     """
     parts = [part] if isinstance(part, str) else list(part)
-    if buckets is None:
-        # one value range per 64 shuffle partitions from 128 partitions up: a
-        # single window on a laptop, hundreds of ranges per group on a cluster
-        sp = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "8"))
-        buckets = sp // 64 if sp >= 128 else 1
-    if buckets <= 1:
-        w = Window.partitionBy(*parts).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-        wt = Window.partitionBy(*parts)
-        return df.select("*", *[F.sum(c).over(w).alias(f"cum_{c}") for c in sums],
-                         *[F.sum(c).over(wt).alias(f"tot_{c}") for c in sums])
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(*parts).agg(
-        F.percentile_approx(order, probs, 10000).alias("_bounds"))
-    tagged = (df.join(F.broadcast(bounds), parts)  # one row per group: bounded
-                .withColumn("_bucket", F.size(F.filter("_bounds", lambda b: b < F.col(order))))
-                .drop("_bounds"))
-    per_bucket = tagged.groupBy(*parts, "_bucket").agg(*[F.sum(c).alias(f"_b_{c}") for c in sums])
-    wb = Window.partitionBy(*parts).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    wt = Window.partitionBy(*parts)
-    offsets = per_bucket.select(
-        *parts, "_bucket",
-        *[F.coalesce(F.sum(f"_b_{c}").over(wb), F.lit(0)).alias(f"_o_{c}") for c in sums],
-        *[F.sum(f"_b_{c}").over(wt).alias(f"tot_{c}") for c in sums])
-    w = (Window.partitionBy(*parts, "_bucket").orderBy(order)
-         .rowsBetween(Window.unboundedPreceding, 0))
-    out = tagged.join(F.broadcast(offsets), [*parts, "_bucket"])  # groups x buckets rows
-    return out.select(*df.columns,
-                      *[(F.sum(c).over(w) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums],
-                      *[F.col(f"tot_{c}") for c in sums])
-
-
-def exact_quantiles(long: DataFrame, probs: dict[str, float], group: list[str],
-                    buckets: int | None = None) -> DataFrame:
+    ranged = cut_lineage(df.repartitionByRange(*parts, order).withColumn("_range", F.spark_partition_id()))
+    per_range = ranged.groupBy(*parts, "_range").agg(*[F.sum(c).alias(f"_b_{c}") for c in sums])
+    before = Window.partitionBy(*parts).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*parts)
+    offsets = per_range.select(
+        *[F.col(c).alias(f"_p_{c}") for c in parts], F.col("_range").alias("_r"),
+        *[F.coalesce(F.sum(f"_b_{c}").over(before), F.lit(0)).alias(f"_o_{c}") for c in sums],
+        *[F.sum(f"_b_{c}").over(whole).alias(f"tot_{c}") for c in sums])
+    same = ranged["_range"] == offsets["_r"]
+    for c in parts:
+        same = same & ranged[c].eqNullSafe(offsets[f"_p_{c}"])
+    w = Window.partitionBy(*parts, "_range").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    return ranged.join(offsets, same).select(
+        *df.columns, *[(F.sum(c).over(w) + F.col(f"_o_{c}")).alias(f"cum_{c}") for c in sums],
+        *[F.col(f"tot_{c}") for c in sums])
+
+
+def exact_quantiles(long: DataFrame, probs: dict[str, float], group: list[str]) -> DataFrame:
     """Exact quantiles with linear interpolation (NumPy/pandas default).
 
     Works from value counts and prefix sums, so no group's values are ever
@@ -101,7 +85,7 @@ def exact_quantiles(long: DataFrame, probs: dict[str, float], group: list[str],
     inclusive running count exceeds r.
     """
     vc = long.groupBy(*group, "value").agg(F.count("*").alias("n"))
-    rt = running_totals(vc, group, "value", ["n"], buckets)
+    rt = running_totals(vc, group, "value", ["n"])
     aggs = [F.max("tot_n").alias("n")]
     for name, q in probs.items():
         pos = (F.col("tot_n") - 1) * F.lit(float(q))
@@ -116,13 +100,13 @@ def exact_quantiles(long: DataFrame, probs: dict[str, float], group: list[str],
     return a.select(*group, F.col("n").cast("long").alias("n"), *outs)
 
 
-def side_quantiles(long: DataFrame | None, probs: dict[str, float], buckets: int | None = None,
+def side_quantiles(long: DataFrame | None, probs: dict[str, float],
                    cdf: DataFrame | None = None) -> DataFrame:
     """Exact per-side quantiles (linear interpolation) from the *same* side
     value counts and prefix sums the KS statistic uses (``cdf`` when it is
     already materialised). Returns (src, column_name, n, <prob names>)."""
     rt = cdf if cdf is not None else running_totals(side_value_counts(long), "column_name", "value",
-                                                    ["n_real", "n_synth"], buckets)
+                                                    ["n_real", "n_synth"])
     aggs = []
     for side, cum, tot in (("r", "cum_n_real", "tot_n_real"), ("s", "cum_n_synth", "tot_n_synth")):
         aggs.append(F.max(tot).alias(f"_n_{side}"))

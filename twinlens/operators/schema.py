@@ -251,3 +251,32 @@ def numeric_rescue(real: DataFrame, synth: DataFrame, min_numeric: int = 2):
         return df.select(*[F.col(c).cast("string").try_cast("double").alias(c) if c in rescue else F.col(c)
                            for c in df.columns])
     return conv(real), conv(synth), rescue
+
+
+def _per_column(df: DataFrame, *fields) -> DataFrame:
+    """One row per column from one aggregate: (column_name, fields...)."""
+    row = df.agg(*[F.struct(*[make(F.col(c)).alias(name) for name, make in fields]).alias(c) for c in df.columns])
+    return row.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("v"))
+                                          for c in df.columns])).alias("t")).select("t.column_name", "t.v.*")
+
+
+def rescued_columns(df: DataFrame) -> DataFrame:
+    """(column_name, rescued): a text column holds at least one number."""
+    return _per_column(df, ("rescued", lambda c: F.bool_or(c.try_cast("double").isNotNull())))
+
+
+def inferred_kinds(df: DataFrame) -> DataFrame:
+    """(column_name, kind): categorical when more than half of the values fail to parse."""
+    fails = lambda c: F.avg(F.when(c.try_cast("double").isNull(), 1.0).otherwise(0.0))
+    return _per_column(df, ("kind", lambda c: F.when(fails(c) > 0.5, "categorical").otherwise("numeric")))
+
+
+def header_values(real: DataFrame, synth: DataFrame) -> DataFrame:
+    """Headers of both sides, which side has them, and their values and missing values."""
+    def side(df, n):
+        return _per_column(df, (n, F.count), (f"{n}_missing", lambda c: F.count(F.lit(1)) - F.count(c)))
+    j = side(real, "real_values").join(side(synth, "synthetic_values"), "column_name", "full")
+    status = (F.when(F.col("real_values").isNull(), "synthetic_only").when(F.col("synthetic_values").isNull(), "real_only")
+              .otherwise("common"))
+    return j.select(F.col("column_name").alias("header"), status.alias("status"), "real_values", "real_values_missing",
+                    "synthetic_values", "synthetic_values_missing")

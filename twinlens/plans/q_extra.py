@@ -192,23 +192,23 @@ def q_p15(spark, sf_dir):
         F.struct(F.lit("finite_first_5_rows").alias("check_name"), F.col("c").alias("passed")))).alias("t")).select("t.*")
 
 
-@register("p19_a6_dtype_consistency", dbl=("ratio",), sql=(
-    "SELECT count_if(r.data_type = s.data_type) AS consistent_columns, (SELECT count(*) FROM information_schema.columns "
-    "WHERE table_name = 'customer') AS total_columns, count_if(r.data_type = s.data_type) / (SELECT count(*) FROM "
-    "information_schema.columns WHERE table_name = 'customer') AS ratio, CASE WHEN count_if(r.data_type = s.data_type) / "
-    "(SELECT count(*) FROM information_schema.columns WHERE table_name = 'customer') >= 0.95 THEN 'ACCEPT' ELSE 'REJECT' END "
-    "AS result FROM (SELECT substr(column_name, 3) AS c, data_type FROM information_schema.columns WHERE table_name = 'customer') r "
-    "JOIN (SELECT substr(column_name, 3) AS c, data_type FROM information_schema.columns WHERE table_name = 'supplier') s USING (c)"))
+def _inferred_sql(rel: str, cols: list[str]) -> str:
+    return " UNION ALL ".join(
+        f"SELECT '{c}' AS c, CASE WHEN avg(CASE WHEN TRY_CAST(CAST({c} AS VARCHAR) AS DOUBLE) IS NULL THEN 1.0E0 ELSE 0.0E0 END) "
+        f"> 0.5 THEN 'categorical' ELSE 'numeric' END AS kind FROM ({rel}) _t" for c in cols)
+
+
+@register("p19_a6_dtype_consistency", dbl=("ratio",), sql=lambda: (
+    "SELECT consistent_columns, total_columns, consistent_columns / total_columns AS ratio, "
+    "CASE WHEN consistent_columns / total_columns >= 0.95 THEN 'ACCEPT' ELSE 'REJECT' END AS result FROM ("
+    "SELECT count_if(coalesce(r.kind = s.kind, false)) AS consistent_columns, count(*) AS total_columns "
+    f"FROM ({_inferred_sql(CUSTOMER_SQL, CUST)}) r LEFT JOIN ({_inferred_sql(SUPPLIER_SQL, SUPP)}) s USING (c)) _a"))
 def q_p19(spark, sf_dir):
-    """Declared-type comparison of shared columns and the consistency ratio."""
-    r, s = customer_real(spark, sf_dir), supplier_synth(spark, sf_dir)
-    rt = {f.name: f.dataType.simpleString() for f in r.schema.fields}
-    st = {f.name: f.dataType.simpleString() for f in s.schema.fields}
-    rows = [(c, rt[c], st.get(c)) for c in r.columns]
-    meta = spark.createDataFrame(rows, "column string, real_type string, synthetic_type string")
-    same = F.col("real_type") == F.col("synthetic_type")
-    a = meta.agg(F.count_if(F.coalesce(same, F.lit(False))).alias("consistent_columns"),
-                 F.count("*").alias("total_columns"))
+    """Types inferred from each side's values, compared by header."""
+    r, s = _strings_cs(spark, sf_dir)
+    kinds = sc.inferred_kinds(r).join(sc.inferred_kinds(s).withColumnRenamed("kind", "other"), "column_name", "left")
+    a = kinds.agg(F.count_if(F.coalesce(F.col("kind") == F.col("other"), F.lit(False))).alias("consistent_columns"),
+                  F.count("*").alias("total_columns"))
     ratio = F.col("consistent_columns") / F.col("total_columns")
     return a.select("consistent_columns", "total_columns", ratio.alias("ratio"),
                     F.when(ratio >= 0.95, "ACCEPT").otherwise("REJECT").alias("result"))
@@ -406,11 +406,8 @@ def _strings_cs(spark, sf_dir):
     + " UNION ALL ".join(f"SELECT '{c}' AS column_name, CAST({c} AS VARCHAR) AS value FROM ({CUSTOMER_SQL}) _c"
                          for c in CUST) + ") _u GROUP BY column_name"))
 def q_p8(spark, sf_dir):
-    r, s = _strings_cs(spark, sf_dir)
-    _, _, rescued = sc.numeric_rescue(r, s)
-    names = spark.createDataFrame([(c, c in rescued) for c in r.columns], "column_name string, rescued boolean")
-    # the decision comes from one aggregate over the real rows (inside numeric_rescue)
-    return names
+    r, _ = _strings_cs(spark, sf_dir)
+    return sc.rescued_columns(r)
 
 
 def _summary_sql() -> str:

@@ -82,7 +82,7 @@ def lof_sql(k: int = 20) -> str:
           f"row_number() OVER (PARTITION BY p.row_id ORDER BY sqrt(pow(p.x - o.x, 2) + pow(p.y - o.y, 2)), o.row_id) AS rank "
           f"FROM ({syn}) p CROSS JOIN ({syn}) o WHERE p.row_id <> o.row_id) _n WHERE rank <= {k}")
     kd = f"SELECT row_id AS neighbor_id, distance AS _kd FROM ({nb}) _k WHERE rank = {k}"
-    lrd = (f"SELECT row_id, 1.0E0 / avg(greatest(distance, _kd)) AS lrd FROM ({nb}) n JOIN ({kd}) k USING (neighbor_id) "
+    lrd = (f"SELECT row_id, 1.0E0 / (avg(greatest(distance, _kd)) + 1.0E-10) AS lrd FROM ({nb}) n JOIN ({kd}) k USING (neighbor_id) "
            "GROUP BY row_id")
     lo = (f"SELECT n.row_id, avg(l.lrd) AS _m FROM ({nb}) n JOIN ({lrd}) l ON n.neighbor_id = l.row_id GROUP BY n.row_id")
     return (f"SELECT row_id, _m / lrd AS lof, _m / lrd > 1.5 AS is_outlier FROM ({lo}) a JOIN ({lrd}) b USING (row_id)")

@@ -43,21 +43,17 @@ def q_p3(spark, sf_dir):
 
 
 def _hdr_sql() -> str:
-    cols = ("SELECT table_name AS t, substr(column_name, 3) AS c FROM information_schema.columns "
-            "WHERE table_name IN ('customer', 'supplier')")
-    r = f"SELECT c FROM ({cols}) _a WHERE t = 'customer'"
-    s = f"SELECT c FROM ({cols}) _a WHERE t = 'supplier'"
-    ro = f"SELECT c FROM ({r}) _r WHERE c NOT IN ({s})"
-    so = f"SELECT c FROM ({s}) _s WHERE c NOT IN ({r})"
-    co = f"SELECT c FROM ({r}) _r WHERE c IN ({s})"
-    j = lambda q: f"(SELECT coalesce(string_agg(c, '|' ORDER BY c), '') FROM ({q}) _q)"
-    return (f"SELECT {j(ro)} AS real_only, {j(so)} AS synthetic_only, {j(co)} AS common, "
-            f"CAST((SELECT count(*) FROM ({ro}) _x) + (SELECT count(*) FROM ({so}) _y) AS INTEGER) AS excluded")
+    side = lambda rel, cols, n: " UNION ALL ".join(
+        f"SELECT '{c}' AS header, count({c}) AS {n}, count(*) - count({c}) AS {n}_missing FROM ({rel}) _t" for c in cols)
+    return ("SELECT header, CASE WHEN real_values IS NULL THEN 'synthetic_only' WHEN synthetic_values IS NULL THEN 'real_only' "
+            "ELSE 'common' END AS status, real_values, real_values_missing, synthetic_values, synthetic_values_missing "
+            f"FROM ({side(CUSTOMER_SQL, CUST_COLS, 'real_values')}) r "
+            f"FULL JOIN ({side(SUPPLIER_SQL, SUPP_COLS, 'synthetic_values')}) s USING (header)")
 
 
 @register("p17_header_diff", sql=_hdr_sql)
 def q_p17(spark, sf_dir):
-    return sc.header_diff(customer_real(spark, sf_dir), supplier_synth(spark, sf_dir))
+    return sc.header_values(customer_real(spark, sf_dir), supplier_synth(spark, sf_dir))
 
 
 def _strings(spark, sf_dir):

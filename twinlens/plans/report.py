@@ -35,28 +35,22 @@ def _row(df: DataFrame, category: str, test_type: str | Column, column: Column |
                      (result if result is not None else F.lit(None)).cast("string").alias("result"))
 
 
-def validation_report(twin: Twin, alpha: float = 0.05, materialize: bool | None = None) -> DataFrame:
+def validation_report(twin: Twin, alpha: float = 0.05) -> DataFrame:
     """The seven categories as one long frame.
 
-    With ``materialize`` the three relations most tests read - the per-value
-    ECDF, per-column moments and categorical side counts - are computed once
-    and cut from the lineage with a reliable checkpoint (``spark.checkpoint.dir``),
-    so the raw data is scanned a handful of times instead of once per test.
-    By default this happens when Catalyst estimates the input above
-    ``MATERIALIZE_BYTES``; on small inputs the extra writes cost more than
-    the rescans they save.
+    The three relations most tests read - the per-value ECDF, per-column
+    moments and categorical side counts - are computed once and cut from the
+    lineage with a reliable checkpoint (``spark.checkpoint.dir``), at every
+    size, so the raw data is scanned a handful of times instead of once per test.
     """
     from ..operators.reshape import side_moments, side_value_counts
-    from ..session import MATERIALIZE_BYTES, cut_lineage, estimated_bytes
-    if materialize is None:
-        materialize = estimated_bytes(twin.df) > MATERIALIZE_BYTES
+    from ..session import cut_lineage
     num = numeric_long(twin)
     cat = categorical_long(twin) if twin.categorical else None
     cdf, mom = dt.ecdf(num), side_moments(num)
     cvc = side_value_counts(cat) if cat is not None else None
-    if materialize:
-        cdf, mom = cut_lineage(cdf), cut_lineage(mom)
-        cvc = cut_lineage(cvc) if cvc is not None else None
+    cdf, mom = cut_lineage(cdf), cut_lineage(mom)
+    cvc = cut_lineage(cvc) if cvc is not None else None
     parts = []
     rng = pr.numeric_range(num, moments=mom)
     parts.append(_row(rng, "Range Validation", "range_test", F.col("column_name"), F.col("range_diff"), None, None))

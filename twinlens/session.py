@@ -52,6 +52,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     except Exception:  # pragma: no cover - sessions without a context
         sc = None
     if not current:
+        if sc is not None and not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         current = tempfile.mkdtemp(prefix="twinlens-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", current)
     if sc is not None:
@@ -67,16 +69,3 @@ def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint dir (never local)."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """Catalyst's planning-time size estimate of ``df`` (no job runs)."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # pragma: no cover - estimate unavailable
-        return 0
-
-
-# Above this estimated input size a multi-test plan materialises its shared
-# relations once instead of letting every test rescan the input.
-MATERIALIZE_BYTES = 1 << 30
