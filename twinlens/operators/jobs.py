@@ -49,13 +49,15 @@ def job_page(jobs: DataFrame, status: str | None = None, method: str | None = No
 
 
 def job_statistics(jobs: DataFrame) -> DataFrame:
-    """A26 with ``rollup``: per method and overall (method null)."""
+    """A26 with ``rollup``: per method and overall (method null); the success
+    rate is in percent."""
     return jobs.rollup("method").agg(
         F.count("*").alias("total"), F.count_if(F.col("status") == "completed").alias("completed"),
         F.count_if(F.col("status") == "failed").alias("failed"),
-        F.count_if(~F.col("status").isin(*TERMINAL)).alias("running"),
+        F.count_if(F.col("status") == "running").alias("running"),
+        F.count_if(F.col("status") == "queued").alias("queued"),
         F.avg(F.when(F.col("status") == "completed", F.col("runtime"))).alias("avg_runtime"),
-        (F.count_if(F.col("status") == "completed") / F.count("*")).alias("success_rate"))
+        (F.count_if(F.col("status") == "completed") / F.count("*") * 100.0).alias("success_rate"))
 
 
 def job_count(jobs: DataFrame, status: str | None = None, date_from: str | None = None) -> DataFrame:
@@ -99,13 +101,14 @@ def latest_status(events: DataFrame, key: str = "user_id") -> DataFrame:
 
 
 def status_overlay(jobs: DataFrame, live: DataFrame) -> DataFrame:
-    """A stored terminal status wins; else running; progress 1.0 when
-    completed."""
+    """A stored terminal status wins; else running. Progress is 1.0 when
+    completed, the stored one (or 0) when failed, and the live one before the
+    stored one while running."""
     j = jobs.join(live, jobs["owner_id"] == live["user_id"], "left")
-    st = display_status()
+    st, stored = display_status(), F.coalesce("progress", F.lit(0.0))
     return j.select("job_id", st.alias("status"),
-                    F.when(st == "completed", F.lit(1.0)).when(F.col("live_status").isNull(), F.lit(0.0))
-                     .otherwise(F.lit(0.5)).alias("progress"),
+                    F.when(st == "completed", F.lit(1.0)).when(st == "failed", stored)
+                     .otherwise(F.coalesce("live_progress", stored)).alias("progress"),
                     "live_status")
 
 
@@ -120,15 +123,19 @@ def available_models(jobs: DataFrame, results: DataFrame) -> DataFrame:
 
 
 def display_name(jobs: DataFrame) -> DataFrame:
-    """L6 + L7: job name from sample counts (parameters, else shape) and the
-    runtime as ms / s / min text."""
-    n_real = F.coalesce(F.get_json_object("parameters", "$.n_real"), F.get_json_object("shape", "$[0]"))
-    n_syn = F.coalesce(F.get_json_object("parameters", "$.n_synthetic"), F.lit("?"))
-    name = F.concat(F.upper("method"), F.lit(" "), n_real, F.lit(" real / "), n_syn, F.lit(" synthetic"))
+    """L6 + L7: job name from the sample counts of both sides (parameters, else
+    processed samples, else shape; the stored name when a side has none) and the
+    runtime as text (ms, s, m; N/A when unknown or zero)."""
+    param = lambda key: F.get_json_object("parameters", f"$.{key}")
+    n_real = F.coalesce(param("n_real"), F.col("processed_samples").cast("string"), F.get_json_object("shape", "$[0]"))
+    n_syn = param("n_synthetic")
+    name = F.coalesce(F.concat(F.upper("method"), F.lit(" Embedding - "), n_real, F.lit("R + "), n_syn, F.lit("S samples")),
+                      F.col("name"))
     r = F.col("runtime")
-    txt = (F.when(r < 1, F.concat(F.round(r * 1000).cast("long").cast("string"), F.lit(" ms")))
-            .when(r < 60, F.concat(F.round(r, 1).cast("string"), F.lit(" s")))
-            .otherwise(F.concat(F.round(r / 60, 1).cast("string"), F.lit(" min"))))
+    txt = (F.when(r.isNull() | (r == 0), F.lit("N/A"))
+            .when(r < 1, F.concat(F.round(r * 1000).cast("long").cast("string"), F.lit("ms")))
+            .when(r < 60, F.concat(F.round(r, 1).cast("string"), F.lit("s")))
+            .otherwise(F.concat(F.round(r / 60, 1).cast("string"), F.lit("m"))))
     return jobs.select("job_id", name.alias("display_name"), txt.alias("runtime_text"))
 
 

@@ -32,9 +32,9 @@ def q_l1(spark, sf_dir):
 
 @register("a26_job_statistics", dbl=("avg_runtime", "success_rate"), sql=(
     "SELECT method, count(*) AS total, count_if(status = 'completed') AS completed, "
-    "count_if(status = 'failed') AS failed, count_if(status NOT IN ('completed', 'failed')) AS running, "
+    "count_if(status = 'failed') AS failed, count_if(status = 'running') AS running, count_if(status = 'queued') AS queued, "
     "avg(CASE WHEN status = 'completed' THEN runtime END) AS avg_runtime, "
-    f"count_if(status = 'completed') / count(*) AS success_rate FROM ({JOBS_SQL}) _j GROUP BY ROLLUP (method)"))
+    f"count_if(status = 'completed') / count(*) * 100.0E0 AS success_rate FROM ({JOBS_SQL}) _j GROUP BY ROLLUP (method)"))
 def q_a26(spark, sf_dir):
     return jb.job_statistics(jobs(spark, sf_dir))
 
@@ -71,11 +71,17 @@ def q_w6(spark, sf_dir):
 
 
 @register("j12_status_overlay", dbl=("progress",), sql=(
-    f"SELECT job_id, {STATUS_SQL} AS status, CASE WHEN {STATUS_SQL} = 'completed' THEN 1.0E0 "
-    "WHEN live_status IS NULL THEN 0.0E0 ELSE 0.5E0 END AS progress, live_status "
-    f"FROM ({JOBS_SQL}) j LEFT JOIN ({LIVE_SQL}) l ON j.owner_id = l.user_id"))
+    f"SELECT job_id, {STATUS_SQL} AS status, CASE WHEN status = 'completed' THEN 1.0E0 WHEN status = 'failed' "
+    "THEN coalesce(progress, 0.0E0) ELSE coalesce(live_progress, progress, 0.0E0) END AS progress, live_status "
+    f"FROM ({JOBS_SQL}) j LEFT JOIN (SELECT *, least(live_value / 1000.0E0, 1.0E0) AS live_progress FROM ("
+    "SELECT user_id, arg_max(event_type, ts) AS live_status, arg_max(value, ts) AS live_value FROM events GROUP BY user_id) _v) l "
+    "ON j.owner_id = l.user_id"))
 def q_j12(spark, sf_dir):
-    return jb.status_overlay(jobs(spark, sf_dir), jb.latest_status(table(spark, sf_dir, "events")))
+    """The latest event of a job's owner stands for its queue entry, its value for the progress."""
+    live = table(spark, sf_dir, "events").groupBy("user_id").agg(
+        F.max_by("event_type", "ts").alias("live_status"),
+        F.least(F.max_by("value", "ts") / 1000.0, F.lit(1.0)).alias("live_progress"))
+    return jb.status_overlay(jobs(spark, sf_dir), live)
 
 
 @register("e4_available_models", sql=(
@@ -87,13 +93,18 @@ def q_e4(spark, sf_dir):
 
 
 @register("l6_l7_display_name", sql=(
-    "SELECT job_id, upper(method) || ' ' || coalesce(json_extract_string(parameters, '$.n_real'), "
-    "json_extract_string(shape, '$[0]')) || ' real / ' || coalesce(json_extract_string(parameters, '$.n_synthetic'), '?') "
-    "|| ' synthetic' AS display_name, CASE WHEN runtime < 1 THEN CAST(CAST(round(runtime * 1000) AS BIGINT) AS VARCHAR) "
-    "|| ' ms' WHEN runtime < 60 THEN CAST(round(runtime, 1) AS VARCHAR) || ' s' "
-    f"ELSE CAST(round(runtime / 60, 1) AS VARCHAR) || ' min' END AS runtime_text FROM ({JOBS_SQL}) _j"))
+    "SELECT job_id, coalesce(upper(method) || ' Embedding - ' || coalesce(json_extract_string(parameters, '$.n_real'), "
+    "CAST(processed_samples AS VARCHAR), json_extract_string(shape, '$[0]')) || 'R + ' || "
+    "json_extract_string(parameters, '$.n_synthetic') || 'S samples', name) AS display_name, "
+    "CASE WHEN runtime IS NULL OR runtime = 0 THEN 'N/A' WHEN runtime < 1 THEN "
+    "CAST(CAST(round(runtime * 1000) AS BIGINT) AS VARCHAR) || 'ms' WHEN runtime < 60 THEN CAST(round(runtime, 1) AS VARCHAR) || 's' "
+    "ELSE CAST(round(runtime / 60, 1) AS VARCHAR) || 'm' END AS runtime_text FROM (SELECT * REPLACE ("
+    "CASE WHEN job_id % 17 = 0 THEN NULL WHEN job_id % 5 = 0 THEN round(runtime / 1.0E6, 4) ELSE runtime END AS runtime) "
+    f"FROM ({JOBS_SQL}) _i) _j"))
 def q_l6(spark, sf_dir):
-    return jb.display_name(jobs(spark, sf_dir))
+    """Runtimes of every unit: some unknown, some below a second."""
+    r = F.when(F.col("job_id") % 17 == 0, F.lit(None)).when(F.col("job_id") % 5 == 0, F.round(F.col("runtime") / 1e6, 4))
+    return jb.display_name(jobs(spark, sf_dir).withColumn("runtime", r.otherwise(F.col("runtime"))))
 
 
 @register("k10_partial_update", dbl=("runtime",), sql=(

@@ -150,9 +150,15 @@ def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("o_totalprice").cast("double").alias("runtime"),
         (F.col("o_custkey") % 7 == 0).alias("is_favorite"),
         F.col("o_custkey").alias("owner_id"),
-        F.concat(F.lit('{"n_real": '), (F.col("o_custkey") % 1000 + 10).cast("string"),
-                 F.lit(', "n_synthetic": '), (F.col("o_orderkey") % 1000 + 10).cast("string"),
+        # some jobs name no real samples, some no synthetic ones
+        F.concat(F.lit('{"method": 1'),
+                 F.when(F.col("o_orderkey") % 4 == 0, "").otherwise(
+                     F.concat(F.lit(', "n_real": '), (F.col("o_custkey") % 1000 + 10).cast("string"))),
+                 F.when(F.col("o_orderkey") % 9 == 0, "").otherwise(
+                     F.concat(F.lit(', "n_synthetic": '), (F.col("o_orderkey") % 1000 + 10).cast("string"))),
                  F.lit("}")).alias("parameters"),
+        F.concat(F.lit("job "), F.col("o_orderkey").cast("string")).alias("name"),
+        F.when(F.col("o_orderkey") % 13 != 0, (F.col("o_orderkey") % 11) / 10.0).alias("progress"),
         F.when(F.col("o_orderkey") % 5 == 0, F.lit(None).cast("int"))
          .otherwise((F.col("o_orderkey") % 997).cast("int")).alias("processed_samples"),
         F.concat(F.lit("["), (F.col("o_orderkey") % 997).cast("string"), F.lit(", 2]")).alias("shape"))
@@ -166,8 +172,10 @@ JOBS_SQL = (
     "WHEN CAST(substr(o_orderpriority, 1, 1) AS INTEGER) % 3 = 2 THEN 'tsne' ELSE 'pca' END AS method, "
     "o_orderdate AS created_at, CAST(o_totalprice AS DOUBLE) AS runtime, "
     "(o_custkey % 7 = 0) AS is_favorite, o_custkey AS owner_id, "
-    "'{\"n_real\": ' || CAST(o_custkey % 1000 + 10 AS VARCHAR) || ', \"n_synthetic\": ' "
-    "|| CAST(o_orderkey % 1000 + 10 AS VARCHAR) || '}' AS parameters, "
+    "'{\"method\": 1' || CASE WHEN o_orderkey % 4 = 0 THEN '' ELSE ', \"n_real\": ' || CAST(o_custkey % 1000 + 10 AS VARCHAR) END "
+    "|| CASE WHEN o_orderkey % 9 = 0 THEN '' ELSE ', \"n_synthetic\": ' || CAST(o_orderkey % 1000 + 10 AS VARCHAR) END || '}' "
+    "AS parameters, 'job ' || CAST(o_orderkey AS VARCHAR) AS name, "
+    "CASE WHEN o_orderkey % 13 <> 0 THEN (o_orderkey % 11) / 10.0E0 END AS progress, "
     "CASE WHEN o_orderkey % 5 = 0 THEN NULL ELSE CAST(o_orderkey % 997 AS INTEGER) END AS processed_samples, "
     "'[' || CAST(o_orderkey % 997 AS VARCHAR) || ', 2]' AS shape "
     "FROM orders")
