@@ -3,21 +3,22 @@
 A document is the set of its hashed word shingles; two link when the Jaccard
 similarity of their sets reaches 3/4.  Equal sets are one set from the start.
 
-1. Groups: sets with the same least hash meet their first document (the pivot);
+1. Order: tokens are taken in the order of their hashes, common passages last.
+   Common are tokens that several sets of one run of texts hold, ``COMMON`` times or
+   more in all (counted over all texts; the order is a matter of speed, not of
+   results).  Two sets that link share one of their first n - ceil(3n/4) + 1
+   tokens in any common order, so this prefix is all the matrix needs.
+2. Groups: sets with the same least hash meet their first document (the pivot);
    pairs that verify as links make the groups, the rest are groups of one.
-2. Matrix: (token, group) for the tokens of every member's prefix.  In a common
-   order of tokens, two sets that link share one of their first
-   n - ceil(3n/4) + 1 tokens, so a prefix is all the matrix needs.
-3. Where groups share tokens, one witness a group and token is compared with the
-   other groups' witnesses, which joins most groups that belong together.
-4. Tokens still shared by more than ``HEAVY`` groups (common passages) move to the
-   end of the order; the sets that had one in their prefix get their new prefix.
-5. Bound: the tokens a query's prefix shares with a group's union must reach
+3. Matrix: (token, group) for the prefix tokens of every member.  Where groups
+   share tokens, a witness of each is compared with the token's first witness,
+   which joins most groups that belong together.
+4. Bound: the tokens a query's prefix shares with a group's union must reach
    what a member of a fitting size would need.  Only qualifying groups are
    opened, and their fitting members compared with the query exactly.
 
-Links found are exact and none is lost that joins two components: steps 1 and 3
-only merge verified links, and step 5 tries every member of every other group
+Links found are exact and none is lost that joins two components: steps 2 and 3
+only merge verified links, and step 4 tries every member of every other group
 that the bound leaves.  Work is proportional to tokens shared across groups,
 not to pairs within a group of copies.
 
@@ -39,8 +40,9 @@ from .components import connected_components
 from .words import chunks, mix, shingle_sets, words_of
 
 K = 5
-HEAVY = 32
-MAX_HEAVY = 1 << 20
+COMMON = 16
+MAX_COMMON = 1 << 20
+RUN_TOKENS = 1 << 22
 MIN_SKETCH, SKETCH = 3, 8
 
 
@@ -64,34 +66,84 @@ def _text_bytes(batch, k):
     return batch.column(k).cast(pa.binary()).to_pylist()
 
 
-def _prefix(tokens: np.ndarray) -> np.ndarray:
-    n = len(tokens)
-    return tokens[:n - ((3 * n + 3) // 4 - 1)]
+def _set_key(tokens: np.ndarray) -> int:
+    return int(mix(np.array([mix(tokens).sum(dtype=np.uint64) + np.uint64(len(tokens))]))[0])
 
 
-def shingled(docs: DataFrame, k: int = K) -> DataFrame:
-    """doc_id, text key, n, set key ``s`` and the prefix (once a task and set)."""
+def common_tokens(docs: DataFrame, k: int = K) -> np.ndarray:
+    """Sorted tokens that go to the end of the order, ``MAX_COMMON`` at most."""
     import pyarrow as pa
 
+    def repeated(runs):
+        token, n = np.unique(np.concatenate(runs), return_counts=True)
+        again = n > 1
+        return pa.RecordBatch.from_arrays([pa.array(token[again].view(np.int64)), pa.array(n[again].astype(np.int64))],
+                                          ["token", "n"])
+
+    def rows(batches):
+        seen, runs, size = set(), [], 0
+        for batch in batches:
+            for run in chunks(_text_bytes(batch, 0), lambda t: len(t or b"")):
+                for x in shingle_sets(words_of(run), k):
+                    key = _set_key(x) if len(x) else None
+                    if key is None or key in seen:
+                        continue
+                    seen.add(key)
+                    runs.append(x)
+                    size += len(x)
+                if size >= RUN_TOKENS:
+                    yield repeated(runs)
+                    seen, runs, size = set(), [], 0
+        if runs:
+            yield repeated(runs)
+    counts = saved(docs.select("text").mapInArrow(rows, "token long, n long").groupBy("token")
+                   .agg(F.sum("n").alias("n")).where(F.col("n") >= COMMON), "common")
+    total, least = 0, None
+    for r in (counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("c"))
+              .orderBy(F.desc("n")).collect()):
+        total += r["c"]
+        if total > MAX_COMMON:
+            break
+        least = r["n"]
+    if least is None:
+        return np.zeros(0, dtype=np.uint64)
+    return np.sort(counts.where(F.col("n") >= least).select("token").toPandas()["token"].to_numpy().view(np.uint64))
+
+
+def shingled(docs: DataFrame, common: np.ndarray, k: int = K) -> DataFrame:
+    """doc_id, text key, n, set key ``s``; once a task and set, its least hashes and prefix."""
+    import pyarrow as pa
+    last = docs.sparkSession.sparkContext.broadcast(common)
+
+    def prefix(tokens):
+        if len(last.value):
+            place = np.minimum(np.searchsorted(last.value, tokens), len(last.value) - 1)
+            late = last.value[place] == tokens
+            tokens = np.concatenate((tokens[~late], tokens[late]))
+        n = len(tokens)
+        return tokens[:n - ((3 * n + 3) // 4 - 1)]
+
     def rows(batches):
         seen = set()
         for batch in batches:
             texts, at = _text_bytes(batch, 2), 0
             for run in chunks(texts, lambda t: len(t or b"")):
                 sets = shingle_sets(words_of(run), k)
-                keys = [int(mix(np.array([mix(x).sum(dtype=np.uint64) + np.uint64(len(x))]))[0]) if len(x) else None
-                        for x in sets]
-                prefixes = []
-                for key, x in zip(keys, sets, strict=True):
-                    prefixes.append(None if key is None or key in seen else _prefix(x).view(np.int64))
+                keys, sketches, prefixes = [], [], []
+                for x in sets:
+                    key = _set_key(x) if len(x) else None
+                    new = key is not None and key not in seen
                     seen.add(key)
-                signed = [None if key is None else key - (1 << 64) * (key >> 63) for key in keys]
+                    keys.append(None if key is None else key - (1 << 64) * (key >> 63))
+                    sketches.append(x[:SKETCH].view(np.int64) if new else None)
+                    prefixes.append(prefix(x).view(np.int64) if new else None)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(run)), batch.column(1).slice(at, len(run)),
-                     pa.array([len(x) for x in sets], pa.int64()), pa.array(signed, pa.int64()),
-                     pa.array(prefixes, pa.list_(pa.int64()))], ["doc_id", "text_key", "n", "s", "prefix"])
+                     pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.int64()),
+                     pa.array(sketches, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))],
+                    ["doc_id", "text_key", "n", "s", "sketch", "prefix"])
                 at += len(run)
-    return docs.mapInArrow(rows, "doc_id long, text_key long, n long, s long, prefix array<long>")
+    return docs.mapInArrow(rows, "doc_id long, text_key long, n long, s long, sketch array<long>, prefix array<long>")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int = K) -> DataFrame:
@@ -134,66 +186,35 @@ def _with_groups(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (token, s, n, g) whose token occurs in two groups or more.  One
-    exchange on the token serves both the count and the rows."""
-    rows = rows.repartition("token")
-    tokens = (rows.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"))
+    """Rows (token, s) whose token occurs in two sets or more.  One exchange on the
+    token, of nothing but the two, serves both the count and the rows."""
+    rows = rows.select("token", "s").repartition("token")
+    tokens = (rows.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
               .where("lo <> hi").select("token"))
     return rows.join(tokens.hint("shuffle_hash"), "token")
 
 
-def _heavy_tokens(rows: DataFrame) -> DataFrame:
-    """Tokens of more than HEAVY groups, the MAX_HEAVY most common at most (the
-    order of tokens is a matter of speed, not of results)."""
-    k = (rows.groupBy("token", "g").agg(F.count(F.lit(1)).alias("n")).groupBy("token")
-         .agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > HEAVY))
-    k = saved(k, "heavy")
-    total, least = 0, None
-    for r in (k.groupBy(F.least("k", F.lit(100_000)).alias("k")).agg(F.count(F.lit(1)).alias("n"))
-              .orderBy(F.desc("k")).collect()):
-        total += r["n"]
-        if total > MAX_HEAVY:
-            break
-        least = r["k"]
-    return k.where(F.lit(False)) if least is None else k.where(F.col("k") >= least)
-
-
-def _prefixes_behind(texts: DataFrame, heavy: np.ndarray, k: int) -> DataFrame:
-    """(s, n, token): prefixes in the order that puts ``heavy`` tokens last."""
-    import pyarrow as pa
-    known = texts.sparkSession.sparkContext.broadcast(np.sort(heavy))
-
-    def rows(batches):
-        for batch in batches:
-            s, at = batch.column(0).to_numpy(), 0
-            for run in chunks(_text_bytes(batch, 1), lambda t: len(t or b"")):
-                keys, sizes, tokens = [], [], []
-                for x in shingle_sets(words_of(run), k):
-                    place = np.minimum(np.searchsorted(known.value, x), len(known.value) - 1)
-                    late = known.value[place] == x
-                    p = _prefix(np.concatenate((x[~late], x[late])))
-                    keys.append(np.full(len(p), s[at]))
-                    sizes.append(np.full(len(p), len(x)))
-                    tokens.append(p.view(np.int64))
-                    at += 1
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64))
-                                                  for c in (keys, sizes, tokens)], ["s", "n", "token"])
-    return texts.select("s", "text").mapInArrow(rows, "s long, n long, token long")
+def _across(rows: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (token, s, n, g) whose token occurs in two groups or more."""
+    rows = _with_groups(rows.join(small(sets.select("s", "n")), "s"), labels).select("token", "s", "n", "g")
+    rows = rows.distinct().repartition("token")
+    tokens = (rows.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"))
+              .where("lo <> hi").select("token"))
+    return rows.join(tokens.hint("shuffle_hash"), "token")
 
 
 def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, n, s; edges between sets: a, b that span every component)."""
     t = F.col(f"`{text}`").cast("string")
     docs = df.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.xxhash64(t).alias("text_key"), t.alias("text"))
-    rows = saved(shingled(docs, k), "shingled")
+    rows = saved(shingled(docs, common_tokens(docs, k), k), "shingled")
+    # any of a set's texts serves as its text: all have the same set
     sets = saved(rows.where("s IS NOT NULL").groupBy("s").agg(
         F.min("n").alias("n"), F.min("text_key").alias("text_key"), F.min("doc_id").alias("first_id")), "sets")
-    # a set's text key must be one of its own texts: any will do, all have the same set
-    prefixed = rows.where("prefix IS NOT NULL").select("s", "n", "prefix")
+    new = rows.where("prefix IS NOT NULL")
 
-    # 1. groups around pivots: sets with the same least hash
-    sketch = F.slice("prefix", 1, SKETCH)
-    least = saved(prefixed.select("s", "n", F.get("prefix", F.lit(0)).alias("h"), sketch.alias("sketch"))
+    # groups around pivots: sets with the same least hash
+    least = saved(new.select("s", "n", F.get("sketch", F.lit(0)).alias("h"), "sketch")
                   .dropDuplicates(["s"]).join(sets.select("s", "text_key", "first_id"), "s"), "least")
     pivots = least.groupBy("h").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "s", "n", "sketch", "text_key"))
                                     .alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
@@ -203,39 +224,21 @@ def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K)
                                F.col("p.text_key").alias("key_b")), docs, k)
     labels = _labels(edges)
 
-    # 2. token-group matrix, 3. witnesses
-    exploded = prefixed.select("s", "n", F.explode("prefix").alias("token"))
-    shared = saved(_shared(_with_groups(prefixed, labels).select("s", "n", "g", F.explode("prefix").alias("token"))), "shared")
-    matrix = shared.groupBy("token", "g").agg(F.min("s").alias("s"))
-    few = saved(matrix, "matrix").withColumn("one", F.lit(1))
-    light = few.groupBy("token").agg(F.count(F.lit(1)).alias("c")).where((F.col("c") > 1) & (F.col("c") <= HEAVY))
-    few = few.join(light.select("token"), "token")
-    witness = (few.select("token", F.col("g").alias("g1"), F.col("s").alias("a"))
-               .join(few.select("token", F.col("g").alias("g2"), F.col("s").alias("b")), "token")
-               .where("g1 < g2").groupBy("a", "b").agg(F.count(F.lit(1)).alias("common")))
-    witness = _pairs_with_keys(witness, sets).where(_fits(F.col("n_a"), F.col("n_b")))
-    # both witnesses hold these tokens in their prefixes, though they may share more
-    more = verify(witness.select("a", "b", "key_a", "key_b"), docs, k)
-    edges = saved(edges.union(more), "edges")
+    # token-group matrix; every group's witness meets the token's first witness
+    shared = saved(_shared(new.select("s", F.explode("prefix").alias("token"))).distinct(), "shared")
+    matrix = saved(_across(shared, sets, labels).groupBy("token", "g").agg(F.min("s").alias("s")), "matrix")
+    first = matrix.groupBy("token").agg(F.min("s").alias("b"))
+    witness = (matrix.join(first, "token").where("s <> b").groupBy(F.col("s").alias("a"), "b")
+               .agg(F.count(F.lit(1)).alias("common")))
+    witness = _pairs_with_keys(witness, sets).where(_fits(F.col("n_a"), F.col("n_b")) & (
+        2 * F.col("common") >= _needed(F.col("n_a"), F.col("n_b"))))
+    edges = saved(edges.union(verify(witness, docs, k)), "edges")
     labels = _labels(edges)
 
-    # 4. common passages to the end of the order
-    shared = _shared(_with_groups(shared.drop("g"), labels))
-    shared = saved(shared, "shared-again")
-    heavy = _heavy_tokens(shared)
-    tokens = heavy.select("token").toPandas()["token"].to_numpy().view(np.uint64)
-    if len(tokens):
-        touched = saved(shared.join(F.broadcast(heavy.select("token")), "token", "left_semi").select("s").distinct(), "touched")
-        texts = (docs.select("text_key", "text").join(
-            small(saved(sets.join(touched, "s").select("text_key", "s"), "touched-keys")), "text_key")
-            .groupBy("s").agg(F.first("text").alias("text")))
-        behind = _prefixes_behind(texts, tokens, k)
-        others = exploded.join(small(touched), "s", "left_anti")
-        shared = saved(_shared(_with_groups(others.select("s", "n", "token").union(behind), labels)), "shared-behind")
-
-    # 5. bound and open
-    union = shared.groupBy("token", "g").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
-    q = shared.distinct().withColumnRenamed("g", "own")
+    # bound and open
+    across = saved(_across(shared, sets, labels), "across")
+    union = across.groupBy("token", "g").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
+    q = across.withColumnRenamed("g", "own")
     lo, hi = F.greatest(F.col("n_lo"), F.ceil(F.col("n") * 3 / 4)), F.least(F.col("n_hi"), F.floor(F.col("n") * 4 / 3))
     found = (q.join(union, "token").where("own <> g").where(lo <= hi)
              .groupBy("s", "n", "own", "g").agg(F.count(F.lit(1)).alias("common"), F.min("n_lo").alias("n_lo"),
@@ -247,7 +250,7 @@ def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K)
     opened = (found.join(members, "g").where(_fits(F.col("n"), F.col("m")))
               .where(F.col("common") >= _needed(F.col("n"), F.col("m")))
               .select(F.least("s", "b").alias("a"), F.greatest("s", "b").alias("b")).distinct())
-    last = verify(_pairs_with_keys(opened, sets).select("a", "b", "key_a", "key_b"), docs, k)
+    last = verify(_pairs_with_keys(opened, sets), docs, k)
     return rows.select("doc_id", "n", "s"), saved(edges.union(last), "edges-all")
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import chi2_pvalue, ks_pvalue, norm_sf, t_pvalue
+from ..session import ship_package
 from .fdr import bh_adjust, fdr_result
 from .reshape import running_totals, side_moments, side_value_counts
 
@@ -175,6 +176,7 @@ def ks_test_auto(long_num: DataFrame, min_n: int = 30, alpha: float = 0.05) -> D
     def auto(n_real, n_synth, stat, p_asymp):
         return ks_pvalues(n_real, n_synth, stat, p_asymp)
 
+    ship_package(long_num.sparkSession)
     base = ks_test(long_num, min_n, alpha, fdr=False)
     a = base.select("column_name", "n_real", "n_synthetic", "statistic",
                     F.col("p_value").alias("p_value_asymptotic"),

@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .privacy import knn
 from .reshape import is_real, is_synth
 
@@ -133,20 +134,19 @@ def isolation_forest(points: DataFrame, feats: list[str], trees: int = 100, samp
                      seed: int = 42, threshold: float = 0.5) -> DataFrame:
     """Fit on real, score synthetic: score = 2^(-E[h(x)] / c(sample))."""
     spark = points.sparkSession
+    ship_package(spark)
     real = points.where(is_real()).select("row_id", *feats)
     n_real = real.count()
     u = (F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}|"), F.col("row_id").cast("string"))), 1, 12), 16, 10)
          .cast("double") / float(16 ** 12))
-    if n_real * trees <= 2_000_000:
-        # small real side: every tree draws from all rows
-        per_tree = real.select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
-    else:
-        # a seeded pool of ~2 * sample rows per tree, each row serving one tree
-        frac = min(1.0, 2.0 * sample * trees / n_real)
-        per_tree = real.where(u < frac).select(
-            "*", (F.xxhash64(F.lit(seed), "row_id") % trees).cast("int").alias("tree"))
-        per_tree = per_tree.withColumn("tree", F.when(F.col("tree") < 0, F.col("tree") + trees)
-                                       .otherwise(F.col("tree")))
+    # A row joins the pool with probability q and from there each tree with p / q, so every
+    # tree draws each row with p: about four times its sample, of which the least keys stay.
+    # One rule at every size: on few rows q is 1 and every tree draws from all of them.
+    p = min(1.0, 4.0 * sample / max(1, n_real))
+    q = min(1.0, p * trees)
+    draw = F.pmod(F.xxhash64(F.lit(seed), "tree", "row_id"), F.lit(1 << 40)) / F.lit(float(1 << 40))
+    per_tree = (real.where(u < q).select("*", F.explode(F.sequence(F.lit(0), F.lit(trees - 1))).alias("tree"))
+                .where(draw < p / q))
     from pyspark.sql import Window
     key = F.md5(F.concat(F.lit(f"{seed}|"), F.col("tree").cast("string"), F.lit("|"), F.col("row_id").cast("string")))
     w = Window.partitionBy("tree").orderBy(key)

@@ -28,13 +28,19 @@ def head_per_side(df: DataFrame, n: int, by: str = "src") -> DataFrame:
     return df.select("*", F.row_number().over(w).alias("_k")).where(F.col("_k") <= n).drop("_k")
 
 
-def plot_sample(df: DataFrame, cap: int = 10_000, seed: int = 42) -> DataFrame:
-    """M3: no-op when the total is under ``cap``; else half the cap per side,
-    seeded, original order restored. The total is one scalar action, so the
-    per-side limit stays a literal (a partial top-k before the shuffle)."""
-    total = df.count()
-    picked = df if total <= cap else sample_per_side(df, cap // 2, seed)
-    return picked.orderBy("src", "row_id")
+def plot_sample(df: DataFrame, cap: int = 10_000, seed: int = 42, coords: tuple[str, ...] = ()) -> DataFrame:
+    """M3: points without finite coordinates go; then all points when they are
+    ``cap`` at most, else half the cap per side, seeded; original order restored.
+    One plan at every size: ``cap`` rows a side are enough for either case, so the
+    rank keeps a literal bound (a partial top-k before the shuffle)."""
+    for c in coords:
+        v = F.col(c).cast("double")
+        df = df.where(v.isNotNull() & ~F.isnan(v) & (F.abs(v) < F.lit(float("inf"))))
+    total = df.agg(F.count(F.lit(1)).alias("_total"))
+    w = Window.partitionBy("src").orderBy(sample_key(seed), "row_id")
+    ranked = df.select("*", F.row_number().over(w).alias("_k")).where(F.col("_k") <= cap)
+    picked = ranked.crossJoin(F.broadcast(total)).where((F.col("_total") <= cap) | (F.col("_k") <= cap // 2))
+    return picked.drop("_k", "_total").orderBy("src", "row_id")
 
 
 def stratified_equal(df: DataFrame, label: str, max_total: int, seed: int = 42) -> DataFrame:

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -65,6 +66,25 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the workers once a session, for plans with Python
+    functions that import from it (a driver started elsewhere has it on its own
+    path only)."""
+    sc = spark.sparkContext
+    if getattr(sc, "_twinlens_shipped", False):
+        return
+    here = os.path.dirname(os.path.abspath(__file__))
+    path = os.path.join(tempfile.mkdtemp(prefix="twinlens-"), "twinlens.zip")
+    with zipfile.ZipFile(path, "w") as z:
+        for folder, _, names in os.walk(here):
+            for name in names:
+                if name.endswith(".py"):
+                    full = os.path.join(folder, name)
+                    z.write(full, os.path.join("twinlens", os.path.relpath(full, here)))
+    sc.addPyFile(path)
+    sc._twinlens_shipped = True
+
+
 def cut_lineage(df: DataFrame, eager: bool = True) -> DataFrame:
     """Reliable checkpoint into the shared checkpoint dir (never local)."""
     ensure_checkpoint_dir(df.sparkSession)
