@@ -1,20 +1,16 @@
 """Job status from progress events (W6): a terminal state wins.
 
-Events carry (key, status, ts). Once a job reaches a terminal state its status
-no longer changes, even if progress events arrive later. The streaming form
-keeps one small state row per job with ``applyInPandasWithState``; the batch
-twin is a single aggregation (first terminal event by time, else the latest
-event).
+Events carry (key, status, ts). Once a job has a terminal event its status is
+that of the first such event by event time, else of the latest event. One
+aggregation serves a batch and, in update mode, a stream, so a late terminal
+event gives the same answer in both. A stream keeps one small row of state a
+job; ``drop_after`` bounds how long a finished day's jobs stay in it.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupStateTimeout
 
 # Event types mapped to job states for the call-log binding.
 TERMINAL_OF = {"purchase": "completed", "error": "failed"}
@@ -33,36 +29,19 @@ def status_events(events: DataFrame) -> DataFrame:
     return events.select(F.col("user_id").alias("job_id"), to_status().alias("status"), "ts")
 
 
-def latest_status_batch(ev: DataFrame) -> DataFrame:
-    """Batch twin: first terminal status by time if any, else the latest."""
+def latest_status_batch(ev: DataFrame, keys: tuple[str, ...] = ("job_id",)) -> DataFrame:
+    """First terminal status by time if any, else the latest."""
     term = F.col("status").isin(*TERMINAL)
-    a = ev.groupBy("job_id").agg(
+    a = ev.groupBy(*keys).agg(
         F.min_by(F.when(term, F.col("status")), F.when(term, F.col("ts"))).alias("_first_terminal"),
         F.max_by("status", "ts").alias("_latest"), F.max("ts").alias("last_update"))
-    return a.select("job_id", F.coalesce("_first_terminal", "_latest").alias("status"), "last_update")
-
-
-STATE_SCHEMA = "status string, ts timestamp, last_update timestamp"
-OUT_SCHEMA = "job_id long, status string, last_update timestamp"
-
-
-def _update(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    if state.exists:
-        status, ts, last = state.get
-    else:
-        status, ts, last = None, None, None
-    for pdf in batches:
-        for row in pdf.sort_values("ts").itertuples(index=False):
-            last = row.ts if last is None or row.ts > last else last
-            if status in TERMINAL:
-                continue  # a terminal state wins
-            if status is None or ts is None or row.ts >= ts or row.status in TERMINAL:
-                status, ts = row.status, row.ts
-    state.update((status, ts, last))
-    yield pd.DataFrame({"job_id": [key[0]], "status": [status], "last_update": [last]})
+    return a.select(*keys, F.coalesce("_first_terminal", "_latest").alias("status"), "last_update")
 
 
-def latest_status_stream(ev: DataFrame) -> DataFrame:
-    """Streaming form: one state row per job (update output mode)."""
-    return ev.groupBy("job_id").applyInPandasWithState(
-        _update, OUT_SCHEMA, STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
+def latest_status_stream(ev: DataFrame, drop_after: str | None = None) -> DataFrame:
+    """Streaming form (update output mode). With ``drop_after`` (a watermark such
+    as '7 days') events carry ``day``, the day their job was created, and a job's
+    state goes once that day is further behind."""
+    if drop_after is None:
+        return latest_status_batch(ev)
+    return latest_status_batch(ev.withWatermark("day", drop_after), ("job_id", "day"))
