@@ -72,4 +72,31 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   (NOT base_failed AND {" AND ".join(checks)}) AS kept FROM v"""
 
 
-ORACLES = {"op5_mixing": _op5(), "op8_quality_rules": _op8()}
+def _op1() -> str:
+    return r"""
+WITH RECURSIVE d AS (SELECT doc_id, list_filter(regexp_split_to_array(
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'),
+    lambda w: w <> '') AS w FROM documents),
+s AS (SELECT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_distinct(list_transform(range(1, len(w) - 3),
+    lambda i: array_to_string(list_slice(w, i, i + 4), ' '))) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY a.doc_id, b.doc_id),
+e AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+r(node, m) AS (SELECT doc_id, doc_id FROM d UNION SELECT e.y, r.m FROM r JOIN e ON e.x = r.node)
+SELECT doc_id, coalesce(any_value(n), 0) AS n_shingles, min(m) AS component_id, doc_id = min(m) AS kept
+FROM r JOIN d ON d.doc_id = r.node LEFT JOIN n USING (doc_id) GROUP BY doc_id"""
+
+
+def _op2() -> str:
+    return """
+WITH RECURSIVE v AS (SELECT vec_id, CASE WHEN len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL
+    OR isnan(x) OR isinf(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    THEN CAST(embedding AS DOUBLE[]) END AS e FROM embeddings),
+l AS (SELECT a.vec_id AS x, b.vec_id AS y FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+    WHERE list_cosine_similarity(a.e, b.e) >= 0.95),
+r(node, m) AS (SELECT vec_id, vec_id FROM v UNION SELECT l.y, r.m FROM r JOIN l ON l.x = r.node)
+SELECT node AS vec_id, coalesce(any_value(k), 0) AS n_links, min(m) AS component_id, node = min(m) AS kept
+FROM r LEFT JOIN (SELECT x, count(*) AS k FROM l GROUP BY x) c ON c.x = node GROUP BY node"""
+
+
+ORACLES = {"op1_ngram_jaccard": _op1(), "op2_embedding_dedup": _op2(), "op5_mixing": _op5(), "op8_quality_rules": _op8()}
