@@ -10,7 +10,7 @@ from ..operators import project as pj
 from ..operators.reshape import numeric_long
 from ..sources import files as fl
 from ..sources.testdata import (EMB_POINTS_SQL, LINEITEM_SQL, Twin, customer_real, embedding_points,
-                                embedding_sql, embedding_twin, lineitem_twin, orders_twin, supplier_synth)
+                                embedding_sql, embedding_twin, lineitem_twin, orders_twin, supplier_synth, table)
 from .q_scores import NUM, NUM_LONG
 from .registry import register
 
@@ -193,6 +193,18 @@ def q_k7(spark, sf_dir):
     return back.select(F.col("Dim_1").cast("double").alias("Dim_1"), F.col("Dim_2").cast("double").alias("Dim_2"), "Type")
 
 
+@register("s2_typed_csv_source", dbl=("o_totalprice",), sql=(
+    "SELECT o_orderkey, o_orderstatus, CAST(o_totalprice AS DOUBLE) AS o_totalprice FROM orders"))
+def q_s2(spark, sf_dir):
+    """Orders through a CSV with an index column, read back typed."""
+    path = fl.scratch_path(spark, "typed-csv")
+    o = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("idx"), "o_orderkey", "o_orderstatus", "o_totalprice")
+    o.write.csv(path, header=True)
+    back = fl.read_csv_typed(spark, path, index_col="idx")
+    return back.select(F.col("o_orderkey").cast("long").alias("o_orderkey"), "o_orderstatus",
+                       F.col("o_totalprice").cast("double").alias("o_totalprice"))
+
+
 @register("k8_anomaly_report_lines", note="formatted text: rows-only check")
 def q_k8(spark, sf_dir):
     from ..operators import grid as g

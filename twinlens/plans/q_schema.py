@@ -42,6 +42,23 @@ def q_p3(spark, sf_dir):
     return sc.align(customer_real(spark, sf_dir), supplier_synth(spark, sf_dir), "positional")
 
 
+@register("p4_align_none", sql=lambda: (
+    "SELECT 'real' AS src, custkey, name, nationkey, acctbal, mktsegment, CAST(NULL AS BIGINT) AS suppkey "
+    f"FROM ({CUSTOMER_SQL}) _c UNION ALL SELECT 'synthetic' AS src, CAST(NULL AS BIGINT) AS custkey, name, nationkey, "
+    f"acctbal, CAST(NULL AS VARCHAR) AS mktsegment, suppkey FROM ({SUPPLIER_SQL}) _s"), dbl=("acctbal",))
+def q_p4(spark, sf_dir):
+    return sc.align(customer_real(spark, sf_dir), supplier_synth(spark, sf_dir), "none")
+
+
+@register("p5_header_normalisation", dbl=("acctbal",), sql=lambda: (
+    f"SELECT custkey, name, nationkey, acctbal FROM ({CUSTOMER_SQL}) _c"))
+def q_p5(spark, sf_dir):
+    """Headers with blanks, a blank one and a repeated one: trimmed, dropped, first wins."""
+    raw = customer_real(spark, sf_dir).withColumn("extra", F.lit(1)).toDF(
+        " custkey", "name ", "nationkey", " acctbal ", " name", "  ")
+    return sc.apply_header_normalization(raw)
+
+
 def _hdr_sql() -> str:
     side = lambda rel, cols, n: " UNION ALL ".join(
         f"SELECT '{c}' AS header, count({c}) AS {n}, count(*) - count({c}) AS {n}_missing FROM ({rel}) _t" for c in cols)
