@@ -15,7 +15,8 @@ similarity of their sets reaches 3/4.  Equal sets are one set from the start.
    which joins most groups that belong together.
 4. Bound: the tokens a query's prefix shares with a group's union must reach
    what a member of a fitting size would need.  Only qualifying groups are
-   opened, and their fitting members compared with the query exactly.
+   opened, and their fitting members compared with the query exactly.  Of two
+   groups the smaller one's sets are the queries.
 
 Links found are exact and none is lost that joins two components: steps 2 and 3
 only merge verified links, and step 4 tries every member of every other group
@@ -235,12 +236,18 @@ def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K)
     edges = saved(edges.union(verify(witness, docs, k)), "edges")
     labels = _labels(edges)
 
-    # bound and open
+    # bound and open: sets of the smaller group are the queries, links being mutual
     across = saved(_across(shared, sets, labels), "across")
-    union = across.groupBy("token", "g").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"))
-    q = across.withColumnRenamed("g", "own")
+    size = small(_with_groups(sets.select("s"), labels).groupBy("g").agg(F.count(F.lit(1)).alias("size"))
+                 .where("size > 1"))
+    sized = across.join(size, "g", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+    union = sized.groupBy("token", "g").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"),
+                                            F.min("size").alias("g_size"))
+    q = sized.withColumnsRenamed({"g": "own", "size": "own_size"})
     lo, hi = F.greatest(F.col("n_lo"), F.ceil(F.col("n") * 3 / 4)), F.least(F.col("n_hi"), F.floor(F.col("n") * 4 / 3))
-    found = (q.join(union, "token").where("own <> g").where(lo <= hi)
+    found = (q.join(union, "token")
+             .where((F.col("own_size") < F.col("g_size")) | ((F.col("own_size") == F.col("g_size")) & (F.col("own") < F.col("g"))))
+             .where(lo <= hi)
              .groupBy("s", "n", "own", "g").agg(F.count(F.lit(1)).alias("common"), F.min("n_lo").alias("n_lo"),
                                                 F.max("n_hi").alias("n_hi")))
     found = saved(found.where(F.col("common") >= F.least(_needed(F.col("n"), lo), _needed(F.col("n"), hi))), "qualified")
