@@ -127,7 +127,9 @@ def compile_rules(rules=tuple(RULES)) -> dict[str, Column]:
 
 def apply_rules(df: DataFrame, text: str = "text", rules=tuple(RULES)) -> DataFrame:
     """Input columns, metrics, ``failed_rules`` (names in table order),
-    ``base_failed`` and the verdict ``kept``."""
+    ``base_failed`` and the verdict ``kept``.  To filter by the verdict use
+    ``quality_filter``: a filter straight on this frame has the optimiser copy every
+    metric into the condition, which takes it very long."""
     def step(d: DataFrame) -> DataFrame:
         failed = F.filter(F.array(*[F.when(~ok, F.lit(name)) for name, ok in compile_rules(rules).items()]),
                           lambda x: x.isNotNull())
