@@ -327,7 +327,21 @@ def score(df: DataFrame, index: Index, text: str = "text", threshold: float = TH
 
 
 def drop_toxic(df: DataFrame, index: Index, text: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows below the threshold, with their own columns only."""
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("input"),
-                       F.col(f"`{text}`").alias("text"))
-    return score(packed, index, "text", threshold, evidence=False).where("predicted = 0").select("input.*")
+    """The rows below the threshold, as they are (``text`` is a string column; rows
+    travel to the tasks once and are filtered there, run by run)."""
+    import pyarrow as pa
+    known, place = df.sparkSession.sparkContext.broadcast(index), df.columns.index(text)
+
+    def clean(batches):
+        index = known.value
+        for batch in batches:
+            at = 0
+            for run in chunks(_bytes(batch, place), _size):
+                doc, term, uses = term_counts(run, index.terms)
+                ends = np.searchsorted(doc, np.arange(len(run) + 1))
+                p = np.full(len(run), index.without)
+                for k in np.unique(doc):
+                    p[k] = index.score(term[ends[k]:ends[k + 1]], uses[ends[k]:ends[k + 1]])[0]
+                yield batch.slice(at, len(run)).filter(pa.array(p < threshold))
+                at += len(run)
+    return df.mapInArrow(clean, df.schema)
