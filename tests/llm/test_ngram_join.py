@@ -3,6 +3,8 @@
 import random
 import re
 
+from pyspark.sql import functions as F
+
 from twinlens.llm import ngram_join
 
 
@@ -62,6 +64,32 @@ def test_families_and_common_passages_match_brute_force(docs_of):
     assert result(docs_of(rows)) == brute(rows)
 
 
+def test_a_size_inside_a_groups_range_may_need_less_than_its_ends(docs_of):
+    # x links with y (9 of 12), not with z and t, which y's group holds at both ends of its sizes
+    rows = []
+    for family in range(12):
+        p = [f"p{family}w{i}" for i in range(13)]
+        y = [f"v{family}", f"w{family}", *p]
+        three = [y, y[:-1], [*y, f"r{family}"]]
+        k = family % 3
+        texts = [*three[k:], *three[:k], [f"u{family}", *p]]
+        texts += [[f"o{family}x{d}y{i}" for i in range(40)] + p for d in range(20)]     # the passage is common
+        rows += [(len(rows) + i, " ".join(t)) for i, t in enumerate(texts)]
+    expected = brute(rows)
+    assert all(len({c for i, _, c in expected if 24 * f <= i < 24 * f + 4}) == 1 for f in range(12))
+    assert result(docs_of(rows)) == expected
+
+
+def test_the_bound_of_a_range_is_at_most_that_of_any_size_in_it(spark):
+    n, m = F.col("n"), F.col("m")
+    sizes = spark.range(1, 200).select(F.col("id").alias("n")).withColumn(
+        "m", F.explode(F.sequence(F.ceil(n * 3 / 4), F.floor(n * 4 / 3))))
+    ends = sizes.join(sizes.withColumnRenamed("m", "lo"), "n").join(sizes.withColumnRenamed("m", "hi"), "n")
+    wrong = ends.where("lo <= m AND m <= hi AND n < 60").where(
+        ngram_join._least_needed(n, F.col("lo"), F.col("hi")) > ngram_join._needed(n, m))
+    assert wrong.count() == 0
+
+
 def test_odd_rows(docs_of):
     long_text = " ".join(f"w{i}" for i in range(30_000))
     rows = [(1, None), (2, ""), (3, " \t\n"), (4, "One two"), (5, "one TWO"), (5, "one two"), (None, "one two"),

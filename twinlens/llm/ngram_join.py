@@ -58,6 +58,13 @@ def _needed(n: Column, m: Column) -> Column:
     return F.greatest(F.lit(1), overlap - F.greatest(_rest(n), _rest(m)))
 
 
+def _least_needed(n: Column, lo: Column, hi: Column) -> Column:
+    """No more than ``_needed(n, m)`` of any m from lo to hi.  Up to m = n it never falls.
+    Behind, it is ceil(3(n + m) / 7) - ceil(3m / 4) + 1 (or 1), whose inside falls while
+    each rounding is off by less than 1: an m before hi needs one less than hi at worst."""
+    return F.greatest(F.lit(1), F.least(_needed(n, lo), _needed(n, hi) - 1))
+
+
 def _fits(n: Column, m: Column) -> Column:
     return (F.lit(4) * F.least(n, m)) >= (F.lit(3) * F.greatest(n, m))
 
@@ -250,7 +257,7 @@ def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K)
              .where(lo <= hi)
              .groupBy("s", "n", "own", "g").agg(F.count(F.lit(1)).alias("common"), F.min("n_lo").alias("n_lo"),
                                                 F.max("n_hi").alias("n_hi")))
-    found = saved(found.where(F.col("common") >= F.least(_needed(F.col("n"), lo), _needed(F.col("n"), hi))), "qualified")
+    found = saved(found.where(F.col("common") >= _least_needed(F.col("n"), lo, hi)), "qualified")
     groups = saved(found.select("g").distinct(), "opened")
     members = _with_groups(sets.select("s", "n"), labels).join(groups, "g", "left_semi").select(
         "g", F.col("s").alias("b"), F.col("n").alias("m"))
