@@ -1,9 +1,11 @@
 """License scans: ordered signature rules with keyword gates and interval suppression.
 
-A rule is ``(label, kind, keyword, pattern, confidence)``.  Texts are folded to
-lower-case words joined by single spaces, so a pattern sees neither punctuation
-nor line breaks.  A text is looked at only when it holds an anchor word, a rule
-only when the text holds the rule's keyword.  Detections are intervals; one
+A rule is ``(label, kind, keywords, pattern, confidence, anchors)``.  Texts are
+folded to lower-case words joined by single spaces, so a pattern sees neither
+punctuation nor line breaks.  A rule is looked at only when the folded text holds
+one of its anchors (words of the form) and one of its keywords (words of the
+name); each way to match the pattern holds one of both, so no gate hides a match.
+Detections are intervals; one
 that lies inside an interval of a better kind (or inside a longer one of its
 own kind) is suppressed.  All of it is built-in expressions on one row: no
 join, no shuffle, no user function.
@@ -24,8 +26,6 @@ from .common import beside
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 NON_WORD = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-ANCHORS = ["licen", "copyright", "spdx", "public domain", "all rights reserved", "warrant", "redistribut",
-           "permission", "gpl", "creativecommons", "opensource", "unlicense"]
 # Base phrases and their labels (fixed values).
 BASE = [(("mit", "license"), "mit"), (("apache", "license"), "apache"),
         (("general", "public", "license"), "gpl")]
@@ -33,70 +33,75 @@ BASE = [(("mit", "license"), "mit"), (("apache", "license"), "apache"),
 KINDS = ["identifier", "grant", "notice", "title", "hint"]
 CONFIDENCE = {"identifier": 0.99, "grant": 0.95, "notice": 0.9, "title": 0.8, "hint": 0.5}
 
-# label: (keyword, name pattern); names as they read after folding (fixed values).
+# label: (keywords, name pattern); names as they read after folding, short names and SPDX
+# ids among them.  Each alternative of a pattern holds a keyword (fixed values).
 FAMILIES = {
-    "0bsd": ("bsd", r"(?:0bsd|zero clause bsd|bsd 0 clause)"),
-    "afl-3.0": ("academic", r"academic free"),
-    "agpl-3.0": ("affero", r"(?:gnu )?affero general public"),
-    "apache-1.1": ("apache", r"apache(?: software)? (?:license )?(?:version )?1 1"),
-    "apache-2.0": ("apache", r"apache(?: software)?"),
-    "artistic-2.0": ("artistic", r"artistic"),
-    "bsd-2-clause": ("bsd", r"(?:bsd 2 clause|simplified bsd|freebsd|2 clause bsd)"),
-    "bsd-3-clause": ("bsd", r"(?:bsd 3 clause|new bsd|revised bsd|modified bsd|3 clause bsd)"),
-    "bsd-4-clause": ("bsd", r"(?:bsd 4 clause|original bsd|4 clause bsd)"),
-    "bsd": ("bsd", r"(?:berkeley software distribution|bsd(?: style)?)"),
-    "bsl-1.0": ("boost", r"boost software"),
-    "busl-1.1": ("business", r"business source"),
-    "cc0-1.0": ("cc", r"(?:cc0|cc zero|creative commons zero)"),
-    "cc-by": ("cc", r"(?:cc by|creative commons attribution)(?! (?:nc|nd|sa|non|no|share)\b)"),
-    "cc-by-nc": ("cc", r"(?:cc by nc|creative commons attribution non ?commercial)(?! (?:nd|sa|no|share)\b)"),
-    "cc-by-nc-nd": ("cc", r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv\w*)"),
-    "cc-by-nc-sa": ("cc", r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)"),
-    "cc-by-nd": ("cc", r"(?:cc by nd|creative commons attribution no ?deriv\w*)"),
-    "cc-by-sa": ("cc", r"(?:cc by sa|creative commons attribution share ?alike)"),
-    "cddl": ("common development", r"common development and distribution"),
-    "cecill": ("cecill", r"cecill"),
-    "cpl-1.0": ("common public", r"common public"),
-    "ecl-2.0": ("educational", r"educational community"),
-    "epl": ("eclipse", r"eclipse public"),
-    "eupl": ("european", r"european union public"),
-    "gfdl": ("free documentation", r"(?:gnu )?free documentation"),
-    "gpl": ("general public", r"(?:gnu )?(?<!lesser )(?<!library )(?<!affero )general public"),
-    "isc": ("isc", r"isc"),
-    "json": ("json", r"json"),
-    "lgpl": ("general public", r"(?:gnu )?(?:lesser|library) general public"),
-    "lppl": ("latex", r"latex project public"),
-    "mit": ("mit", r"(?:mit|expat)"),
-    "mit-0": ("mit", r"mit (?:0|no attribution)"),
-    "mpl": ("mozilla", r"mozilla public"),
-    "ms-pl": ("microsoft", r"microsoft public"),
-    "ms-rl": ("microsoft", r"microsoft reciprocal"),
-    "ncsa": ("illinois", r"(?:university of )?illinois(?: ncsa)? open source"),
-    "odbl": ("open data", r"open data commons open database"),
-    "ofl-1.1": ("open font", r"(?:sil )?open font"),
-    "openssl": ("openssl", r"openssl"),
-    "osl-3.0": ("open software", r"open software"),
-    "pddl": ("public domain", r"public domain dedication"),
-    "php": ("php", r"php"),
-    "postgresql": ("postgresql", r"postgresql"),
-    "psf": ("python", r"python software foundation"),
-    "ruby": ("ruby", r"ruby"),
-    "sspl": ("server side", r"server side public"),
-    "unlicense": ("unlicense", r"(?:the )?unlicense"),
-    "upl": ("universal", r"universal permissive"),
-    "vim": ("vim", r"vim"),
-    "wtfpl": ("wtfpl", r"(?:wtfpl|do what the \w+ you want to public)"),
-    "zlib": ("zlib", r"(?:zlib|zlib libpng)"),
-    "zpl": ("zope", r"zope public"),
+    "0bsd": (["bsd"], r"(?:0bsd|zero clause bsd|bsd 0 clause)"),
+    "afl-3.0": (["academic free", "afl"], r"(?:academic free|afl)"),
+    "agpl-3.0": (["affero general public", "agpl"], r"(?:gnu )?(?:affero general public|agpl(?:v\d)?)"),
+    "apache-1.1": (["apache"], r"apache(?: software)? (?:license )?(?:version )?1 1"),
+    "apache-2.0": (["apache"], r"apache(?: software)?"),
+    "artistic-2.0": (["artistic"], r"artistic"),
+    "bsd-2-clause": (["bsd"], r"(?:bsd 2 clause|simplified bsd|freebsd|2 clause bsd)"),
+    "bsd-3-clause": (["bsd"], r"(?:bsd 3 clause|new bsd|revised bsd|modified bsd|3 clause bsd)"),
+    "bsd-4-clause": (["bsd"], r"(?:bsd 4 clause|original bsd|4 clause bsd)"),
+    "bsd": (["berkeley software distribution", "bsd"], r"(?:berkeley software distribution|bsd(?: style)?)"),
+    "bsl-1.0": (["boost software", "bsl 1"], r"(?:boost software|bsl 1)"),
+    "busl-1.1": (["business source", "busl"], r"(?:business source|busl)"),
+    "cc0-1.0": (["cc0", "cc zero", "creative commons zero"], r"(?:cc0|cc zero|creative commons (?:zero|cc0))"),
+    "cc-by": (["cc by", "creative commons attribution"], r"(?:cc by|creative commons attribution)(?! (?:nc|nd|sa|non|no|share)\b)"),
+    "cc-by-nc": (["cc by", "creative commons attribution"], r"(?:cc by nc|creative commons attribution non ?commercial)(?! (?:nd|sa|no|share)\b)"),
+    "cc-by-nc-nd": (["cc by", "creative commons attribution"], r"(?:cc by nc nd|creative commons attribution non ?commercial no ?deriv\w*)"),
+    "cc-by-nc-sa": (["cc by", "creative commons attribution"], r"(?:cc by nc sa|creative commons attribution non ?commercial share ?alike)"),
+    "cc-by-nd": (["cc by", "creative commons attribution"], r"(?:cc by nd|creative commons attribution no ?deriv\w*)"),
+    "cc-by-sa": (["cc by", "creative commons attribution"], r"(?:cc by sa|creative commons attribution share ?alike)"),
+    "cddl": (["common development and distribution", "cddl"], r"(?:common development and distribution|cddl)"),
+    "cecill": (["cecill"], r"cecill"),
+    "cpl-1.0": (["common public", "cpl"], r"(?:common public|cpl)"),
+    "ecl-2.0": (["educational community", "ecl"], r"(?:educational community|ecl)"),
+    "epl": (["eclipse public", "epl"], r"(?:eclipse public|epl(?:v\d)?)"),
+    "eupl": (["european union public", "eupl"], r"(?:european union public|eupl)"),
+    "gfdl": (["free documentation", "fdl"], r"(?:gnu )?(?:free documentation|g?fdl(?:v\d)?)"),
+    "gpl": (["general public", "gpl"], r"(?:gnu )?(?:(?<!lesser )(?<!library )(?<!affero )general public|gpl(?:v\d)?)"),
+    "isc": (["isc"], r"isc"),
+    "json": (["json"], r"json"),
+    "lgpl": (["lesser general public", "library general public", "lgpl"], r"(?:gnu )?(?:(?:lesser|library) general public|lgpl(?:v\d)?)"),
+    "lppl": (["latex project public", "lppl"], r"(?:latex project public|lppl)"),
+    "mit": (["mit", "expat"], r"(?:mit|expat)"),
+    "mit-0": (["mit"], r"mit (?:0|no attribution)"),
+    "mpl": (["mozilla public", "mpl"], r"(?:mozilla public|mpl(?:v\d)?)"),
+    "ms-pl": (["microsoft public", "ms pl"], r"(?:microsoft public|ms pl)"),
+    "ms-rl": (["microsoft reciprocal", "ms rl"], r"(?:microsoft reciprocal|ms rl)"),
+    "ncsa": (["illinois", "ncsa"], r"(?:(?:university of )?illinois(?: ncsa)? open source|ncsa)"),
+    "odbl": (["open database", "odbl"], r"(?:open data commons open database|odbl)"),
+    "ofl-1.1": (["open font", "ofl"], r"(?:sil )?(?:open font|ofl)"),
+    "openssl": (["openssl"], r"openssl"),
+    "osl-3.0": (["open software", "osl"], r"(?:open software|osl)"),
+    "pddl": (["public domain dedication", "pddl"], r"(?:public domain dedication|pddl)"),
+    "php": (["php"], r"php"),
+    "postgresql": (["postgresql"], r"postgresql"),
+    "psf": (["python software foundation", "psf"], r"(?:python software foundation|psf)"),
+    "ruby": (["ruby"], r"ruby"),
+    "sspl": (["server side public", "sspl"], r"(?:server side public|sspl)"),
+    "unlicense": (["unlicense"], r"(?:the )?unlicense"),
+    "upl": (["universal permissive", "upl"], r"(?:universal permissive|upl)"),
+    "vim": (["vim"], r"vim"),
+    "wtfpl": (["wtfpl", "do what the"], r"(?:wtfpl|do what the \w+ you want to public)"),
+    "zlib": (["zlib"], r"(?:zlib|zlib libpng)"),
+    "zpl": (["zope public", "zpl"], r"(?:zope public|zpl)"),
 }
 _VERSION = r"(?: (?:license )?(?:version |v ?)?\d+(?: \d+)?(?: or (?:any )?later(?: version)?)?| license)*"
-# How a family is named in running text, by kind (each makes one rule a family).
+_BY = "(?:the )?(?:terms of )?(?:the )?"
+# How a family is named in running text: (kind, anchors, pattern), each makes one rule a
+# family.  Each alternative of a pattern holds an anchor.
 FORMS = [
-    ("identifier", r"\bspdx license identifier {name}" + _VERSION),
-    ("grant", r"\b(?:re)?licen[sc]ed under (?:the )?(?:terms of )?(?:the )?{name}" + _VERSION),
-    ("grant", r"\b(?:released|distributed|available|published|provided) under (?:the )?(?:terms of )?(?:the )?{name}" + _VERSION),
-    ("notice", r"\b(?:subject to|governed by|according to|covered by) (?:the )?(?:terms of )?(?:the )?{name}" + _VERSION),
-    ("title", r"\b{name} licen[sc]e" + _VERSION),
+    ("identifier", ["spdx license identifier"], r"\bspdx license identifier {name}" + _VERSION),
+    ("grant", ["licensed under", "licenced under"], r"\b(?:re)?licen[sc]ed under " + _BY + "{name}" + _VERSION),
+    ("grant", ["released under", "distributed under", "available under", "published under", "provided under"],
+     r"\b(?:released|distributed|available|published|provided) under " + _BY + "{name}" + _VERSION),
+    ("notice", ["subject to", "governed by", "according to", "covered by"],
+     r"\b(?:subject to|governed by|according to|covered by) " + _BY + "{name}" + _VERSION),
+    ("title", [" license", " licence"], r"\b{name} licen[sc]e" + _VERSION),
 ]
 # Rules on the wording of the licence texts themselves (fixed values).
 WORDING = [
@@ -120,16 +125,17 @@ WORDING = [
 class Signature:
     label: str
     kind: str
-    keyword: str
+    keyword: str | tuple[str, ...]      # one of them is in every match ("" is in any text)
     pattern: str
     confidence: float
+    anchors: tuple[str, ...] = ("",)    # and one of these
 
 
 def signatures() -> list[Signature]:
     """The ordered rule list: every family in every form, then the wordings."""
-    out = [Signature(label, kind, keyword, form.replace("{name}", name) + r"\b", CONFIDENCE[kind])
-           for kind, form in FORMS for label, (keyword, name) in FAMILIES.items()]
-    out += [Signature(label, kind, keyword, rf"\b{pattern}\b", CONFIDENCE[kind])
+    out = [Signature(label, kind, tuple(keywords), form.replace("{name}", name) + r"\b", CONFIDENCE[kind], tuple(anchors))
+           for kind, anchors, form in FORMS for label, (keywords, name) in FAMILIES.items()]
+    out += [Signature(label, kind, keyword, rf"\b{pattern}\b", CONFIDENCE[kind], (keyword,))
             for label, kind, keyword, pattern in WORDING]
     return sorted(out, key=lambda s: KINDS.index(s.kind))
 
@@ -137,13 +143,22 @@ def signatures() -> list[Signature]:
 RESULTS = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "detections"]
 
 
-def _rules_literal(rules: list[Signature]) -> Column:
+def _rules_literal(rules: list[Signature], forms: list[tuple[str, ...]]) -> Column:
+    words = [(s.keyword,) if isinstance(s.keyword, str) else s.keyword for s in rules]
     return F.array(*[F.struct(F.lit(i).alias("rule"), F.lit(KINDS.index(s.kind)).alias("kind"),
-                              F.lit(s.label).alias("label"), F.lit(s.keyword).alias("keyword"),
+                              F.lit(s.label).alias("label"), F.array(*map(F.lit, words[i])).alias("keywords"),
+                              F.lit(forms.index(s.anchors)).alias("form"),
                               F.lit(s.pattern).alias("pattern"), F.lit(s.confidence).alias("confidence"))
                      for i, s in enumerate(rules)])
 
 
+def _any_of(text: Column, words: tuple[str, ...]) -> Column:
+    found = F.contains(text, F.lit(words[0]))
+    for w in words[1:]:
+        found = found | F.contains(text, F.lit(w))
+    return found
+
+
 # Start and end of every match of a pattern: lengths of the gaps and matches before it.
 _INTERVALS = (
     "aggregate(sequence(1, size(m)), named_struct('at', 0, 'found', CAST(array() AS array<struct<s:int,e:int>>)), "
@@ -161,23 +176,20 @@ def scan(df: DataFrame, text: str = "text", rules: list[Signature] | None = None
 
 
 def _scan(d: DataFrame, rules: list[Signature]) -> DataFrame:
-    d = d.withColumn("_low", F.lower("text"))
-    gate = F.lit(False)
-    for a in ANCHORS:
-        gate = gate | F.col("_low").contains(a)
-    d = d.withColumns({
-        "n_words": F.size(F.filter(F.split("text", NON_WORD), lambda w: w != F.lit(""))).cast("long"),
-        "_bw": F.when(gate, F.filter(F.split(F.translate("text", UPPER, LOWER), NON_WORD), lambda w: w != F.lit(""))),
-    })
-    d = d.withColumn("_norm", F.concat(F.lit(" "), F.array_join("_bw", " "), F.lit(" ")))
+    forms = list(dict.fromkeys(s.anchors for s in rules))
+    d = d.withColumn("_bw", F.filter(F.split(F.translate("text", UPPER, LOWER), NON_WORD), lambda w: w != F.lit("")))
+    d = d.withColumns({"n_words": F.size("_bw").cast("long"),
+                       "_norm": F.concat(F.lit(" "), F.array_join("_bw", " "), F.lit(" "))})
+    d = d.withColumn("_forms", F.array(*[_any_of(F.col("_norm"), words) for words in forms]))
     places = {}
     for phrase, label in BASE:
         cond = " AND ".join(f"get(_bw, i + {j}) = '{w}'" if j else f"_bw[i] = '{w}'" for j, w in enumerate(phrase))
         places[f"_b_{label}"] = F.expr(
             f"CASE WHEN contains(_norm, ' {' '.join(phrase)} ') THEN "
             f"filter(sequence(0, size(_bw) - 1), i -> {cond}) ELSE CAST(array() AS array<int>) END")
-    d = d.withColumns(places | {"_rules": F.when(F.col("_bw").isNotNull(), F.filter(
-        _rules_literal(rules), lambda r: F.contains(F.col("_norm"), r["keyword"])))})
+    d = d.withColumns(places | {"_rules": F.when(F.array_contains("_forms", True), F.filter(
+        _rules_literal(rules, forms), lambda r: F.get("_forms", r["form"]) & F.exists(
+            r["keywords"], lambda w: F.contains(F.col("_norm"), w))))})
     # matches of each gated rule, then their places
     d = d.withColumn("_hits", F.expr(
         "filter(transform(_rules, r -> named_struct('r', r, 'm', regexp_extract_all(_norm, r.pattern, 0))), "
