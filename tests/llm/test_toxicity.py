@@ -1,5 +1,7 @@
 """Toxicity: exact neighbours against brute force, held-out accuracy, odd rows."""
 
+import zlib
+
 import numpy as np
 
 from pyspark.sql import functions as F
@@ -44,6 +46,21 @@ def test_held_out_accuracy(spark):
     assert all(r["evidence"][0]["cosine"] >= r["evidence"][-1]["cosine"] > 0 for r in toxic if r["evidence"])
 
 
+def test_rare_words_and_copies(docs_of, spark):
+    # a toxic word of 3 texts in 1,000 toxic rows, 900 of which are copies of one text
+    rng, rows = np.random.default_rng(5), []
+    words = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 400, n))
+    texts = ["copied filth again"] * 900 + [words(20) + " vileword" for _ in range(97)] + [words(20) + " rareslur" for _ in range(3)]
+    train = [i for i in range(20_000) if zlib.crc32(str(i).encode()) % toxicity.FOLDS != toxicity.HELD_OUT]
+    texts += [words(20) for _ in range(5000)]
+    rows = list(zip(train, texts))
+    labels = spark.createDataFrame([(i, int(k < 1000)) for k, (i, _) in enumerate(rows)], LABELS)
+    index = toxicity.fit(docs_of(rows), labels)
+    got = {r["doc_id"]: r["predicted"] for r in toxicity.score(docs_of(
+        [(1, words(20) + " rareslur"), (2, words(20)), (3, words(20) + " vileword")]), index).collect()}
+    assert got == {1: 1, 2: 0, 3: 1}
+
+
 def test_odd_rows(docs_of, spark):
     words = [f"w{k}" for k in range(50)]
     rows = [(i, " ".join(words[(i * j) % 50] for j in range(30)) + (" vileword" if i % 3 == 0 else "")) for i in range(150)]

@@ -1,8 +1,9 @@
 """Toxicity by nearest labelled examples.
 
 Terms are words and the first 4, 5 and 6 bytes of longer words.  The terms
-that mark toxic documents are chosen by their document counts among labelled
-training rows; their inverse document frequency is counted over all documents.
+that mark toxic documents are chosen by their counts among the distinct labelled
+training texts (copies of a text count once); their inverse document frequency
+is counted over all documents.
 Labelled examples become TF-IDF vectors over these terms, held in an inverted
 index whose postings are cut into blocks of examples with the largest weight a
 block reaches.  A document's nearest examples are found exactly: blocks are
@@ -12,9 +13,11 @@ examples' own leave-one-out votes; a document without any term gets the share
 of toxic rows among labelled training rows without any.
 
 Bounds (parameters): ``MAX_LABELLED`` labelled rows are learned from,
-``MAX_CANDIDATES`` terms are compared, ``MAX_TERMS`` kept, ``MAX_EXAMPLES``
-indexed a class.  So the model has a fixed size and goes to the tasks as a
-broadcast; documents are scored in one pass over whole texts.
+``MAX_EXAMPLES`` indexed a class; every telling term of their texts is kept.  So
+the model's size does not grow with the documents and it goes to the tasks as a
+broadcast; documents are scored in one pass over whole texts.  Only telling terms
+are compared: one in fewer than ``MIN_DOCS`` texts, or about as frequent in clean
+texts (``MIN_Z``, ``MIN_LIFT``), has no part in a vector.
 
 Defined results: a null text is empty (it has no term); rows with a null id or
 label teach nothing; a document with several labels counts as toxic if one of
@@ -34,18 +37,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import saved
-from .words import _BYTE, _STEP, Words, chunks, mix, powers, words_of
+from .words import _BYTE, _STEP, Words, chunks, mix, powers, ranges, words_of
 
 FOLDS, HELD_OUT = 3, 1
 PREFIXES = (4, 5, 6)
 MAX_LABELLED = 200_000
-MAX_CANDIDATES = 1 << 17
-MAX_TERMS = 4096
 MAX_EXAMPLES = 4096
 BLOCK = 64
 NEIGHBOURS = 15
 THRESHOLD = 0.7
-MIN_DOCS, MIN_SHARE, MIN_Z, MIN_LIFT = 3, 0.01, 4.0, 4.0     # what makes a term telling
+MIN_DOCS, MIN_Z, MIN_LIFT = 3, 4.0, 4.0     # what makes a term telling
 
 
 def fold_of(doc_id):
@@ -87,8 +88,12 @@ class Index:
     ids: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))
     label: np.ndarray = field(default_factory=lambda: np.zeros(0))
     weight: np.ndarray = field(default_factory=lambda: np.zeros(0))     # examples one stands for
-    postings: list = field(default_factory=list)     # a term: (examples, weights, start of each block)
-    top: np.ndarray | None = None           # (term, block): largest weight
+    who: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))    # postings by term and example
+    x: np.ndarray = field(default_factory=lambda: np.zeros(0))
+    block: np.ndarray = field(default_factory=lambda: np.zeros(0, dtype=np.int64))  # runs of postings of a term and block
+    top: np.ndarray = field(default_factory=lambda: np.zeros(0))                    # largest weight of each run
+    start: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))  # first posting of each run, and the end
+    first: np.ndarray = field(default_factory=lambda: np.zeros(1, dtype=np.int64))  # first run of each term, and the end
     steps: tuple = ((0.0, 1.0), (0.0, 1.0))  # calibration: vote -> probability
 
     def vector(self, terms: np.ndarray, uses: np.ndarray) -> np.ndarray:
@@ -101,31 +106,33 @@ class Index:
         self.ids = np.array([r[0] for r in rows], dtype=np.int64)
         self.label = np.array([float(r[1]) for r in rows])
         self.weight = np.array([r[2] for r in rows])
-        n_blocks = max(1, -(-len(rows) // BLOCK))
-        found = [([], []) for _ in self.terms]
-        for k, r in enumerate(rows):
-            for t, x in zip(r[3], self.vector(r[3], r[4]), strict=True):
-                found[t][0].append(k)
-                found[t][1].append(x)
-        self.top = np.zeros((len(self.terms), n_blocks))
-        self.postings = []
-        for t, (who, x) in enumerate(found):
-            who, x = np.array(who, dtype=np.int64), np.array(x)
-            np.maximum.at(self.top[t], who // BLOCK, x)
-            self.postings.append((who, x, np.searchsorted(who, np.arange(n_blocks + 1) * BLOCK)))
+        size = np.array([len(r[3]) for r in rows], dtype=np.int64)
+        term = np.concatenate([np.zeros(0, dtype=np.int64)] + [r[3] for r in rows]).astype(np.int64)
+        who = np.repeat(np.arange(len(rows)), size)
+        x = np.concatenate([np.zeros(0)] + [self.vector(r[3], r[4]) for r in rows])
+        order = np.lexsort((who, term))
+        term, self.who, self.x = term[order], who[order], x[order]
+        block = self.who // BLOCK
+        new = np.ones(len(term), dtype=bool)
+        new[1:] = (term[1:] != term[:-1]) | (block[1:] != block[:-1])
+        at = np.flatnonzero(new)
+        self.block, self.start = block[at], np.append(at, len(term))
+        self.top = np.maximum.reduceat(self.x, at) if len(at) else np.zeros(0)
+        self.first = np.searchsorted(term[at], np.arange(len(self.terms) + 1))
 
     def nearest(self, terms, vector, k: int = NEIGHBOURS, skip: int = -1):
         """The k examples of largest cosine (ties: lower place), exactly."""
-        bound = vector @ self.top[terms]
+        n_runs = self.first[terms + 1] - self.first[terms]
+        run, by = ranges(self.first[terms], n_runs), np.repeat(vector, n_runs)
+        bound = np.bincount(self.block[run], by * self.top[run], minlength=1)
         best_s, best_i = np.zeros(0), np.zeros(0, dtype=np.int64)
         for b in np.argsort(-bound, kind="stable"):
             if bound[b] <= 0 or (len(best_s) >= k and bound[b] < best_s[-1] - 1e-12):
                 break
-            s = np.zeros(BLOCK)
-            for t, x in zip(terms, vector, strict=True):
-                who, weights, starts = self.postings[t]
-                a, z = starts[b], starts[b + 1]
-                s[who[a:z] - b * BLOCK] += x * weights[a:z]
+            mine = np.flatnonzero(self.block[run] == b)
+            n = self.start[run[mine] + 1] - self.start[run[mine]]
+            at = ranges(self.start[run[mine]], n)
+            s = np.bincount(self.who[at] - b * BLOCK, np.repeat(by[mine], n) * self.x[at], minlength=BLOCK)
             here = np.flatnonzero(s > 0)
             best_s = np.concatenate((best_s, s[here]))
             best_i = np.concatenate((best_i, here + b * BLOCK))
@@ -142,13 +149,12 @@ class Index:
     def calibrate(self) -> None:
         """Isotonic regression (pool adjacent violators) of label on leave-one-out vote."""
         votes = np.zeros(len(self.ids))
-        vectors: dict[int, tuple[list, list]] = {}
-        for t, (who, x, _) in enumerate(self.postings):
-            for i, y in zip(who, x, strict=True):
-                vectors.setdefault(int(i), ([], []))[0].append(t)
-                vectors[int(i)][1].append(y)
-        for i, (t, x) in vectors.items():
-            votes[i] = self.vote(*self.nearest(np.array(t), np.array(x), skip=i))
+        term = np.repeat(np.repeat(np.arange(len(self.terms)), np.diff(self.first)), np.diff(self.start))
+        order = np.argsort(self.who, kind="stable")
+        ends = np.searchsorted(self.who[order], np.arange(len(self.ids) + 1))
+        for i in range(len(self.ids)):
+            mine = order[ends[i]:ends[i + 1]]
+            votes[i] = self.vote(*self.nearest(term[mine], self.x[mine], skip=i))
         pools: list[list[float]] = []         # vote sum, label sum, weight
         for i in np.argsort(votes, kind="stable"):
             pools.append([votes[i] * self.weight[i], self.label[i] * self.weight[i], self.weight[i]])
@@ -210,8 +216,8 @@ def _counted(rows: DataFrame, terms: np.ndarray) -> np.ndarray:
     return out
 
 
-def _candidates(toxic: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Terms of toxic rows with their document counts: the ``limit`` most frequent at most."""
+def _candidates(toxic: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Terms of ``MIN_DOCS`` toxic texts or more with their counts (the labelled texts bound them)."""
     import pyarrow as pa
 
     def counted(batches):
@@ -226,22 +232,14 @@ def _candidates(toxic: DataFrame, limit: int) -> tuple[np.ndarray, np.ndarray]:
                 yield pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(n.astype(np.int64))], ["h", "n"])
     terms = saved(toxic.select("text").mapInArrow(counted, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
                   .where(F.col("n") >= MIN_DOCS), "tox-terms")
-    total, least = 0, None
-    for r in (terms.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count(F.lit(1)).alias("k"))
-              .orderBy(F.desc("n")).collect()):
-        total += r["k"]
-        if total > limit:
-            break
-        least = r["n"]
-    got = (terms.where(F.lit(False)) if least is None else terms.where(F.col("n") >= least)).toPandas()
+    got = terms.toPandas()
     h = got["h"].to_numpy().view(np.uint64) if len(got) else np.zeros(0, dtype=np.uint64)
     order = np.argsort(h)
     return h[order], got["n"].to_numpy()[order]
 
 
 def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "toxic",
-        max_labelled: int = MAX_LABELLED, max_candidates: int = MAX_CANDIDATES, max_terms: int = MAX_TERMS,
-        max_examples: int = MAX_EXAMPLES) -> Index:
+        max_labelled: int = MAX_LABELLED, max_examples: int = MAX_EXAMPLES) -> Index:
     """The index, learned from the labelled rows outside the held-out fold."""
     import pyarrow as pa
     docs = docs.select(F.col(f"`{doc_id}`").cast("long").alias("doc_id"), F.col(f"`{text}`").cast("string").alias("text"))
@@ -250,13 +248,17 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
     n_pos, n_neg = n.get(1, 0), n.get(0, 0)
     share = (n_pos + 1) / (n_pos + n_neg + 2)
-    terms, pos = _candidates(rows.where("toxic = 1"), max_candidates)
-    neg = _counted(rows.where("toxic = 0"), terms) if len(terms) else np.zeros(0)
-    p1, p0 = (pos + 0.5) / (n_pos + 1), (neg + 0.5) / (n_neg + 1)
-    p = (pos + neg + 0.5) / (n_pos + n_neg + 1)
-    z = (p1 - p0) / np.sqrt(p * (1 - np.minimum(p, 0.999)) * (1 / (n_pos + 1) + 1 / (n_neg + 1)))
-    good = np.flatnonzero((pos >= max(MIN_DOCS, MIN_SHARE * n_pos)) & (z > MIN_Z) & (p1 > MIN_LIFT * p0))
-    good = np.sort(good[np.argsort(-z[good], kind="stable")][:max_terms])
+    # copies of a text are one text when terms are chosen
+    texts = saved(rows.withColumn("key", F.xxhash64("text")).dropDuplicates(["key", "toxic"]).select("text", "toxic"),
+                  "tox-texts")
+    d = {r["toxic"]: r["n"] for r in texts.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
+    d_pos, d_neg = d.get(1, 0), d.get(0, 0)
+    terms, pos = _candidates(texts.where("toxic = 1"))
+    neg = _counted(texts.where("toxic = 0"), terms) if len(terms) else np.zeros(0)
+    p1, p0 = (pos + 0.5) / (d_pos + 1), (neg + 0.5) / (d_neg + 1)
+    p = (pos + neg + 0.5) / (d_pos + d_neg + 1)
+    z = (p1 - p0) / np.sqrt(p * (1 - np.minimum(p, 0.999)) * (1 / (d_pos + 1) + 1 / (d_neg + 1)))
+    good = np.flatnonzero((z > MIN_Z) & (p1 > MIN_LIFT * p0))
     terms = terms[good]
     if not len(terms):
         return Index(terms, np.zeros(0), share)
