@@ -36,6 +36,17 @@ def test_copied_articles_keep_their_text(spark):
     assert {t for t, _ in texts(spark, rows).values()} == {"Head & tail\nOne two three\nFour &am five\nsame"}
 
 
+def test_copies_and_shared_passages_without_a_marked_article_stay(spark):
+    copy = '<head><title>{}</title></head><body><div><h1>Title</h1><p>The whole story</p></div><nav>{}</nav></body>'
+    rows = [(i, "http://a.example/" + str(i), copy.format(i, i)) for i in range(8)]
+    quote = "<body><div><p>story {}</p>{}</div><div><p>Call us</p></div></body>"
+    rows += [(i, "http://b.example/" + str(i), quote.format(i, "<p>To be or not</p>" if i % 8 == 0 else "")) for i in range(40)]
+    for kw in ({}, {"broadcast_rows": -1}):
+        got = {k: t for k, (t, _) in texts(spark, rows, **kw).items()}
+        assert all(got[i, "http://a.example/" + str(i)] == "Title\nThe whole story" for i in range(8))
+        assert all(got[i, "http://b.example/" + str(i)] == f"story {i}" + ("\nTo be or not" if i % 8 == 0 else "") for i in range(40))
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = [(1, None, None), (2, "", ""), (None, "x", "plain text"), (4, "http://h/", "<p>a<p>b<p"), (4, "http://h/", "<p>a<p>b<p"),

@@ -2,19 +2,21 @@
 
 Each page is parsed into a tree.  Element subtrees outside the article are
 hashed (tag, class, id and everything below) and counted in Spark per host over
-pages; a subtree that recurs on ``MIN_PAGES`` pages or more of its host belongs to
-the site's template and is deleted.  What is left loses the elements whose tag
+distinct pages (pages of one host with the same text are one); a subtree that recurs
+on ``MIN_PAGES`` of them or more, and on ``MIN_SHARE`` of the host's, belongs to the
+site's template and is deleted.  What is left loses the elements whose tag
 or class says that they are no article text (menus, adverts, forms, comments),
 and the article, else the main part, else the body gives the blocks of text.
 Subtrees inside the article are never deleted for recurring: copies of an
-article on one host are whole pages, not templates.
+article on one host are whole pages, not templates; no more are copies of a page
+without a marked article, or passages that a small part of a host's pages share.
 
 Counts are keyed by (host, subtree) and combine map-side, so a hot host is many
 keys.  The table of templates reaches the tasks as an array when it is within
 ``BROADCAST_TEMPLATES`` rows; otherwise a join hands each page its own.
 
 Defined results: a null or empty html gives an empty text; a null url is the
-host ''; repeated pages count as pages of their own; null page ids stay; extra
+host ''; repeated pages give a row each and count as one for the templates; null page ids stay; extra
 columns are ignored; an empty table gives an empty result.
 """
 
@@ -31,6 +33,7 @@ from pyspark.sql import functions as F
 from .common import saved
 
 MIN_PAGES = 4
+MIN_SHARE = 0.25
 BROADCAST_TEMPLATES = 1_000_000
 
 # Element names and class words (fixed values).
@@ -159,6 +162,18 @@ def outside(root: Node) -> set[int]:
     return found
 
 
+def content(root: Node, host: str) -> int:
+    """Hash of the page's text outside the elements dropped by their tag."""
+    h, todo = xxhash.xxh3_64(host), [root]
+    while todo:
+        item = todo.pop()
+        if isinstance(item, str):
+            h.update((" ".join(item.split()) + " ").encode() if item.strip() else b"")
+        elif item.tag not in DROPPED:
+            todo += reversed(item.parts)
+    return h.intdigest()
+
+
 def blocks(root: Node, template) -> list[str]:
     """Article blocks in page order once template and non-article subtrees are gone."""
     roots, todo = [], [root]
@@ -221,30 +236,42 @@ def host_of(url: str | None) -> str:
     return m.group(1).lower()
 
 
-def _templates(pages: DataFrame, min_pages: int) -> DataFrame:
-    """Hashes (host included) of the subtrees that recur on many pages of a host."""
+def _templates(pages: DataFrame, min_pages: int, min_share: float) -> DataFrame:
+    """Hashes (host included) of the subtrees that recur on many distinct pages of a host.
+
+    Rows (host, subtree, page) are made distinct before they are counted; subtree 0
+    stands for the page itself and counts the host's pages."""
     import pyarrow as pa
 
     def found(batches):
         for batch in batches:
-            urls, texts, out = batch.column(0).to_pylist(), batch.column(1), []
+            urls, texts, out, sizes, keys = batch.column(0).to_pylist(), batch.column(1), [], [], []
             for k, url in enumerate(urls):
-                root = parse(texts[k].as_py() or "")
-                hash_subtrees(root, host_of(url))
-                out += outside(root)
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(out, dtype=np.uint64).view(np.int64))], ["subtree"])
-    rows = pages.select("url", "html").mapInArrow(found, "subtree long")
-    return rows.groupBy("subtree").agg(F.count(F.lit(1)).alias("pages")).where(F.col("pages") >= min_pages)
+                host, root = host_of(url), parse(texts[k].as_py() or "")
+                hash_subtrees(root, host)
+                mine = [0, *(outside(root) - {0})]
+                out += mine
+                sizes.append(len(mine))
+                keys.append((xxhash.xxh3_64_intdigest(host), content(root, host)))
+            keys = np.repeat(np.array(keys, dtype=np.uint64).reshape(-1, 2), np.array(sizes, dtype=np.int64), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64)) for x in (
+                keys[:, 0], np.array(out, dtype=np.uint64), keys[:, 1])], ["host", "subtree", "page"])
+    rows = pages.select("url", "html").mapInArrow(found, "host long, subtree long, page long").distinct()
+    counts = saved(rows.groupBy("host", "subtree").agg(F.count(F.lit(1)).alias("pages")).where(
+        (F.col("subtree") == 0) | (F.col("pages") >= min_pages)), "template-counts")
+    hosts = counts.where("subtree = 0").select("host", F.col("pages").alias("of"))
+    return counts.where("subtree <> 0").join(hosts, "host").where(F.col("pages") >= F.lit(min_share) * F.col("of"))
 
 
 def extract(df: DataFrame, page_id: str = "page_id", url: str = "url", html: str = "html",
-            min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_TEMPLATES) -> DataFrame:
+            min_pages: int = MIN_PAGES, broadcast_rows: int = BROADCAST_TEMPLATES,
+            min_share: float = MIN_SHARE) -> DataFrame:
     """page_id, url, text, n_chars, n_blocks."""
     import pyarrow as pa
     spark = df.sparkSession
     pages = df.select(F.col(f"`{page_id}`").alias("page_id"), F.col(f"`{url}`").cast("string").alias("url"),
                       F.col(f"`{html}`").cast("string").alias("html"))
-    templates = saved(_templates(pages, min_pages).select("subtree"), "templates")
+    templates = saved(_templates(pages, min_pages, min_share).select("subtree"), "templates")
     if templates.count() <= broadcast_rows:
         known = spark.sparkContext.broadcast(np.sort(templates.toPandas()["subtree"].to_numpy().view(np.uint64)))
         pages = pages.withColumn("own", F.lit(None).cast("array<long>"))
