@@ -47,6 +47,21 @@ def test_copies_and_shared_passages_without_a_marked_article_stay(spark):
         assert all(got[i, "http://b.example/" + str(i)] == f"story {i}" + ("\nTo be or not" if i % 8 == 0 else "") for i in range(40))
 
 
+def test_hints_spare_the_article_and_what_holds_it(spark):
+    article = '<article class="post has-comments"><h1>Head</h1><p>Text</p></article>'
+    pages = ['<div class="layout with-sidebar">%s</div><div class="sidebar">no</div>', '<form id="aspnetForm"><p>menu</p>%s</form>',
+             '<div class="sidebar"><div>%s</div></div>', '<main><form id="f">%s</form></main>',
+             '%s<div class="related"><article><p>teaser</p></article></div><aside><article>teaser</article></aside>']
+    inside = ('<article><h2 id="related-work">Related work</h2><h2 id="share">Shares</h2><p class="ad-hoc">Ad hoc</p>'
+              '<section id="social-history"><p>History</p></section><div class="comments-area">no</div>'
+              '<div class="ad-slot">no</div><div class="share-buttons">no</div><p id="newsletter">no</p><div class="site-nav">no</div></article>')
+    plain = '<div><p>Story</p></div><aside><article><p>teaser</p></article></aside>'
+    rows = [(i, f"http://h{i}/", f"<body>{p}</body>") for i, p in enumerate([p % article for p in pages] + [inside, plain])]
+    got = texts(spark, rows)
+    assert [got[i, f"http://h{i}/"][0] for i in range(7)] == [
+        *["Head\nText"] * 5, "Related work\nShares\nAd hoc\nHistory", "Story"]
+
+
 def test_odd_pages(spark):
     deep = "<div>" * 3000 + "deep" + "</div>" * 3000
     rows = [(1, None, None), (2, "", ""), (None, "x", "plain text"), (4, "http://h/", "<p>a<p>b<p"), (4, "http://h/", "<p>a<p>b<p"),

@@ -7,6 +7,9 @@ on ``MIN_PAGES`` of them or more, and on ``MIN_SHARE`` of the host's, belongs to
 site's template and is deleted.  What is left loses the elements whose tag
 or class says that they are no article text (menus, adverts, forms, comments),
 and the article, else the main part, else the body gives the blocks of text.
+Class tokens and ids count as a whole, and not on headings.  A form that holds an
+article stays; so does any other element that holds one, but nav, footer, aside,
+menu and dialog, when the page has no article outside such elements.
 Subtrees inside the article are never deleted for recurring: copies of an
 article on one host are whole pages, not templates; no more are copies of a page
 without a marked article, or passages that a small part of a host's pages share.
@@ -44,11 +47,23 @@ DROPPED = set("script style title textarea noscript template iframe xmp head nav
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure "
              "footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody "
              "tfoot thead tr ul caption".split())
+TEASERS = set("nav footer aside menu dialog".split())      # their articles are not the page's
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
 HINTS = set("ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments "
             "consent cookie cookies disqus footer gdpr login menu modal nav navbar navigation newsletter notice "
             "notices pagination pager popup promo promoted recommended related replies reply respond "
             "share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split())
+# Compound class tokens and ids: one of these, a hyphen, one of those (fixed values).
+HINT_FIRST = set("site page main primary secondary top bottom left right global header footer side mobile post entry article "
+                 "blog user".split())
+HINT_LAST = set("area bar block body box buttons banner container content form group header icons inner item items label "
+                "links list menu meta nav notice overlay popup posts section slot text thread title toggle unit widget "
+                "wrap wrapper".split())
+HINT_ENDS = set("ad ads advert banner breadcrumb breadcrumbs comments footer menu nav navbar navigation newsletter pagination "
+                "pager share sharing sidebar social subscribe toolbar widget".split())
+HINT_STARTS = set("ad ads advert advertisement banner breadcrumb breadcrumbs comment comments cookie cookies consent footer menu "
+                  "modal nav navbar navigation newsletter pagination popup promo recommended related share sharing sidebar "
+                  "signup social sponsored subscribe toolbar widget".split())
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
           "th": {"td", "th"}, "option": {"option"}, "tbody": {"thead", "tbody", "tr", "td", "th"}}
 HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"tr", "table"},
@@ -56,7 +71,14 @@ HOLDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 _ATTR = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_WORD = re.compile(r"[a-z]+")
+
+
+def _hint(token: str) -> bool:
+    """Whether a class token or an id is a hint word or a known compound of one."""
+    if token in HINTS:
+        return True
+    first, _, last = token.replace("_", "-").partition("-")
+    return (first in HINT_FIRST and last in HINT_ENDS) or (first in HINT_STARTS and last in HINT_LAST)
 
 
 class Node:
@@ -73,7 +95,7 @@ class Node:
             if name.lower() == "role":
                 if value in ("navigation", "banner", "contentinfo", "complementary", "search", "form", "dialog"):
                     return True
-            elif HINTS.intersection(_WORD.findall(value)):
+            elif self.tag not in HEADINGS and any(map(_hint, value.split())):
                 return True
         return False
 
@@ -145,12 +167,18 @@ def _is_article(node: Node) -> bool:
     return node.tag in ("article", "main") and not node.hinted()
 
 
-def outside(root: Node) -> set[int]:
-    """Hashes of the block subtrees that neither hold an article nor lie in one."""
-    found, holds = set(), set()
+def _holders(root: Node) -> set[int]:
+    """Elements (by id()) that are or hold an article."""
+    holds = set()
     for node in _walk(root):
         if _is_article(node) or any(isinstance(p, Node) and id(p) in holds for p in node.parts):
             holds.add(id(node))
+    return holds
+
+
+def outside(root: Node) -> set[int]:
+    """Hashes of the block subtrees that neither hold an article nor lie in one."""
+    found, holds = set(), _holders(root)
     todo = [root]
     while todo:
         node = todo.pop()
@@ -176,14 +204,14 @@ def content(root: Node, host: str) -> int:
 
 def blocks(root: Node, template) -> list[str]:
     """Article blocks in page order once template and non-article subtrees are gone."""
-    roots, todo = [], [root]
-    body = root
-    articles, mains = [], []
+    holds = _holders(root)
+    articles, mains, body, todo = [], [], root, [root]
     while todo:
         node = todo.pop()
         if node.tag == "body":
             body = node
-        if node.tag in DROPPED or (node is not root and node.hinted() and node.tag not in ("html", "body")):
+        if (node.tag in DROPPED and not (node.tag == "form" and id(node) in holds)) or (
+                node is not root and node.hinted() and node.tag not in ("html", "body")):
             continue
         if not _is_article(node) and node.tag not in ("#", "html", "body") and template(node.hash):
             continue
@@ -212,8 +240,9 @@ def blocks(root: Node, template) -> list[str]:
             if done:
                 flush()
                 continue
-            if item is not top and (item.tag in DROPPED or item.hinted()
-                                    or (not inside and template(item.hash))):
+            held = not articles and id(item) in holds and item.tag not in TEASERS
+            if item is not top and not held and (item.tag in DROPPED or item.hinted()
+                                                 or (not inside and template(item.hash))):
                 if item.tag in BLOCKS:
                     flush()
                 continue
