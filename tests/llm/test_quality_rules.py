@@ -44,6 +44,12 @@ def test_good_documents_stay_and_junk_goes(spark):
     assert sum(good) > 0.999 * len(good) and sum(junk) < 0.02 * len(junk)
 
 
+def test_no_document_is_too_long(spark):
+    passes = spark.range(1).selectExpr("5000000L AS n_words").select(quality_rules.compile_rules(
+        [r for r in quality_rules.RULES if r.name == "word_count"])["word_count"].alias("ok"))
+    assert passes.first()["ok"]
+
+
 def test_odd_rows(docs_of):
     rows = [(1, None), (2, ""), (3, " \n\t\r\x0b\x0c\n"), (None, "one"), (4, "a b c d e a b c d e"), (4, "a b c d e a b c d e"),
             (5, "x " * 40_000), (6, "\n".join(["same line"] * 30)), (7, "a a a a a a"), (8, "ÄÖ é\xa0b | # <x>"),

@@ -44,7 +44,7 @@ class Rule:
 
 
 RULES = [
-    Rule("word_count", "n_words", 10, 1_000_000),
+    Rule("word_count", "n_words", 10),
     Rule("mean_word_length", "mean_word_chars", 2.5, 12.0),
     Rule("symbol_ratio", "symbols_per_word", None, 0.1),
     Rule("duplicate_lines", "dup_line_share", None, 0.5),
