@@ -3,6 +3,8 @@
 import zlib
 from collections import Counter, defaultdict
 
+from pyspark.sql import functions as F
+
 from twinlens.llm import sharding
 
 
@@ -28,6 +30,18 @@ def spread(got):
     return where
 
 
+def test_rounds_go_on_until_nothing_moves(docs_of, monkeypatch):
+    rounds = []
+
+    def slow(atoms, quota, n_lanes):
+        rounds.append(quota)
+        return atoms.withColumn("moved", F.lit(len(rounds) < 20))
+    monkeypatch.setattr(sharding, "_round", slow)
+    rows = [(i, f"text {i % 3}") for i in range(30)]
+    check(docs_of(rows), rows, shards=4)
+    assert len(rounds) == 20
+
+
 def test_copies_share_a_shard(small_docs):
     rows = [(r["doc_id"], r["text"]) for r in small_docs.collect()]
     where = spread(check(small_docs, rows))

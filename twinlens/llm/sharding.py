@@ -6,7 +6,9 @@ a start label (and one of ``PARTS`` parts) form an atom, and atoms move: in each
 group its fullest shard that has room left (as many as it has quotas to fill),
 the group's other atoms ask to move there, and requests are granted, most links first, as far as the shard's quota
 reaches (a two-level prefix sum over (shard, lane), so no task sorts a shard).
-Rounds go on until nothing moves.  Unlinked documents have no preference and fill what is left, so
+Rounds go on until nothing moves, which ends: atoms move whole, out of cells that are
+no target, into cells of as many rows or more, so a round with a move adds to the sum of
+squared cell sizes, which the group's size bounds.  Unlinked documents have no preference and fill what is left, so
 that shard sizes (law ``rows``) differ by one row at most.
 
 Texts are read once, for their length, checksum and group key; rounds work on
@@ -28,7 +30,6 @@ from .common import lanes, saved
 
 SHARDS = 40
 PARTS = 8                              # atoms a group has for each start label, at most
-MAX_ROUNDS = 16
 OVERHEAD = 16
 
 
@@ -97,8 +98,7 @@ def _round(atoms: DataFrame, quota: int, n_lanes: int) -> DataFrame:
                     F.col("to").isNotNull().alias("moved")))
 
 
-def shard_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS,
-                    max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def shard_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard, linked."""
     spark = df.sparkSession
     n_lanes = lanes(spark)
@@ -112,10 +112,10 @@ def shard_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
                   .select("g", "g_len", "start", "n", (F.col("start") % shards).alias("shard"), F.lit(True).alias("moved")),
                   "shard-atoms")
     quota = total // shards
-    for k in range(max_rounds):
+    k, moving = 0, True
+    while moving:
         atoms = saved(_round(atoms, quota, n_lanes), f"shard-round{k}")
-        if not atoms.where("moved").limit(1).count():
-            break
+        k, moving = k + 1, atoms.where("moved").limit(1).count() > 0
     # linked rows keep their label as far as the shard's exact row count reaches
     labels = atoms.select("g", "g_len", "start", F.col("shard").alias("label"))
     d = base.withColumn("start", start).join(labels, ["g", "g_len", "start"], "left")
