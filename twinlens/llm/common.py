@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -57,3 +58,16 @@ def lanes(spark: SparkSession) -> int:
 def small(df: DataFrame, rows: int = 2_000_000) -> DataFrame:
     """``df`` marked for broadcast when it is counted to hold few rows, else as it is."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def runs(batch, column: int = 0, limit: int = 2 << 20):
+    """Cut an Arrow batch into slices of about ``limit`` bytes of the text in
+    ``column`` (one row at least), so that no whole batch becomes Python objects."""
+    import pyarrow.compute as pc
+    sizes = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(sizes.astype(np.int64) + 64), 0
+    while at < len(ends):
+        until = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + limit, side="right"))
+        until = max(until, at + 1)
+        yield batch.slice(at, until - at)
+        at = until

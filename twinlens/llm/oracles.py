@@ -99,4 +99,23 @@ SELECT node AS vec_id, coalesce(any_value(k), 0) AS n_links, min(m) AS component
 FROM r LEFT JOIN (SELECT x, count(*) AS k FROM l GROUP BY x) c ON c.x = node GROUP BY node"""
 
 
-ORACLES = {"op1_ngram_jaccard": _op1(), "op2_embedding_dedup": _op2(), "op5_mixing": _op5(), "op8_quality_rules": _op8()}
+def _op12() -> str:
+    split = (r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), "
+             r"'[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')")
+    return f"""
+WITH i AS (SELECT item_id, unnest({split}) AS term FROM benchmark),
+q AS (SELECT item_id, term, count(*) AS qtf FROM i GROUP BY ALL),
+d AS (SELECT doc_id, {split} AS w FROM documents),
+c AS (SELECT CAST(count(*) AS BIGINT) AS nn, CAST(sum(len(w)) AS BIGINT) AS ll FROM d WHERE len(w) > 0),
+p AS (SELECT doc_id, n, term, CAST(count(*) AS BIGINT) AS tf FROM (SELECT doc_id, CAST(len(w) AS BIGINT) AS n, unnest(w) AS term FROM d) _d
+  GROUP BY ALL),
+f AS (SELECT term, count(*) AS df FROM p WHERE term IN (SELECT term FROM q) GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln((2 * nn + 2)::DOUBLE / (2 * df + 1)::DOUBLE)) AS BIGINT) AS weight FROM f, c),
+s AS (SELECT item_id, doc_id, CAST(sum(qtf * weight * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * nn) // ll)))) AS BIGINT) AS score
+  FROM q JOIN w USING (term) JOIN p USING (term), c GROUP BY item_id, doc_id)
+SELECT item_id, CAST(rank AS INT) AS rank, doc_id, score FROM (
+  SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM s WHERE score > 0) _s WHERE rank <= 20"""
+
+
+ORACLES = {"op1_ngram_jaccard": _op1(), "op2_embedding_dedup": _op2(), "op5_mixing": _op5(), "op8_quality_rules": _op8(),
+           "op12_lexical_search": _op12()}

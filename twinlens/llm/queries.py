@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import embed_dedup, html_extract, license_scan, lm_score, mixing, ngram_join, packing, quality_rules, sharding, toxicity
+from . import (embed_dedup, html_extract, lexical_search, license_scan, lm_score, mixing, ngram_join, packing, periodic_runs,
+               quality_rules, sharding, token_records, toxicity)
 from .common import documents
 from .oracles import ORACLES
 
@@ -60,8 +61,22 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
             .select("doc_id", held_out.alias("held_out"), "score", "predicted"))
 
 
+def op11_token_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    manifest = token_records.write(documents(spark, sf_dir), token_records.output_folder(spark))
+    return token_records.read(manifest)
+
+
+def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.digest(periodic_runs.find(periodic_runs.planted(documents(spark, sf_dir).select("doc_id", "text"))))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_ngram_jaccard, op2_embedding_dedup, op3_lm_scoring, op4_html_extraction, op5_mixing, op6_packing, op7_license_scan, op8_quality_rules, op9_sharding, op10_toxicity)}
+    op1_ngram_jaccard, op2_embedding_dedup, op3_lm_scoring, op4_html_extraction, op5_mixing, op6_packing, op7_license_scan,
+    op8_quality_rules, op9_sharding, op10_toxicity, op11_token_records, op12_lexical_search, op13_periodic_runs)}
 
 
 def queries():
