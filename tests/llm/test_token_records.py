@@ -46,19 +46,32 @@ def test_checksums():
     assert masked(np.array([0], dtype=np.uint32))[0] == 0xA282EAD8
 
 
-@settings(max_examples=200, deadline=None)
-@given(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \t\n\x0b\x0c\r\x1c\x85\xa0'stdΣİ́<|endoftext|>"))))
-def test_ids_of_words_are_ids_of_the_text(text):
-    words = tr.WordIds(lambda w: TOKENIZER.encode(w, add_special_tokens=False).ids, "<u2")
-    assert np.frombuffer(words.of(text.encode()), dtype="<u2").tolist() == ids_of(text)[:-1].tolist()
+WORDS = tr.WordIds(tr.VOCABULARY)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text(alphabet=st.one_of(st.characters(codec="utf-8"), st.sampled_from(" \t\n\x0b\x0c\r\x1c\x85\xa0'stdΣσİ́.,!ab<|endoftext|>"))), max_size=4))
+def test_ids_of_words_are_ids_of_the_text(texts):
+    got = WORDS.of([t.encode() for t in texts])
+    assert [np.frombuffer(g, dtype="<u2").tolist() for g in got] == [ids_of(t)[:-1].tolist() for t in texts]
 
 
 def test_special_strings_and_bounded_memory(monkeypatch):
     monkeypatch.setattr(tr, "KEPT_WORDS", 3)
-    words = tr.WordIds(lambda w: TOKENIZER.encode(w, add_special_tokens=False).ids, "<u2")
-    for text in ("a<|endoftext|>b <|startoftext|>", "x " * 10 + "y z u v w", "é" * 500 + " " + "Ab1" * 300, "a  ́b"):
-        assert np.frombuffer(words.of(text.encode()), dtype="<u2").tolist() == ids_of(text)[:-1].tolist()
-        assert len(words) <= 3
+    words = tr.WordIds(tr.VOCABULARY)
+    for text in ("a<|endoftext|>b <|startoftext|>", "x " * 10 + "y z u v w", "é" * 500 + " " + "Ab1" * 300, "a  ́b",
+                 "İx Σας ΣΑΣ. ǅ, ﬁ! Ⅷ; don't it's 'll ... a., b.: 5. 6,\n.x é, …, Zz. <|ENDOFTEXT|> q.", "x y z u v w x, y. . , ;"):
+        assert np.frombuffer(words.of([text.encode()])[0], dtype="<u2").tolist() == ids_of(text)[:-1].tolist()
+        assert len(words.fresh) <= 25 and len(words.old) <= 25
+
+
+def test_a_vocabulary_without_word_ends_and_wide_ids(spark, docs_of, tmp_path):
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["two  words\n", "It's a test, of blanks \t ."]
+    got = tr.read(tr.write(docs_of(list(enumerate(texts))), str(tmp_path), vocabulary="byte_bpe_50k.json"), with_ids=True).collect()
+    assert [r["ids"] for r in sorted(got)] == [[*other.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    payload = bytes([3]) + (9).to_bytes(8, "little") + np.array([70_000, 1], dtype="<u4").tobytes()
+    assert [tr.unpacked(p)[1].tolist() for p in tr.parse(tr.frames([payload])[0], "f", 0)] == [[70_000, 1]]
 
 
 def test_round_trip(spark, small_docs, tmp_path):

@@ -20,9 +20,9 @@ Spark committed: a task that is lost or runs twice leaves at most an unnamed fil
 Ids before a document follow from per-file totals (one number a file in one window)
 and per-block sums within a file.  Blocks are what readers split by.
 
-Words between blanks are encoded one at a time and remembered: this tokenizer
-splits at white space and changes each character by itself, so the ids of a text
-are those of its words in a row (tested against whole texts).
+Words between blanks are encoded once and remembered: this tokenizer splits at
+white space and changes each character by itself, so the ids of a text are those
+of its words in a row (tested against whole texts).
 
 Defined results: a null or empty text is the end id alone; null document ids come
 first; rows with the same id follow the hash of their text; extra columns are
@@ -33,11 +33,15 @@ should be a table; write other frames first.
 
 from __future__ import annotations
 
+import json
 import os
+import re
 import struct
 import uuid
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from functools import lru_cache, partial
+from string import ascii_letters, ascii_lowercase
 
 import numpy as np
 from pyspark import TaskContext
@@ -51,36 +55,117 @@ from .crc32c import crc32c, masked
 VOCABULARY = "word_bpe_49k.json"
 END_ID = 2
 BLOCK_BYTES = 4 << 20
-KEPT_WORDS = 200_000
+KEPT_WORDS = 600_000            # per generation
+JOINED = 500                    # words that go to the library at once
+STOPS = ".,;:!?"
+STOPPED = re.compile(rb"[.,;:!?](?<=[a-z0-9].)(?=[\x20\x09-\x0D]|\Z)")
 HEAD = 12                       # length and its checksum
 FRAME = HEAD + 4                # what a frame adds to its payload
 PREFIX = 9                      # flag and document id
 MANIFEST = "file string, file_no long, block long, offset long, bytes long, records long, ids long, first_record long"
 
 
-class WordIds(dict):
-    """word (bytes) -> its ids as packed bytes, filled on demand, bounded in size."""
-
-    def __init__(self, encode: Callable[[str], list[int]], dtype: str):
-        self.encode, self.dtype = encode, dtype
-
-    def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.encode(word.decode("utf-8", "replace")), dtype=self.dtype).tobytes()
-        if len(word) <= 64:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = ids
-        return ids
-
-    def of(self, text: bytes) -> bytes:
-        return b"".join([self[w] for w in text.split()])
+class WordIds:
+    """Packed ids of whole texts by a tokenizer file of the tokenizers library.
+
+    If the vocabulary marks word ends (``end_of_word_suffix``), words between blanks
+    are independent: the words of a run of texts that are not remembered yet go to
+    the library together, the others are looked up.  Words of letters alone are
+    joined by spaces and their ids are cut after each id that ends a word; other
+    words are encoded one by one.  What the tokenizer does to ASCII is asked of it
+    once: if it lower-cases A-Z, texts are lower-cased first; if a stop after a letter
+    or digit is a unit of its own, it is a word of its own here; if a-z pass its
+    normaliser and pre-tokenizer unchanged, words of them skip both.  Texts with a
+    special token's string, and all texts if there are no word ends, go to the
+    library whole.  Two generations of words are remembered, so frequent ones stay
+    when a generation is full.
+    """
+
+    def __init__(self, vocabulary: str):
+        import public_tokenizers
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"      # a task is one thread
+        path = vocabulary if os.path.exists(vocabulary) else public_tokenizers.path(vocabulary)
+        self.tok = Tokenizer.from_file(path)
+        model = json.loads(self.tok.to_str())
+        suffix, size = model["model"].get("end_of_word_suffix"), self.tok.get_vocab_size(with_added_tokens=True)
+        self.dtype = "<u4" if size > 1 << 16 else "<u2"
+        self.ends = np.zeros(size, dtype=bool)
+        if suffix:
+            self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith(suffix)]] = True
+        self.by_word = bool(suffix) and self.tok.normalizer is not None and self.tok.pre_tokenizer is not None
+        self.special = [t["content"].lower().encode() for t in model["added_tokens"]]
+        self.lowers = self.stops = False
+        if self.by_word:
+            self.lowers = all(self.tok.normalizer.normalize_str(c) == c.lower() for c in ascii_letters)
+            self.stops = all(self._units(a + s) == [a, s] for a in ("ab", "1") for s in STOPS)
+        self.bare = self.tok
+        if self.lowers and self._units(ascii_lowercase) == [ascii_lowercase]:
+            self.bare = Tokenizer.from_file(path)
+            self.bare.normalizer, self.bare.pre_tokenizer = normalizers.Sequence([]), pre_tokenizers.WhitespaceSplit()
+        self.fresh: dict[bytes, bytes] = {}
+        self.old: dict[bytes, bytes] = {}
+
+    def _units(self, text: str) -> list[str]:
+        return [unit for unit, _ in self.tok.pre_tokenizer.pre_tokenize_str(text)]
+
+    def packed(self, ids: list[int]) -> bytes:
+        return np.array(ids, dtype=self.dtype).tobytes()
+
+    def encode(self, texts: list[bytes], by=None) -> list[list[int]]:
+        return [e.ids for e in (by or self.tok).encode_batch_fast([t.decode() for t in texts], add_special_tokens=False)]
+
+    def of(self, texts: list[bytes]) -> list[bytes]:
+        """The ids of each text."""
+        split = [self._words(t) for t in texts]
+        self._remember(set().union(*[w for w in split if w is not None]))
+        find = self.fresh.__getitem__
+        return [b"".join(map(find, w)) if w is not None else self.packed(self.encode([t])[0]) for t, w in zip(texts, split, strict=True)]
+
+    def _words(self, text: bytes) -> list[bytes] | None:
+        """The text's words, None if it has to be encoded whole."""
+        if not self.by_word:
+            return None
+        low = text.lower()                                  # of bytes: A-Z only
+        if any(s in low for s in self.special):
+            return None
+        if self.lowers:
+            text = low
+        return (STOPPED.sub(rb" \g<0>", text) if self.stops else text).split()
+
+    def _remember(self, words: set[bytes]) -> None:
+        missing = words.difference(self.fresh)
+        if len(self.fresh) + len(missing) > KEPT_WORDS:
+            self.old, self.fresh, missing = self.fresh, {}, words
+        known = [w for w in missing if w in self.old]
+        self.fresh.update((w, self.old[w]) for w in known)
+        missing = missing.difference(known)
+        plain = [w for w in missing if w.isalpha()]         # of bytes: A-Z and a-z only
+        missing = missing.difference(plain)
+        letters = [w for w in missing if w.decode().isalpha()]
+        whole = list(missing.difference(letters))
+        for group, learn in ((plain, partial(self._learn, by=self.bare)), (letters, self._learn), (whole, self._each)):
+            for a in range(0, len(group), JOINED):
+                learn(group[a:a + JOINED])
+
+    def _each(self, words: list[bytes]) -> None:
+        self.fresh.update(zip(words, map(self.packed, self.encode(words)), strict=True))
+
+    def _learn(self, words: list[bytes], by=None) -> None:
+        """Words of letters alone: each is one unit of the tokenizer, in order."""
+        ids = np.array(self.encode([b" ".join(words)], by)[0], dtype=np.int64)
+        cuts = np.flatnonzero(self.ends[ids]) + 1
+        if len(cuts) != len(words):          # a letter that the tokenizer changes to something else
+            self._each(words)
+            return
+        data, bounds = self.packed(ids), [0, *(cuts * int(self.dtype[-1])).tolist()]
+        self.fresh.update(zip(words, [data[a:b] for a, b in zip(bounds, bounds[1:])], strict=True))
 
 
-def tokenizer(vocabulary: str):
-    import public_tokenizers
-    from tokenizers import Tokenizer
-    path = vocabulary if os.path.exists(vocabulary) else public_tokenizers.path(vocabulary)
-    return Tokenizer.from_file(path)
+@lru_cache(maxsize=2)
+def word_ids(vocabulary: str) -> WordIds:
+    """Kept by the worker process for its next tasks."""
+    return WordIds(vocabulary)
 
 
 def _file_system(folder: str):
@@ -197,21 +282,15 @@ def write(df: DataFrame, folder: str, doc_id: str = "doc_id", text: str = "text"
     types = [pa.string() if k == "string" else pa.int64() for k in kinds]
 
     def written(batches):
-        tok, writer = None, None
+        encoder, writer = word_ids(vocabulary), None
+        end, width = encoder.packed([end_id]), int(encoder.dtype[-1])
         for batch in batches:
-            for run in runs(batch, 1):
-                if writer is None:
-                    tok = tokenizer(vocabulary)
-                    wide = max(tok.get_vocab_size(with_added_tokens=True) - 1, end_id) >= 1 << 16
-                    dtype = "<u4" if wide else "<u2"
-                    words = WordIds(lambda w: tok.encode(w, add_special_tokens=False).ids, dtype)
-                    end, width = np.array([end_id], dtype=dtype).tobytes(), 4 if wide else 2
-                    writer = _Writer(folder, TaskContext.get().partitionId())
-                texts = run.column(1).cast(pa.binary())
-                for one, t in zip(run.column(0).to_pylist(), texts, strict=True):
-                    ids = words.of(t.as_py() or b"") + end
-                    flags = (one is not None) | (2 if wide else 0)
-                    writer.add(struct.pack("<Bq", flags, one or 0) + ids, len(ids) // width)
+            for run in runs(batch, 1, BLOCK_BYTES):
+                writer = writer or _Writer(folder, TaskContext.get().partitionId())
+                texts = [t or b"" for t in run.column(1).cast(pa.binary()).to_pylist()]
+                for one, ids in zip(run.column(0).to_pylist(), encoder.of(texts), strict=True):
+                    flags = (one is not None) | (2 if width == 4 else 0)
+                    writer.add(struct.pack("<Bq", flags, one or 0) + ids + end, len(ids) // width + 1)
         if writer is not None:
             writer.close()
             columns = zip(*writer.blocks, strict=True)
