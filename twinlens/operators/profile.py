@@ -108,11 +108,10 @@ def iqr_outliers(long_num: DataFrame, k: float = 1.5, min_n: int = 4, cdf: DataF
     # one row per (side, column): a bounded broadcast
     j = long_num.join(F.broadcast(fences), ["src", "column_name"])
     out = (F.col("value") < F.col("lower_fence")) | (F.col("value") > F.col("upper_fence"))
-    cnt = j.groupBy("src", "column_name").agg(F.count_if(out).alias("outlier_count"))
-    res = fences.join(cnt, ["src", "column_name"], "left").where(F.col("n") >= min_n)
-    return res.select("src", "column_name", "n", "q1", "q3", "iqr", "lower_fence", "upper_fence",
-                      F.coalesce("outlier_count", F.lit(0)).alias("outlier_count"),
-                      (F.coalesce("outlier_count", F.lit(0)) / F.col("n") * 100.0).alias("outlier_percentage"))
+    # the fences ride along as grouping keys, so they are computed once
+    keys = ["src", "column_name", "n", "q1", "q3", "iqr", "lower_fence", "upper_fence"]
+    res = j.groupBy(*keys).agg(F.count_if(out).alias("outlier_count")).where(F.col("n") >= min_n)
+    return res.select(*keys, "outlier_count", (F.col("outlier_count") / F.col("n") * 100.0).alias("outlier_percentage"))
 
 
 def first_outliers(long_num: DataFrame, k: float = 1.5, limit: int = 5) -> DataFrame:

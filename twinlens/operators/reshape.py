@@ -10,15 +10,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
 from ..sources.testdata import REAL, SYNTH, Twin
 
 
+def _unpivot(wide: DataFrame, cols: list[str]) -> DataFrame:
+    """(src, row_id, column_name, value). A generator, not ``unpivot``: the latter
+    passes attributes through under their old ids, which keeps Spark from seeing that
+    two reads of a long frame in one plan are the same exchange."""
+    pairs = [x for c in cols for x in (F.lit(c), F.col(f"`{c}`"))]
+    return wide.select("src", "row_id", F.stack(F.lit(len(cols)), *pairs).alias("column_name", "value"))
+
+
 def numeric_long(twin: Twin, columns: list[str] | None = None,
                  drop_missing: bool = True) -> DataFrame:
     cols = columns or twin.numeric
     wide = twin.df.select("src", "row_id", *[F.col(c).cast("double").alias(c) for c in cols])
-    long = wide.unpivot(["src", "row_id"], cols, "column_name", "value")
+    long = _unpivot(wide, cols)
     if drop_missing:
         long = long.where(F.col("value").isNotNull() & ~F.isnan("value"))
     return long
@@ -28,7 +35,7 @@ def categorical_long(twin: Twin, columns: list[str] | None = None,
                      drop_missing: bool = True) -> DataFrame:
     cols = columns or twin.categorical
     wide = twin.df.select("src", "row_id", *[F.col(c).cast("string").alias(c) for c in cols])
-    long = wide.unpivot(["src", "row_id"], cols, "column_name", "value")
+    long = _unpivot(wide, cols)
     if drop_missing:
         long = long.where(F.col("value").isNotNull())
     return long
@@ -49,18 +56,37 @@ def side_value_counts(long: DataFrame) -> DataFrame:
         F.count_if(is_synth()).alias("n_synth"))
 
 
+RANGES = 1024   # ranges of a prefix sum; a power of two
+
+
+def _with_range(df: DataFrame, key: Column, borders: Column) -> DataFrame:
+    """``df`` with ``_range``: how many of the sorted ``borders`` are not above
+    ``key``, by a binary search of one projection a step."""
+    out = df.withColumns({"_k": key, "_b": borders, "_range": F.lit(0)})
+    for step in (RANGES >> i for i in range(1, RANGES.bit_length())):
+        beyond = F.get("_b", F.col("_range") + (step - 1)) <= F.col("_k")      # null past the end
+        out = out.withColumn("_range", F.when(beyond, F.col("_range") + step).otherwise(F.col("_range")))
+    return out.drop("_k", "_b")
+
+
 def running_totals(df: DataFrame, part: str | list[str], order: str, sums: list[str]) -> DataFrame:
     """Add ``cum_<c>`` (inclusive prefix sum ordered by ``order``) and
     ``tot_<c>`` (group total) for each c in ``sums``, per ``part``.
 
-    The aggregated rows are dealt into ranges of (part, order) - any orderable
-    key: number, string or struct - and checkpointed, so a row's range is fixed.
-    Per-range totals give each range's offset, and a window per (part, range)
-    adds the running sum inside it. The number of ranges follows the number of
-    rows (adaptive execution merges small ranges), so no task sorts a group.
+    Two levels, in one lazy plan: the rows are cut into ranges of (part, order) - any
+    orderable key: number, string or struct -, per-range totals give each range's
+    offset, and a window per (part, range) adds the running sum inside it, so no task
+    sorts a group. The borders are the keys of least hash (``RANGES - 1`` of them, a
+    scalar subquery): a fair sample that depends on the set of keys alone, so every
+    read of the plan, also a repeated one after a lost executor, cuts alike. ``df``
+    should be aggregated to one row per key.
     """
     parts = [part] if isinstance(part, str) else list(part)
-    ranged = cut_lineage(df.repartitionByRange(*parts, order).withColumn("_range", F.spark_partition_id()))
+    key = F.struct(*parts, order)
+    # the sums break ties only to keep this read of df equal to the other two, so it is shared
+    least = df.select(key.alias("k"), *sums).orderBy(F.xxhash64("k"), "k", *sums).limit(RANGES - 1)
+    borders = least.agg(F.array_sort(F.collect_list("k")).alias("b")).scalar()
+    ranged = _with_range(df, key, borders)
     per_range = ranged.groupBy(*parts, "_range").agg(*[F.sum(c).alias(f"_b_{c}") for c in sums])
     before = Window.partitionBy(*parts).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*parts)
