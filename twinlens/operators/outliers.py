@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .privacy import knn
+from .neighbours import knn
 from .reshape import is_real, is_synth
 
 

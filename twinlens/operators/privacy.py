@@ -1,28 +1,17 @@
-"""Privacy checks.
+"""Privacy checks.
 
 Exact match rate is a null-safe left-semi join against the *distinct* real
-rows, so a hot duplicated real row is one build row, not a fan-out.
-
-Nearest neighbours (k = 2, Euclidean) are exact without comparing all pairs:
-real rows are bucketed into an equal-frequency grid over the first (up to
-four) features (edges from approximate real-side quantiles); a
-synthetic row first searches a box of cells around its own cell, widening the
-box only for rows that still lack k candidates; the k-th candidate distance
-then bounds the true k-th neighbour distance, so a final pass over the cells
-within that radius (on the two grid axes) is exact. Each pass is an equi-join
-on cell id plus a top-k window (``row_number <= k`` becomes a partial
-per-partition limit before the shuffle).
+rows, so a hot duplicated real row is one build row, not a fan-out.  Nearest
+neighbours are in ``neighbours``.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import cut_lineage
-from .reshape import exact_quantiles, is_real, is_synth
+from .neighbours import knn  # noqa: F401  (part of this module's interface)
+from .reshape import exact_quantiles
 
 
 def exact_matches(real: DataFrame, synth: DataFrame, cols: list[str]) -> DataFrame:
@@ -38,86 +27,6 @@ def exact_matches(real: DataFrame, synth: DataFrame, cols: list[str]) -> DataFra
                       F.when(F.col("matches") == 0, "SUCCESS").otherwise("WARNING").alias("result"))
 
 
-def _dist(feats: list[str]):
-    return F.sqrt(sum(F.pow(F.col(f"s_{c}") - F.col(f"r_{c}"), 2) for c in feats))
-
-
-def knn(enc: DataFrame, feats: list[str], k: int = 2, grid_axes: int | None = None,
-        target_per_cell: int = 64, with_ids: bool = False) -> DataFrame:
-    """For each synthetic row, its k nearest real rows.
-
-    Returns (row_id, rank, distance) with rank 1..k. The grid spans
-    min(d, 4) axes by default: more axes prune the final radius search better
-    (for roughly uniform data the searched cells grow like N^(g/8) in 8-D
-    instead of N^(3/4) with two axes) at the price of more cells per box.
-    """
-    axes = feats[:grid_axes or min(len(feats), 4)]
-    # the encoded frame feeds several jobs below: materialise it once
-    enc = cut_lineage(enc)
-    n_real = enc.where(is_real()).count()  # scalar for the grid resolution
-    b = max(1, int(math.ceil((max(n_real, 1) / target_per_cell) ** (1.0 / max(len(axes), 1)))))
-    # equal-frequency cell edges per axis from the real side (one small row),
-    # so dense regions get narrow cells; a cell index is the number of edges
-    # below the value, which is monotone, so box searches stay exact
-    probs = [i / b for i in range(1, b)] or [0.5]
-    edges = cut_lineage(enc.where(is_real()).agg(
-        *[F.percentile_approx(c, probs, 10000).alias(f"_e{i}") for i, c in enumerate(axes)]))
-    if b == 1:
-        edges = edges.select(*[F.array().cast("array<double>").alias(f"_e{i}") for i in range(len(axes))])
-
-    def idx(i, v):
-        return F.size(F.filter(F.col(f"_e{i}"), lambda e: e < v)).cast("int")
-
-    def cell(c):
-        return idx(axes.index(c.replace("s_", "", 1)) if c.startswith("s_") else axes.index(c), F.col(c))
-
-    real = (enc.where(is_real()).crossJoin(F.broadcast(edges))
-            .select(F.col("row_id").alias("r_id"), *[F.col(c).alias(f"r_{c}") for c in feats],
-                    *[idx(i, F.col(c)).alias(f"_rc{i}") for i, c in enumerate(axes)]))
-    synth = (enc.where(is_synth()).crossJoin(F.broadcast(edges))
-             .select(F.col("row_id").alias("s_id"), *[F.col(c).alias(f"s_{c}") for c in feats],
-                     *[F.col(f"_e{i}") for i in range(len(axes))]))
-
-    def search(pts: DataFrame, lo_hi) -> DataFrame:
-        """Candidates of pts within the given per-axis cell ranges."""
-        ex = pts
-        for i, c in enumerate(axes):
-            lo, hi = lo_hi(i, c)
-            ex = ex.withColumn(f"_rc{i}", F.explode(F.sequence(lo, hi)))
-        ex = ex.drop(*[f"_e{i}" for i in range(len(axes))])
-        j = ex.join(real, [f"_rc{i}" for i in range(len(axes))])
-        d = j.select("s_id", "r_id", _dist(feats).alias("distance"))
-        w = Window.partitionBy("s_id").orderBy("distance", "r_id")
-        return d.select("*", F.row_number().over(w).alias("rank")).where(F.col("rank") <= k)
-
-    # 1) widen a box of cells until every synthetic row has k candidates;
-    # each round materialises its per-row candidate summary once (a reliable
-    # checkpoint), so the search is not recomputed by the checks below
-    radius, pending, found = 0, synth, None
-    while True:
-        r = radius
-        cand = search(pending, lambda i, c, r=r: (
-            F.greatest(cell(f"s_{c}") - r, F.lit(0)), F.least(cell(f"s_{c}") + r, F.lit(b - 1))))
-        kth = cut_lineage(cand.groupBy("s_id").agg(F.count("*").alias("_n"), F.max("distance").alias("_bound")))
-        done = kth.where(F.col("_n") >= k).select("s_id", "_bound")
-        found = done if found is None else found.unionByName(done)
-        if radius >= b:
-            break
-        pending = pending.join(done, "s_id", "left_anti")
-        if pending.limit(1).count() == 0:
-            break
-        pending = cut_lineage(pending)
-        radius = max(1, radius * 2)
-    # 2) exact pass: every real row within the k-th candidate distance
-    bounded = synth.join(found, "s_id")
-    final = search(bounded, lambda i, c: (idx(i, F.col(f"s_{c}") - F.col("_bound")),
-                                          idx(i, F.col(f"s_{c}") + F.col("_bound"))))
-    rank = F.col("rank").cast("long").alias("rank")
-    if with_ids:
-        return final.select(F.col("s_id").alias("row_id"), F.col("r_id").alias("neighbor_id"), rank, "distance")
-    return final.select(F.col("s_id").alias("row_id"), rank, "distance")
-
-
 def nndr(neigh: DataFrame, eps: float = 1e-12) -> DataFrame:
     """Per synthetic row, d1 / (d2 + eps) clipped to [0, 1], and d1."""
     p = neigh.groupBy("row_id").agg(

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from ..operators import encode as en
+from ..operators import neighbours as nb
 from ..operators import privacy as pv
 from ..sources.testdata import (LI_CATEGORICAL, LI_NUMERIC, LINEITEM_SQL, embedding_sql,
                                 embedding_twin, lineitem_twin)
@@ -55,7 +56,7 @@ def knn_sql() -> str:
 
 def _neigh(spark, sf_dir):
     enc, feats = en.encode_for_distance(embedding_twin(spark, sf_dir))
-    return pv.knn(enc, feats, k=2)
+    return nb.knn(enc, feats, k=2)
 
 
 @register("j6_knn2", sql=knn_sql, dbl=("distance",), note="oracle is brute force on the fixture")
