@@ -444,12 +444,13 @@ def q_a25(spark, sf_dir):
 def q_k9(spark, sf_dir):
     """K9: encoded (one-hot, float32) frame written as CSV and read back."""
     from ..operators import encode as en
-    enc, _ = en.one_hot_drop_first(orders_twin(spark, sf_dir))
-    flat = enc.select(*[F.col("features")[i].alias(f"f{i}") for i in range(7)])
+    t = orders_twin(spark, sf_dir)
+    rows = en.encode_one_hot(t.df, en.fit_one_hot(t))
     path = fl.scratch_path(spark, "encoded-csv")
-    flat.write.mode("overwrite").option("header", True).csv(path)
-    back = spark.read.csv(path, header=True, inferSchema=False)
-    return back.agg(F.count("*").alias("rows"), F.sum(F.col("f6").cast("double")).alias("o_totalprice"))
+    fl.write_encoded_csv(rows, path)
+    back = fl.read_encoded_csv(spark, path)
+    price = back.columns[-1]            # numerics follow the indicators
+    return back.agg(F.count("*").alias("rows"), F.sum(F.col(price).cast("double")).alias("o_totalprice"))
 
 
 @register("s8_job_bundle", dbl=("stored_totalprice",), sql=(

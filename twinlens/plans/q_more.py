@@ -9,7 +9,7 @@ from ..operators import perturb as pt
 from ..operators import project as pj
 from ..operators.reshape import numeric_long
 from ..sources import files as fl
-from ..sources.testdata import (EMB_POINTS_SQL, LINEITEM_SQL, Twin, customer_real, embedding_points,
+from ..sources.testdata import (EMB_POINTS_SQL, LINEITEM_SQL, ORDERS_SQL, Twin, customer_real, embedding_points,
                                 embedding_sql, embedding_twin, lineitem_twin, orders_twin, supplier_synth, table)
 from .q_scores import NUM, NUM_LONG
 from .registry import register
@@ -113,24 +113,61 @@ def q_d10(spark, sf_dir):
                                    "o_orderpriority": ("const", "1-URGENT")})
 
 
-def _proj(spark, sf_dir):
-    t = orders_twin(spark, sf_dir)
-    feats = pj.features(t)
-    return feats, pj.fit_projection(feats)
+def _proj(spark, sf_dir, twin=None):
+    t = twin or orders_twin(spark, sf_dir)
+    rows, enc = pj.features(t)
+    return rows, pj.fit_projection(rows, enc)
 
 
 @register("e1_projection_fit_real", note="component signs are arbitrary: rows-only check")
 def q_e1(spark, sf_dir):
-    feats, model = _proj(spark, sf_dir)
-    return pj.transform(model, feats)
+    rows, model = _proj(spark, sf_dir)
+    return pj.transform(model, rows)
+
+
+def pca_sql() -> str:
+    """Principal axes of the category indicators by squaring the covariance: its 2^30th
+    power is the outer product of the first axis; the second likewise after deflation."""
+    cols = {"o_orderpriority": ("2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW"), "o_orderstatus": ("O", "P")}
+    x = [f"CAST({c} = '{v}' AS INT)::DOUBLE" for c, vs in cols.items() for v in vs]
+    d = len(x)
+    cov = "[" + ", ".join("[" + ", ".join(f"covar_samp(x[{i}], x[{j}])" for j in range(1, d + 1)) + "]" for i in range(1, d + 1)) + "]"
+    # m x m / trace, with the list of columns equal to the list of rows (symmetric)
+    square = ("list_transform(m, lambda r: list_transform(m, lambda c: list_dot_product(r, c) / "
+              "list_sum(list_transform(m, lambda z: list_dot_product(z, z)))))")
+
+    def axis(name: str, start: str) -> str:
+        # the column of largest diagonal entry, normalised
+        return (f"{name}p AS (SELECT 0 AS i, m FROM {start} UNION ALL SELECT i + 1, {square} FROM {name}p WHERE i < 30), "
+                f"{name} AS (SELECT list_transform(v, lambda e: e / sqrt(list_dot_product(v, v))) AS v FROM (SELECT "
+                f"m[list_position(list_transform(range(1, {d + 1}), lambda k: m[k][k]), list_max(list_transform(range(1, {d + 1}), lambda k: m[k][k])))] AS v "
+                f"FROM {name}p WHERE i = 30) _{name})")
+    deflated = (f"deflated AS (SELECT list_transform(range(1, {d + 1}), lambda i: list_transform(range(1, {d + 1}), lambda j: "
+                f"m[i][j] - v[i] * v[j] * l)) AS m FROM (SELECT m, v, list_dot_product(v, list_transform(m, lambda r: list_dot_product(r, v))) AS l "
+                f"FROM cov, first_axis) _f)")
+    means = "[" + ", ".join(f"avg(x[{i}])" for i in range(1, d + 1)) + "]"
+    return (f"WITH RECURSIVE rows AS (SELECT src, row_id, [{', '.join(x)}] AS x FROM ({ORDERS_SQL}) _o), "
+            f"cov AS (SELECT {cov} AS m FROM rows WHERE src = 'real'), mu AS (SELECT {means} AS mu FROM rows WHERE src = 'real'), "
+            f"{axis('first_axis', 'cov')}, {deflated}, {axis('second_axis', 'deflated')} "
+            f"SELECT src, row_id, pow(list_dot_product(x, a.v) - list_dot_product(mu, a.v), 2) AS x2, "
+            f"pow(list_dot_product(x, b.v) - list_dot_product(mu, b.v), 2) AS y2 FROM rows, mu, first_axis a, second_axis b")
+
+
+@register("e1b_projection_of_categories", sql=pca_sql, dbl=("x2", "y2"), note="squared coordinates, which have no sign")
+def q_e1b(spark, sf_dir):
+    t = orders_twin(spark, sf_dir)
+    rows, model = _proj(spark, sf_dir, Twin(t.df, [], t.categorical))
+    return pj.transform(model, rows).select("src", "row_id", F.pow("x", 2).alias("x2"), F.pow("y", 2).alias("y2"))
 
 
 @register("e3_reuse_saved_model", note="save, load, transform: rows-only check")
 def q_e3(spark, sf_dir):
-    feats, model = _proj(spark, sf_dir)
+    rows, model = _proj(spark, sf_dir)
     path = fl.scratch_path(spark, "projection-model")
     pj.save(model, path)
-    return pj.transform(pj.load(path), feats)
+    saved = pj.load(spark, path)
+    from ..operators.encode import encode_one_hot
+    return pj.transform(saved, encode_one_hot(orders_twin(spark, sf_dir).df, saved.encoder))
 
 
 @register("e5_labelled_points", sql=(
@@ -144,7 +181,7 @@ def q_e5(spark, sf_dir):
     "SELECT count_if(src = 'real') AS n_real, count_if(src <> 'real') AS n_synthetic, 7 AS n_features FROM orders_sides"
     .replace("orders_sides", "(SELECT CASE WHEN o_orderkey % 2 = 0 THEN 'real' ELSE 'synthetic' END AS src FROM orders) _o")))
 def q_e6(spark, sf_dir):
-    return pj.metadata(pj.features(orders_twin(spark, sf_dir)))
+    return pj.metadata(pj.features(orders_twin(spark, sf_dir))[0])
 
 
 # ---------------------------------------------------------- sinks, sources

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..operators import encode as en
 from ..operators import sample as sm
 from ..operators import schema as sc
-from ..sources.testdata import (CUSTOMER_SQL, ORDERS_SQL, SUPPLIER_SQL, customer_real, embedding_sql,
+from ..sources.testdata import (CUSTOMER_SQL, ORDERS_SQL, SUPPLIER_SQL, Twin, table, customer_real, embedding_sql,
                                 embedding_twin, orders_twin, supplier_synth, table)
 from .registry import register
 
@@ -159,12 +159,35 @@ def _onehot_sql() -> str:
     "o_orderpriority_1", "o_orderpriority_2", "o_orderpriority_3", "o_orderpriority_4",
     "o_orderstatus_1", "o_orderstatus_2", "o_totalprice"))
 def q_p10(spark, sf_dir):
-    enc, _ = en.one_hot_drop_first(orders_twin(spark, sf_dir))
-    out = enc.select("src", "row_id", "features")
-    cols = [F.col("features")[i].alias(f"o_orderpriority_{i + 1}") for i in range(4)] + \
-           [F.col("features")[4 + i].alias(f"o_orderstatus_{i + 1}") for i in range(2)] + \
-           [F.col("features")[6].cast("double").alias("o_totalprice")]
-    return out.select("src", "row_id", *cols)
+    t = orders_twin(spark, sf_dir)
+    rows = en.encode_one_hot(t.df, en.fit_one_hot(t))
+    return rows.select("src", "row_id", *[en.value_at(i).alias(f"o_orderpriority_{i + 1}") for i in range(4)],
+                       *[en.value_at(4 + i).alias(f"o_orderstatus_{i + 1}") for i in range(2)],
+                       en.value_at(6).cast("double").alias("o_totalprice"))
+
+
+CUST_TWIN_SQL = ("SELECT CASE WHEN c_custkey % 3 > 0 THEN 'real' ELSE 'synthetic' END AS src, c_custkey AS row_id, "
+                 "c_name, CAST(c_custkey // 5 AS VARCHAR) AS household, c_mktsegment FROM customer")
+
+
+def _codes_sql() -> str:
+    names = ("c_name", "household", "c_mktsegment")
+    lv = " UNION ALL ".join(f"SELECT {p} AS position, {c} AS value FROM ({CUST_TWIN_SQL}) _t WHERE src = 'real'" for p, c in enumerate(names))
+    lv = (f"SELECT position, value, row_number() OVER (ORDER BY position, value) - 1 AS index FROM (SELECT DISTINCT position, value, "
+          f"min(value) OVER (PARTITION BY position) AS _first FROM ({lv}) _l) _d WHERE value <> _first")
+    rows = " UNION ALL ".join(f"SELECT src, row_id, {p} AS position, {c} AS value FROM ({CUST_TWIN_SQL}) _t" for p, c in enumerate(names))
+    return (f"SELECT src, row_id, CAST(index AS INT) AS index, CAST((SELECT count(*) FROM ({lv}) _n) AS INT) AS size "
+            f"FROM ({rows}) r JOIN ({lv}) l USING (position, value)")
+
+
+@register("p10b_sparse_many_levels", sql=_codes_sql)
+def q_p10b(spark, sf_dir):
+    """P10 on columns with as many levels as rows: the dictionary is a joined table."""
+    c = table(spark, sf_dir, "customer")
+    df = c.select(F.when(F.col("c_custkey") % 3 > 0, "real").otherwise("synthetic").alias("src"), F.col("c_custkey").alias("row_id"),
+                  "c_name", F.expr("cast(c_custkey div 5 as string)").alias("household"), "c_mktsegment")
+    rows = en.encode_one_hot(df, en.fit_one_hot(Twin(df, [], ["c_name", "household", "c_mktsegment"])))
+    return rows.select("src", "row_id", F.explode("indices").alias("index"), "size")
 
 
 @register("p20_categorical_coercion", sql=(

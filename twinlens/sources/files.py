@@ -127,6 +127,22 @@ def anomaly_report_lines(cells: DataFrame, flags: DataFrame, alpha: float = 0.05
     return head.unionByName(body).unionByName(blank).unionByName(pts)
 
 
+def write_encoded_csv(rows: DataFrame, path: str) -> str:
+    """K9 sink: sparse encoded rows as dense CSV lines of all features, written in
+    parallel below ``path``/rows, with the header line in ``path``/header."""
+    from ..operators.encode import dense_line
+    rows.select(dense_line().alias("line")).write.mode("overwrite").text(f"{path}/rows")
+    names = F.concat_ws(",", F.transform(F.sequence(F.lit(0), F.col("size") - 1), lambda i: F.concat(F.lit("f"), i)))
+    rows.select("size").limit(1).select(names.alias("line")).coalesce(1).write.mode("overwrite").text(f"{path}/header")
+    return path
+
+
+def read_encoded_csv(spark: SparkSession, path: str) -> DataFrame:
+    header = spark.read.text(f"{path}/header").first()
+    names = header["value"].split(",") if header else []
+    return spark.read.schema(", ".join(f"`{n}` string" for n in names)).csv(f"{path}/rows")
+
+
 def write_lines(lines: DataFrame, path: str) -> str:
     """K8 sink: one ordered text file (the report is at most cells + a few
     lines, so a single output file is bounded)."""
