@@ -71,3 +71,10 @@ def runs(batch, column: int = 0, limit: int = 2 << 20):
         until = max(until, at + 1)
         yield batch.slice(at, until - at)
         at = until
+
+
+def text_runs(batch, column: int):
+    """The texts of an Arrow batch as bytes, a list of about 2 MB at a time."""
+    import pyarrow as pa
+    for part in runs(batch, column):
+        yield part.column(column).cast(pa.binary()).to_pylist()

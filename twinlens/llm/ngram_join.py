@@ -9,19 +9,25 @@ similarity of their sets reaches 3/4.  Equal sets are one set from the start.
    results).  Two sets that link share one of their first n - ceil(3n/4) + 1
    tokens in any common order, so this prefix is all the matrix needs.
 2. Groups: sets with the same least hash meet their first document (the pivot);
-   pairs that verify as links make the groups, the rest are groups of one.
+   pairs that verify as links make the groups, the rest are groups of one.  This
+   is repeated with other hash orders and pivots, each group sending one set per
+   pivot, while a round still joins a twentieth of the groups it tries, so a family
+   of near copies is few groups, not many, before groups meet.
 3. Matrix: (token, group) for the prefix tokens of every member.  Where groups
    share tokens, a witness of each is compared with the token's first witness,
    which joins most groups that belong together.
 4. Bound: the tokens a query's prefix shares with a group's union must reach
    what a member of a fitting size would need.  Only qualifying groups are
-   opened, and their fitting members compared with the query exactly.  Of two
-   groups the smaller one's sets are the queries.
+   opened, and their fitting members compared with the query exactly: about eight
+   of a group first, then the next 56, and so on, while the query's group and the
+   opened one are not yet joined.  Of two groups the smaller one's sets are the
+   queries.
 
 Links found are exact and none is lost that joins two components: steps 2 and 3
 only merge verified links, and step 4 tries every member of every other group
-that the bound leaves.  Work is proportional to tokens shared across groups,
-not to pairs within a group of copies.
+that the bound leaves, unless other links have joined the two already.  Work is
+proportional to tokens shared across groups, not to pairs within a group of copies;
+only sets that look like a large group's and link with none of it meet all of it.
 
 Defined results: a text of fewer than ``K`` words is one shingle; a null text or
 one without words is empty and links with nothing; a null id takes part in
@@ -36,7 +42,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import saved, small
+from .common import runs, saved, small, text_runs
 from .components import connected_components
 from .words import chunks, mix, shingle_sets, words_of
 
@@ -45,6 +51,8 @@ COMMON = 16
 MAX_COMMON = 1 << 20
 RUN_TOKENS = 1 << 22
 MIN_SKETCH, SKETCH = 3, 8
+PIVOT_ROUNDS = 8
+OPENED = 8              # members of a group that are tried first; eight times as many in each round
 
 
 def _rest(n: Column) -> Column:
@@ -91,7 +99,7 @@ def common_tokens(docs: DataFrame, k: int = K) -> np.ndarray:
     def rows(batches):
         seen, runs, size = set(), [], 0
         for batch in batches:
-            for run in chunks(_text_bytes(batch, 0), lambda t: len(t or b"")):
+            for run in text_runs(batch, 0):
                 for x in shingle_sets(words_of(run), k):
                     key = _set_key(x) if len(x) else None
                     if key is None or key in seen:
@@ -134,8 +142,8 @@ def shingled(docs: DataFrame, common: np.ndarray, k: int = K) -> DataFrame:
     def rows(batches):
         seen = set()
         for batch in batches:
-            texts, at = _text_bytes(batch, 2), 0
-            for run in chunks(texts, lambda t: len(t or b"")):
+            at = 0
+            for run in text_runs(batch, 2):
                 sets = shingle_sets(words_of(run), k)
                 keys, sketches, prefixes = [], [], []
                 for x in sets:
@@ -166,7 +174,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int = K) -> DataFrame:
             .select("a", "b", "key_a", "text_a", "key_b", "text_b"))
 
     def linked(batches):
-        for batch in batches:
+        for batch in (part for whole in batches for part in runs(whole, 3)):
             ka, kb = batch.column(2).to_pylist(), batch.column(4).to_pylist()
             rows = list(zip(range(len(ka)), ka, _text_bytes(batch, 3), kb, _text_bytes(batch, 5), strict=True))
             good = []
@@ -193,6 +201,20 @@ def _with_groups(rows: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(small(labels), "s", "left").withColumn("g", F.coalesce("g", "s"))
 
 
+def _pivot_pairs(least: DataFrame, labels: DataFrame, seed: int) -> DataFrame:
+    """Pairs (a, b, key_a, key_b): one set of each group in a bucket and the bucket's
+    pivot, if of another group; buckets go by the least hash of a sketch under the
+    seed's order."""
+    seeded = F.array_min(F.transform("sketch", lambda x: F.xxhash64(F.lit(seed), x)))
+    rows = _with_groups(least.select("s", "n", "sketch", "text_key", seeded.alias("h")), labels)
+    ticket = F.struct(F.xxhash64(F.lit(-seed), "s").alias("r"), "s", "n", "sketch", "text_key", "g")
+    one = rows.groupBy("h", "g").agg(F.min(ticket).alias("q"))
+    pivots = one.groupBy("h").agg(F.min("q").alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    near = one.join(pivots, "h").where((F.col("q.g") != F.col("p.g")) & _fits(F.col("q.n"), F.col("p.n")) & (
+        F.size(F.array_intersect("q.sketch", "p.sketch")) >= F.least(F.lit(MIN_SKETCH), F.size("q.sketch"), F.size("p.sketch"))))
+    return near.select(F.col("q.s").alias("a"), F.col("p.s").alias("b"), F.col("q.text_key").alias("key_a"), F.col("p.text_key").alias("key_b"))
+
+
 def _shared(rows: DataFrame) -> DataFrame:
     """Rows (token, s) whose token occurs in two sets or more.  One exchange on the
     token, of nothing but the two, serves both the count and the rows."""
@@ -232,6 +254,16 @@ def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K)
                                F.col("p.text_key").alias("key_b")), docs, k)
     labels = _labels(edges)
 
+    for seed in range(1, PIVOT_ROUNDS + 1):
+        tried = saved(_pivot_pairs(least, labels, seed), "pivot-pairs")
+        found = verify(tried, docs, k)
+        n_tried, n_found = tried.count(), found.count()
+        if n_found:
+            edges = saved(edges.union(found), "pivot-edges")
+            labels = _labels(edges)
+        if 20 * n_found < n_tried or not n_tried:
+            break
+
     # token-group matrix; every group's witness meets the token's first witness
     shared = saved(_shared(new.select("s", F.explode("prefix").alias("token"))).distinct(), "shared")
     matrix = saved(_across(shared, sets, labels).groupBy("token", "g").agg(F.min("s").alias("s")), "matrix")
@@ -259,13 +291,28 @@ def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K)
                                                 F.max("n_hi").alias("n_hi")))
     found = saved(found.where(F.col("common") >= _least_needed(F.col("n"), lo, hi)), "qualified")
     groups = saved(found.select("g").distinct(), "opened")
-    members = _with_groups(sets.select("s", "n"), labels).join(groups, "g", "left_semi").select(
-        "g", F.col("s").alias("b"), F.col("n").alias("m"))
-    opened = (found.join(members, "g").where(_fits(F.col("n"), F.col("m")))
-              .where(F.col("common") >= _needed(F.col("n"), F.col("m")))
-              .select(F.least("s", "b").alias("a"), F.greatest("s", "b").alias("b")).distinct())
-    last = verify(_pairs_with_keys(opened, sets), docs, k)
-    return rows.select("doc_id", "n", "s"), saved(edges.union(last), "edges-all")
+    place = F.floor(F.pmod(F.xxhash64(F.lit(-1), "s"), F.lit(1 << 20)) * F.coalesce("size", F.lit(1)) / (1 << 20))
+    members = _with_groups(sets.select("s", "n"), labels).join(groups, "g", "left_semi").join(size, "g", "left").select(
+        "g", F.col("s").alias("b"), F.col("n").alias("m"), place.alias("place"))
+    members = saved(members, "members")
+    largest = members.agg(F.max("place")).first()[0]
+    first, until = 0, OPENED
+    while largest is not None:
+        opened = (found.join(members.where((F.col("place") >= first) & (F.col("place") < until)), "g")
+                  .where(_fits(F.col("n"), F.col("m"))).where(F.col("common") >= _needed(F.col("n"), F.col("m")))
+                  .select(F.least("s", "b").alias("a"), F.greatest("s", "b").alias("b")).distinct())
+        now = verify(_pairs_with_keys(opened, sets), docs, k)
+        if until > largest:
+            edges = edges.union(now)
+            break
+        if now.limit(1).count():
+            edges = saved(edges.union(now), "opened-edges")
+            labels = _labels(edges)
+            of_group = small(labels).select(F.col("s").alias("g"), F.col("g").alias("g_now"))
+            apart = _with_groups(found.drop("own").withColumnRenamed("g", "to"), labels).withColumnsRenamed({"g": "own", "to": "g"})
+            found = saved(apart.join(of_group, "g", "left").where(F.col("own") != F.coalesce("g_now", "g")).drop("g_now"), "apart")
+        first, until = until, until * OPENED
+    return rows.select("doc_id", "n", "s"), saved(edges, "edges-all")
 
 
 def _pairs_with_keys(pairs: DataFrame, sets: DataFrame) -> DataFrame:

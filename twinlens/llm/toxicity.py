@@ -36,8 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import saved
-from .words import _BYTE, _STEP, Words, chunks, mix, powers, ranges, words_of
+from .common import saved, text_runs
+from .words import _BYTE, _STEP, Words, mix, powers, ranges, words_of
 
 FOLDS, HELD_OUT = 3, 1
 PREFIXES = (4, 5, 6)
@@ -189,15 +189,6 @@ def _labelled(docs: DataFrame, labels: DataFrame, limit: int) -> DataFrame:
     return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")
 
 
-def _bytes(batch, k):
-    import pyarrow as pa
-    return batch.column(k).cast(pa.binary()).to_pylist()
-
-
-def _size(t):
-    return len(t or b"")
-
-
 def _counted(rows: DataFrame, terms: np.ndarray) -> np.ndarray:
     """Documents per term over all rows: one row a task and term leaves the tasks."""
     import pyarrow as pa
@@ -206,7 +197,7 @@ def _counted(rows: DataFrame, terms: np.ndarray) -> np.ndarray:
     def counted(batches):
         total = np.zeros(len(known.value), dtype=np.int64)
         for batch in batches:
-            for run in chunks(_bytes(batch, 0), _size):
+            for run in text_runs(batch, 0):
                 total += np.bincount(term_counts(run, known.value)[1], minlength=len(total))
         used = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], ["term", "n"])
@@ -222,7 +213,7 @@ def _candidates(toxic: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 
     def counted(batches):
         for batch in batches:
-            for run in chunks(_bytes(batch, 0), _size):
+            for run in text_runs(batch, 0):
                 text, h = term_hashes(words_of(run))
                 order = np.lexsort((h, text))
                 text, h = text[order], h[order]
@@ -269,7 +260,7 @@ def fit(docs: DataFrame, labels: DataFrame, doc_id: str = "doc_id", text: str =
     def vectors(batches):
         for batch in batches:
             ids, toxic, at = batch.column(0), batch.column(2), 0
-            for run in chunks(_bytes(batch, 1), _size):
+            for run in text_runs(batch, 1):
                 doc, term, uses = term_counts(run, known.value)
                 ends = np.searchsorted(doc, np.arange(len(run) + 1)).astype(np.int32)
                 lists = [pa.ListArray.from_arrays(pa.array(ends), pa.array(x.astype(np.int32))) for x in (term, uses)]
@@ -308,8 +299,8 @@ def score(df: DataFrame, index: Index, text: str = "text", threshold: float = TH
     def scored(batches):
         index = known.value
         for batch in batches:
-            texts, at, columns = _bytes(batch, batch.num_columns - 1), 0, batch.columns[:-1]
-            for run in chunks(texts, _size):
+            at, columns = 0, batch.columns[:-1]
+            for run in text_runs(batch, batch.num_columns - 1):
                 doc, term, uses = term_counts(run, index.terms)
                 ends = np.searchsorted(doc, np.arange(len(run) + 1))
                 p, proof = np.full(len(run), index.without), [[] for _ in run]
@@ -338,7 +329,7 @@ def drop_toxic(df: DataFrame, index: Index, text: str = "text", threshold: float
         index = known.value
         for batch in batches:
             at = 0
-            for run in chunks(_bytes(batch, place), _size):
+            for run in text_runs(batch, place):
                 doc, term, uses = term_counts(run, index.terms)
                 ends = np.searchsorted(doc, np.arange(len(run) + 1))
                 p = np.full(len(run), index.without)
