@@ -110,25 +110,3 @@ def test_repeated_rows_leave_one(docs_of):
     d = docs_of([(1, "a b c d e f")] * 3 + [(None, "a b c d e f"), (None, None), (2, "")])
     kept = sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in ngram_join.drop_near_duplicates(d).collect())
     assert kept == [-1, 1, 2]
-
-
-def test_pairs_of_a_family_grow_with_its_texts(docs_of, monkeypatch):
-    """Near copies of which a fifth of all pairs link: what is compared is far from
-    all pairs, and four times the texts take less than twelve times the pairs."""
-    compared, verify = [], ngram_join.verify
-
-    def counting(pairs, docs, k=5):
-        compared.append(pairs.select("a", "b").distinct().count())
-        return verify(pairs, docs, k)
-    monkeypatch.setattr(ngram_join, "verify", counting)
-    totals = {}
-    for copies in (150, 600):
-        rng = random.Random(1)
-        base = [f"w{rng.randint(0, 5000)}" for _ in range(150)]
-        rows = [(i, " ".join(x if rng.random() > 1 / 60 else f"x{rng.randint(0, 10 ** 6)}" for x in base)) for i in range(copies)]
-        compared.clear()
-        got = result(docs_of(rows))
-        totals[copies] = sum(compared)
-        if copies == 150:
-            assert got == brute(rows)
-    assert totals[150] < 150 * 149 / 4 and totals[600] < min(12 * totals[150], 600 * 599 / 16)
