@@ -46,6 +46,16 @@ def compare_pairs(pairs: DataFrame, threshold: float = 0.3) -> DataFrame:
     return pairs.select("*", d.alias("abs_diff"), (d > threshold).alias("significant"))
 
 
+def first_differences(pairs: DataFrame, cols: list[str], threshold: float = 0.3, limit: int = 10) -> DataFrame:
+    """T6 list: the first ``limit`` pairs, in catalogue order, whose coefficients
+    differ by more than the threshold, with both values. A pair undefined on a side
+    differs from nothing."""
+    d = compare_pairs(pairs, threshold).where(F.col("significant") & ~F.isnan("abs_diff"))
+    place = [F.array_position(F.lit(list(cols)), F.col(c)) for c in ("col_i", "col_j")]
+    first = d.orderBy(*place).limit(limit)
+    return first.select("col_i", "col_j", "real_r", "synthetic_r", F.col("abs_diff").alias("difference"))
+
+
 def compare_summary(pairs: DataFrame, threshold: float = 0.3) -> DataFrame:
     """T6 summary: comparisons, significant differences and their percent."""
     c = compare_pairs(pairs, threshold)
