@@ -56,14 +56,17 @@ def side_value_counts(long: DataFrame) -> DataFrame:
         F.count_if(is_synth()).alias("n_synth"))
 
 
-RANGES = 1024   # ranges of a prefix sum; a power of two
+def _ranges(df: DataFrame) -> int:
+    """Ranges of a prefix sum: the session's shuffle width (a range is one task's
+    work), as a power of two."""
+    return 1 << max(3, (int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) - 1).bit_length())
 
 
-def _with_range(df: DataFrame, key: Column, borders: Column) -> DataFrame:
+def _with_range(df: DataFrame, key: Column, borders: Column, ranges: int) -> DataFrame:
     """``df`` with ``_range``: how many of the sorted ``borders`` are not above
     ``key``, by a binary search of one projection a step."""
     out = df.withColumns({"_k": key, "_b": borders, "_range": F.lit(0)})
-    for step in (RANGES >> i for i in range(1, RANGES.bit_length())):
+    for step in (ranges >> i for i in range(1, ranges.bit_length())):
         beyond = F.get("_b", F.col("_range") + (step - 1)) <= F.col("_k")      # null past the end
         out = out.withColumn("_range", F.when(beyond, F.col("_range") + step).otherwise(F.col("_range")))
     return out.drop("_k", "_b")
@@ -76,17 +79,18 @@ def running_totals(df: DataFrame, part: str | list[str], order: str, sums: list[
     Two levels, in one lazy plan: the rows are cut into ranges of (part, order) - any
     orderable key: number, string or struct -, per-range totals give each range's
     offset, and a window per (part, range) adds the running sum inside it, so no task
-    sorts a group. The borders are the keys of least hash (``RANGES - 1`` of them, a
+    sorts a group. The borders are the keys of least hash (one less than ranges, a
     scalar subquery): a fair sample that depends on the set of keys alone, so every
     read of the plan, also a repeated one after a lost executor, cuts alike. ``df``
     should be aggregated to one row per key.
     """
     parts = [part] if isinstance(part, str) else list(part)
+    ranges = _ranges(df)
     key = F.struct(*parts, order)
     # the sums break ties only to keep this read of df equal to the other two, so it is shared
-    least = df.select(key.alias("k"), *sums).orderBy(F.xxhash64("k"), "k", *sums).limit(RANGES - 1)
+    least = df.select(key.alias("k"), *sums).orderBy(F.xxhash64("k"), "k", *sums).limit(ranges - 1)
     borders = least.agg(F.array_sort(F.collect_list("k")).alias("b")).scalar()
-    ranged = _with_range(df, key, borders)
+    ranged = _with_range(df, key, borders, ranges)
     per_range = ranged.groupBy(*parts, "_range").agg(*[F.sum(c).alias(f"_b_{c}") for c in sums])
     before = Window.partitionBy(*parts).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     whole = Window.partitionBy(*parts)
