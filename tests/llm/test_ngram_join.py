@@ -110,3 +110,41 @@ def test_repeated_rows_leave_one(docs_of):
     d = docs_of([(1, "a b c d e f")] * 3 + [(None, "a b c d e f"), (None, None), (2, "")])
     kept = sorted((r["doc_id"] if r["doc_id"] is not None else -1) for r in ngram_join.drop_near_duplicates(d).collect())
     assert kept == [-1, 1, 2]
+
+
+def _family(rng, word, copies, most, n=120):
+    """Near copies of one text (not among them) with up to ``most`` changed words."""
+    base = [word() for _ in range(n)]
+    texts = []
+    for _ in range(copies):
+        w = list(base)
+        for _ in range(rng.randrange(1, most + 1)):
+            w[rng.randrange(n)] = word()
+        texts.append(" ".join(w))
+    return [" ".join(base), *texts]
+
+
+def test_large_families_match_brute_force_in_few_comparisons(docs_of, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts = _family(rng, word, 300, 7) + _family(rng, word, 150, 6)[1:]
+    rows = [(i, t) for i, t in enumerate(rng.sample(texts, len(texts)))]
+    counts, verify = [], ngram_join.verify
+
+    def counted(pairs, docs, k=5):
+        counts.append(pairs.select("a", "b").distinct().count())
+        return verify(pairs, docs, k)
+    monkeypatch.setattr(ngram_join, "verify", counted)
+    assert result(docs_of(rows)) == brute(rows)
+    assert sum(counts) < 10 * len(rows)
+
+
+def test_narrowed_groups_match_brute_force(docs_of, monkeypatch):
+    monkeypatch.setattr(ngram_join, "LARGE", 2)
+    monkeypatch.setattr(ngram_join, "CORE", 2)
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(4))
+    texts = [t for _ in range(5) for t in _family(rng, word, 24, 6, 50)[1:]]
+    texts += [" ".join(t.split()[k:]) for t in texts[::5] for k in (6, 12)]      # other sizes
+    rows = list(enumerate(rng.sample(texts, len(texts))))
+    assert result(docs_of(rows)) == brute(rows)

@@ -8,8 +8,10 @@ similarity of their sets reaches 3/4.  Equal sets are one set from the start.
    more in all (counted over all texts; the order is a matter of speed, not of
    results).  Two sets that link share one of their first n - ceil(3n/4) + 1
    tokens in any common order, so this prefix is all the matrix needs.
-2. Groups: sets with the same least hash meet their first document (the pivot);
-   pairs that verify as links make the groups, the rest are groups of one.
+2. Groups: sets with the same least hash meet their pivot, the one with most common
+   tokens beyond its own ones (the first document of equals): a family's middle links
+   with most of it.  Pairs that verify as links make the groups, the rest are groups
+   of one.
 3. Matrix: (token, group) for the prefix tokens of every member.  Where groups
    share tokens, a witness of each is compared with the token's first witness,
    which joins most groups that belong together.
@@ -17,10 +19,17 @@ similarity of their sets reaches 3/4.  Equal sets are one set from the start.
    what a member of a fitting size would need.  Only qualifying groups are
    opened, and their fitting members compared with the query exactly.  Of two
    groups the smaller one's sets are the queries.
+5. Large groups (``LARGE`` sets or more) are narrowed before they are opened, over all
+   tokens of their members and queries.  A query that links with the group's centre
+   (its set of most verified links) belongs to it and is done.  The group's core are
+   the tokens that more than ``CORE`` members hold; query and member share at most the
+   smaller one's core tokens and the tokens outside the core that both hold, of which
+   each is with few members.  Only pairs whose sum reaches the overlap they need are
+   compared.
 
 Links found are exact and none is lost that joins two components: steps 2 and 3
-only merge verified links, and step 4 tries every member of every other group
-that the bound leaves.  Work is proportional to tokens shared across groups,
+only merge verified links, and steps 4 and 5 try every member of every other
+group that the bounds leave.  Work is proportional to tokens shared across groups,
 not to pairs within a group of copies.
 
 Defined results: a text of fewer than ``K`` words is one shingle; a null text or
@@ -36,7 +45,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import runs, saved, small, text_runs
+from .common import lanes, runs, saved, small, text_runs
 from .components import connected_components
 from .words import chunks, mix, shingle_sets, words_of
 
@@ -45,6 +54,7 @@ COMMON = 16
 MAX_COMMON = 1 << 20
 RUN_TOKENS = 1 << 22
 MIN_SKETCH, SKETCH = 3, 8
+LARGE, CORE = 64, 16
 
 
 def _rest(n: Column) -> Column:
@@ -119,17 +129,19 @@ def common_tokens(docs: DataFrame, k: int = K) -> np.ndarray:
 
 
 def shingled(docs: DataFrame, common: np.ndarray, k: int = K) -> DataFrame:
-    """doc_id, text key, n, set key ``s``; once a task and set, its least hashes and prefix."""
+    """doc_id, text key, n, set key ``s``; once a task and set, its least hashes, prefix
+    and number of common tokens."""
     import pyarrow as pa
     last = docs.sparkSession.sparkContext.broadcast(common)
 
     def prefix(tokens):
+        n, n_common = len(tokens), 0
         if len(last.value):
             place = np.minimum(np.searchsorted(last.value, tokens), len(last.value) - 1)
             late = last.value[place] == tokens
+            n_common = int(late.sum())
             tokens = np.concatenate((tokens[~late], tokens[late]))
-        n = len(tokens)
-        return tokens[:n - ((3 * n + 3) // 4 - 1)]
+        return tokens[:n - ((3 * n + 3) // 4 - 1)].view(np.int64), n_common
 
     def rows(batches):
         seen = set()
@@ -137,21 +149,47 @@ def shingled(docs: DataFrame, common: np.ndarray, k: int = K) -> DataFrame:
             at = 0
             for run in text_runs(batch, 2):
                 sets = shingle_sets(words_of(run), k)
-                keys, sketches, prefixes = [], [], []
+                keys, sketches, prefixes, commons = [], [], [], []
                 for x in sets:
                     key = _set_key(x) if len(x) else None
                     new = key is not None and key not in seen
                     seen.add(key)
                     keys.append(None if key is None else key - (1 << 64) * (key >> 63))
                     sketches.append(x[:SKETCH].view(np.int64) if new else None)
-                    prefixes.append(prefix(x).view(np.int64) if new else None)
+                    first, n_common = prefix(x) if new else (None, None)
+                    prefixes.append(first)
+                    commons.append(n_common)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(at, len(run)), batch.column(1).slice(at, len(run)),
                      pa.array([len(x) for x in sets], pa.int64()), pa.array(keys, pa.int64()),
-                     pa.array(sketches, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64()))],
-                    ["doc_id", "text_key", "n", "s", "sketch", "prefix"])
+                     pa.array(sketches, pa.list_(pa.int64())), pa.array(prefixes, pa.list_(pa.int64())),
+                     pa.array(commons, pa.int64())],
+                    ["doc_id", "text_key", "n", "s", "sketch", "prefix", "n_common"])
                 at += len(run)
-    return docs.mapInArrow(rows, "doc_id long, text_key long, n long, s long, sketch array<long>, prefix array<long>")
+    return docs.mapInArrow(rows, "doc_id long, text_key long, n long, s long, sketch array<long>, prefix array<long>, "
+                           "n_common long")
+
+
+def _texts(keys: DataFrame, docs: DataFrame) -> DataFrame:
+    """One text (text_key, text) of each of the distinct ``keys``."""
+    return saved(docs.select("text_key", "text").join(small(saved(keys, "text-keys")), "text_key", "left_semi")
+                 .groupBy("text_key").agg(F.first("text").alias("text")), "texts")
+
+
+def tokens_of(sets: DataFrame, docs: DataFrame, k: int = K) -> DataFrame:
+    """Rows (s, tokens): all tokens of each of the ``sets`` (s, text_key)."""
+    import pyarrow as pa
+
+    def rows(batches):
+        for batch in batches:
+            at = 0
+            for run in text_runs(batch, 1):
+                found = shingle_sets(words_of(run), k)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(run)), pa.array(
+                    [x.view(np.int64) for x in found], pa.list_(pa.int64()))], ["s", "tokens"])
+                at += len(run)
+    texts = sets.join(_texts(sets.select("text_key").distinct(), docs), "text_key").select("s", "text")
+    return saved(texts.mapInArrow(rows, "s long, tokens array<long>"), "tokens")
 
 
 def verify(pairs: DataFrame, docs: DataFrame, k: int = K) -> DataFrame:
@@ -159,8 +197,7 @@ def verify(pairs: DataFrame, docs: DataFrame, k: int = K) -> DataFrame:
     import pyarrow as pa
     pairs = saved(pairs.select("a", "b", "key_a", "key_b").distinct(), "pairs")
     keys = pairs.select(F.col("key_a").alias("text_key")).union(pairs.select("key_b")).distinct()
-    texts = saved(docs.select("text_key", "text").join(small(saved(keys, "text-keys")), "text_key", "left_semi")
-                  .groupBy("text_key").agg(F.first("text").alias("text")), "texts")
+    texts = _texts(keys, docs)
     both = (pairs.join(texts.select(F.col("text_key").alias("key_a"), F.col("text").alias("text_a")), "key_a")
             .join(texts.select(F.col("text_key").alias("key_b"), F.col("text").alias("text_b")), "key_b")
             .select("a", "b", "key_a", "text_a", "key_b", "text_b"))
@@ -211,6 +248,55 @@ def _across(rows: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
     return rows.join(tokens.hint("shuffle_hash"), "token")
 
 
+def _few(df: DataFrame, label: str) -> DataFrame:
+    """A table of groups, sets or their kinds, written as few files."""
+    return saved(df.coalesce(max(1, lanes(df.sparkSession) // 16)), label)
+
+
+def _narrowed(large: DataFrame, sets: DataFrame, labels: DataFrame, edges: DataFrame, docs: DataFrame,
+              k: int = K) -> tuple[DataFrame, DataFrame]:
+    """Of the queries (s, n, g, common) of large groups: (links a, b with a group's centre;
+    pairs s, b of the other queries with members that they may link with)."""
+    groups = small(_few(large.select("g").distinct(), "large"))
+    members = _few(labels.join(groups, "g", "left_semi").join(sets.select("s", "n", "text_key"), "s"), "members")
+    ends = edges.select(F.col("a").alias("s")).union(edges.select("b")).groupBy("s").agg(F.count(F.lit(1)).alias("links"))
+    centre = small(_few(members.join(ends, "s").groupBy("g").agg(F.max(F.struct("links", "s", "n")).alias("p"))
+                        .select("g", F.col("p.s").alias("centre"), F.col("p.n").alias("n_centre")), "centres"))
+    keyed = large.select("s").distinct().join(sets.select("s", "text_key"), "s")
+    tokens = tokens_of(members.select("s", "text_key").union(keyed).distinct(), docs, k)
+
+    # a group's core tokens and those of its centre
+    own = (members.select("g", F.col("s").alias("b"), F.col("n").alias("m"), "s").join(tokens, "s")
+           .select("g", "b", "m", F.explode("tokens").alias("token")))
+    held = (own.join(centre, "g").groupBy("g", "token")
+            .agg((F.count(F.lit(1)) > CORE).alias("core"), F.max(F.col("b") == F.col("centre")).alias("middle")))
+    marks = small(_few(held.where("core OR middle"), "marks"))
+
+    def marked(rows):
+        return rows.join(marks, ["g", "token"], "left").fillna(False, ["core", "middle"])
+    asked = saved(marked(large.join(tokens, "s").select("g", "s", "n", "common", F.explode("tokens").alias("token"))), "asked")
+    query = (asked.groupBy("g", "s", "n", "common").agg(F.count_if("core").alias("core"), F.count_if("middle").alias("middle"))
+             .join(centre, "g"))
+    met = 100 * F.col("middle") >= 75 * (F.col("n") + F.col("n_centre") - F.col("middle"))
+    query = _few(query.withColumn("met", met), "queries")
+    left = query.where(~F.col("met")).select("g", "s", "n", "common", "core")
+    placed = saved(marked(own), "placed")
+    member = _few(placed.groupBy("g", "b", "m").agg(F.count_if("core").alias("core_m")), "member-cores")
+
+    # core tokens alone: by the few kinds (size, core tokens) of members; else by shared tokens outside
+    fits = _fits(F.col("n"), F.col("m")) & (F.col("common") >= _needed(F.col("n"), F.col("m")))
+    overlap, core = F.ceil(F.lit(3) * (F.col("n") + F.col("m")) / 7), F.least("core", "core_m")
+    kinds = small(_few(member.select("g", "m", "core_m").distinct(), "kinds"))
+    inside = left.join(kinds, "g").where(fits & (core >= overlap)).join(member, ["g", "m", "core_m"]).select("s", "b")
+    outside = (asked.where(~F.col("core")).select("g", "s", "token")
+               .join(left.select("g", "s"), ["g", "s"], "left_semi")
+               .join(placed.where(~F.col("core")).select("g", "token", "b"), ["g", "token"])
+               .groupBy("g", "s", "b").agg(F.count(F.lit(1)).alias("more")))
+    outside = (outside.join(left, ["g", "s"]).join(member, ["g", "b"]).where(fits & (core + F.col("more") >= overlap))
+               .select("s", "b"))
+    return query.where("met").select(F.col("s").alias("a"), F.col("centre").alias("b")), inside.union(outside)
+
+
 def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K) -> tuple[DataFrame, DataFrame]:
     """(rows: doc_id, n, s; edges between sets: a, b that span every component)."""
     t = F.col(f"`{text}`").cast("string")
@@ -222,10 +308,11 @@ def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K)
     new = rows.where("prefix IS NOT NULL")
 
     # groups around pivots: sets with the same least hash
-    least = saved(new.select("s", "n", F.get("sketch", F.lit(0)).alias("h"), "sketch")
+    typical = F.greatest(2 * F.col("n_common") - F.col("n"), F.lit(0)).alias("typical")
+    least = saved(new.select("s", "n", F.get("sketch", F.lit(0)).alias("h"), "sketch", typical)
                   .dropDuplicates(["s"]).join(sets.select("s", "text_key", "first_id"), "s"), "least")
-    pivots = least.groupBy("h").agg(F.min(F.struct(F.col("first_id").isNull(), "first_id", "s", "n", "sketch", "text_key"))
-                                    .alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
+    pivots = least.groupBy("h").agg(F.min(F.struct(-F.col("typical"), F.col("first_id").isNull(), "first_id", "s", "n", "sketch",
+                                                   "text_key")).alias("p"), F.count(F.lit(1)).alias("c")).where("c > 1")
     near = least.join(pivots, "h").where((F.col("s") != F.col("p.s")) & _fits(F.col("n"), F.col("p.n")) & (
         F.size(F.array_intersect("sketch", "p.sketch")) >= F.least(F.lit(MIN_SKETCH), F.size("sketch"), F.size("p.sketch"))))
     edges = verify(near.select(F.col("s").alias("a"), F.col("p.s").alias("b"), F.col("text_key").alias("key_a"),
@@ -256,14 +343,22 @@ def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K)
              .where((F.col("own_size") < F.col("g_size")) | ((F.col("own_size") == F.col("g_size")) & (F.col("own") < F.col("g"))))
              .where(lo <= hi)
              .groupBy("s", "n", "own", "g").agg(F.count(F.lit(1)).alias("common"), F.min("n_lo").alias("n_lo"),
-                                                F.max("n_hi").alias("n_hi")))
+                                                F.max("n_hi").alias("n_hi"), F.min("g_size").alias("g_size")))
     found = saved(found.where(F.col("common") >= _least_needed(F.col("n"), lo, hi)), "qualified")
+    large = found.where(F.col("g_size") >= LARGE)
+    narrowed = None
+    if large.limit(1).count():
+        found = found.where(F.col("g_size") < LARGE)
+        met, narrowed = _narrowed(large, sets, labels, edges, docs, k)
+        edges = edges.union(met)
     groups = saved(found.select("g").distinct(), "opened")
     members = _with_groups(sets.select("s", "n"), labels).join(groups, "g", "left_semi").select(
         "g", F.col("s").alias("b"), F.col("n").alias("m"))
     opened = (found.join(members, "g").where(_fits(F.col("n"), F.col("m")))
-              .where(F.col("common") >= _needed(F.col("n"), F.col("m")))
-              .select(F.least("s", "b").alias("a"), F.greatest("s", "b").alias("b")).distinct())
+              .where(F.col("common") >= _needed(F.col("n"), F.col("m"))).select("s", "b"))
+    if narrowed is not None:
+        opened = opened.union(narrowed)
+    opened = opened.select(F.least("s", "b").alias("a"), F.greatest("s", "b").alias("b")).distinct()
     last = verify(_pairs_with_keys(opened, sets), docs, k)
     return rows.select("doc_id", "n", "s"), saved(edges.union(last), "edges-all")
 
