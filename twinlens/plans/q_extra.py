@@ -3,6 +3,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from ..operators import sample as sm
@@ -472,12 +474,17 @@ LI_PAIR_SQL = ("SELECT CASE WHEN l_returnflag = 'R' THEN 'real' ELSE 'synthetic'
 PAIR_COLS = ["l_quantity", "l_linenumber", "l_discount", "l_tax"]
 
 
-def _pair_long(spark, sf_dir):
-    li = table(spark, sf_dir, "lineitem")
-    w = li.select(F.when(F.col("l_returnflag") == "R", "real").otherwise("synthetic").alias("src"),
-                  F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
-                  *[F.col(c).cast("double").alias(c) for c in PAIR_COLS])
-    return w.unpivot(["src", "row_id"], PAIR_COLS, "column_name", "value")
+def _pair_firsts(li, n: int):
+    """(src, row_id, column_name, value): the first ``n`` rows with a value of each side and
+    column. One ``orderBy.limit`` each keeps ``n`` rows a task; a window would sort, and
+    spill, all rows once a column."""
+    wide = li.select(F.when(F.col("l_returnflag") == "R", "real").otherwise("synthetic").alias("src"),
+                     F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey").alias("row_id"),
+                     *[F.col(c).cast("double").alias(c) for c in PAIR_COLS])
+    parts = [wide.where((F.col("src") == src) & F.col(c).isNotNull())
+                 .select("src", "row_id", F.lit(c).alias("column_name"), F.col(c).alias("value"))
+                 .orderBy("row_id", "value").limit(n) for src in ("real", "synthetic") for c in PAIR_COLS]
+    return reduce(lambda x, y: x.unionByName(y), parts)
 
 
 def _p7b_sql(k: int = 7) -> str:
@@ -497,10 +504,7 @@ def q_p7b(spark, sf_dir):
     """>= 90 % integer-like (1e-6), <= 7 distinct, distinct / count <= 0.35,
     count >= 3 over the first 400 rows; P7c: <= 10 distinct whole values is
     categorical, 2 distinct is binary."""
-    from pyspark.sql import Window
-    long = _pair_long(spark, sf_dir).where(F.col("value").isNotNull())
-    w = Window.partitionBy("src", "column_name").orderBy("row_id")
-    top = long.select("*", F.row_number().over(w).alias("_k")).where(F.col("_k") <= 400)
+    top = _pair_firsts(table(spark, sf_dir, "lineitem"), 400)
     a = top.groupBy("src", "column_name").agg(
         F.count("*").alias("n"), F.count_distinct("value").alias("distinct_values"),
         F.avg(F.when(F.abs(F.col("value") - F.round("value")) < 1e-6, 1.0).otherwise(0.0)).alias("integer_share"))
