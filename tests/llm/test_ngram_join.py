@@ -148,3 +148,63 @@ def test_narrowed_groups_match_brute_force(docs_of, monkeypatch):
     texts += [" ".join(t.split()[k:]) for t in texts[::5] for k in (6, 12)]      # other sizes
     rows = list(enumerate(rng.sample(texts, len(texts))))
     assert result(docs_of(rows)) == brute(rows)
+
+
+def _joined_rows(df):
+    """Rows that each join of the plan made, after running it as planned."""
+    spark = df.sparkSession
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")       # it drops the joins of an empty result
+    df.collect()
+    spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+
+    def walk(node):
+        name, children = node.getClass().getSimpleName(), node.children()
+        own = [node.metrics().apply("numOutputRows").value()] if name.endswith("JoinExec") else []
+        return own + [n for i in range(children.size()) for n in walk(children.apply(i))]
+    return walk(df._jdf.queryExecution().executedPlan())
+
+
+def _far(rng, word, copies, changes, n=150):
+    """Copies of one text that link with nothing, each with evenly spread changed words."""
+    base = [word() for _ in range(n)]
+    texts = []
+    for i in range(copies):
+        w, many = list(base), changes[i % len(changes)]
+        for j in range(many):
+            w[n * j // many + rng.randrange(5, n // many - 5)] = word()
+        texts.append(" ".join(w))
+    return texts
+
+
+def test_far_copies_of_one_text_do_not_meet(docs_of, monkeypatch):
+    rng = random.Random(12)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    rows = list(enumerate(_far(rng, word, 300, (5, 6, 7))))
+    made, saved = [], ngram_join.saved
+
+    def counted(df, label):
+        if label == "qualified":
+            made.extend(_joined_rows(df))
+        return saved(df, label)
+    monkeypatch.setattr(ngram_join, "saved", counted)
+    assert result(docs_of(rows)) == brute(rows)
+    assert made and max(made) < 20 * len(rows)
+
+
+def test_common_and_rare_tokens_together_match_brute_force(docs_of, monkeypatch):
+    monkeypatch.setattr(ngram_join, "COMMON", 4)
+    rng = random.Random(21)
+    word = lambda: "".join(rng.choice("abcdef") for _ in range(3))
+    texts = []
+    for _ in range(6):
+        base = [word() for _ in range(rng.choice([12, 40, 70]))]
+        twists = [[word() for _ in range(6)] for _ in range(8)]     # passages that few members share
+        for _ in range(40):
+            w = list(base)
+            for twist in rng.sample(twists, rng.randrange(3)):
+                at = rng.randrange(len(w))
+                w[at:at + rng.randrange(7)] = twist
+            texts.append(" ".join(w[rng.randrange(4):len(w) - rng.randrange(4)]))
+    rows = list(enumerate(rng.sample(texts, len(texts))))
+    assert result(docs_of(rows)) == brute(rows)

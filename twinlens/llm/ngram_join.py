@@ -18,7 +18,12 @@ similarity of their sets reaches 3/4.  Equal sets are one set from the start.
 4. Bound: the tokens a query's prefix shares with a group's union must reach
    what a member of a fitting size would need.  Only qualifying groups are
    opened, and their fitting members compared with the query exactly.  Of two
-   groups the smaller one's sets are the queries.
+   groups the smaller one's sets are the queries.  A set with common tokens in its
+   prefix has all its rare ones before them, so two such sets share at most the
+   smaller one's common tokens and the rare ones that both prefixes hold.  Common
+   tokens bring together only sets that this lets reach the overlap they need, found
+   by their few kinds (size, common tokens): near copies of one text that lie too far
+   from each other never meet.
 5. Large groups (``LARGE`` sets or more) are narrowed before they are opened, over all
    tokens of their members and queries.  A query that links with the group's centre
    (its set of most verified links) belongs to it and is done.  The group's core are
@@ -231,23 +236,51 @@ def _with_groups(rows: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def _shared(rows: DataFrame) -> DataFrame:
-    """Rows (token, s) whose token occurs in two sets or more.  One exchange on the
-    token, of nothing but the two, serves both the count and the rows."""
-    rows = rows.select("token", "s").repartition("token")
+    """Rows (token, rare, s) whose token occurs in two sets or more.  One exchange on the
+    token, of nothing but these, serves both the count and the rows."""
+    rows = rows.select("token", "rare", "s").repartition("token")
     tokens = (rows.groupBy("token").agg(F.min("s").alias("lo"), F.max("s").alias("hi"))
               .where("lo <> hi").select("token"))
     return rows.join(tokens.hint("shuffle_hash"), "token")
 
 
 def _across(rows: DataFrame, sets: DataFrame, labels: DataFrame) -> DataFrame:
-    """Rows (token, s, n, g) whose token occurs in two groups or more."""
-    rows = _with_groups(rows.join(small(sets.select("s", "n")), "s"), labels).select("token", "s", "n", "g")
+    """Rows (token, rare, s, n, n_common, g) whose token occurs in two groups or more."""
+    rows = _with_groups(rows.join(small(sets.select("s", "n", "n_common")), "s"), labels)
+    rows = rows.select("token", "rare", "s", "n", "n_common", "g")
     rows = rows.distinct().repartition("token")
     tokens = (rows.groupBy("token").agg(F.min("g").alias("lo"), F.max("g").alias("hi"))
               .where("lo <> hi").select("token"))
     return rows.join(tokens.hint("shuffle_hash"), "token")
 
 
+def _meetings(across: DataFrame, size: DataFrame) -> DataFrame:
+    """Rows of a query (s, n, n_common, late: common tokens in its prefix, own group), a
+    larger group's union and a token of both, rare or not.  No row is missing of a rare
+    token, nor of sets that link without sharing one."""
+    sized = (across.join(size, "g", "left").withColumn("size", F.coalesce("size", F.lit(1)))
+             .withColumn("late", F.greatest(F.lit(0), F.col("n_common") - _rest(F.col("n")))))
+    union = sized.groupBy("token", "rare", "g").agg(
+        F.min("n").alias("n_lo"), F.max("n").alias("n_hi"), F.max("n_common").alias("common_hi"),
+        F.max("late").alias("late_hi"), F.min("size").alias("g_size"))
+    q = sized.withColumnsRenamed({"g": "own", "size": "own_size"})
+    smaller = (F.col("own_size") < F.col("g_size")) | ((F.col("own_size") == F.col("g_size")) & (F.col("own") < F.col("g")))
+    lo, hi = _range()
+    both = q.where("rare").join(union.where("rare").drop("rare"), "token").where(smaller & (lo <= hi))
+    q, union = q.where("NOT rare"), union.where("NOT rare").drop("rare")
+    kinds = (q.select("token", "n", "n_common").distinct()
+             .join(union.select("token", "n_lo", "n_hi", "common_hi").distinct(), "token")
+             .where((lo <= hi) & (F.least("n_common", "common_hi") >= F.ceil(F.lit(3) * (F.col("n") + lo) / 7))))
+    late = (q.join(kinds, ["token", "n", "n_common"]).join(union, ["token", "n_lo", "n_hi", "common_hi"]).where(smaller))
+    return both.unionByName(late.select(*both.columns))
+
+
+def _range() -> tuple[Column, Column]:
+    """Least and largest size of a member, from n_lo to n_hi, that fits n."""
+    n = F.col("n")
+    return F.greatest(F.col("n_lo"), F.ceil(n * 3 / 4)), F.least(F.col("n_hi"), F.floor(n * 4 / 3))
+
+
 def _few(df: DataFrame, label: str) -> DataFrame:
     """A table of groups, sets or their kinds, written as few files."""
     return saved(df.coalesce(max(1, lanes(df.sparkSession) // 16)), label)
@@ -304,7 +337,8 @@ def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K)
     rows = saved(shingled(docs, common_tokens(docs, k), k), "shingled")
     # any of a set's texts serves as its text: all have the same set
     sets = saved(rows.where("s IS NOT NULL").groupBy("s").agg(
-        F.min("n").alias("n"), F.min("text_key").alias("text_key"), F.min("doc_id").alias("first_id")), "sets")
+        F.min("n").alias("n"), F.min("text_key").alias("text_key"), F.min("doc_id").alias("first_id"),
+        F.max("n_common").alias("n_common")), "sets")
     new = rows.where("prefix IS NOT NULL")
 
     # groups around pivots: sets with the same least hash
@@ -320,7 +354,8 @@ def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K)
     labels = _labels(edges)
 
     # token-group matrix; every group's witness meets the token's first witness
-    shared = saved(_shared(new.select("s", F.explode("prefix").alias("token"))).distinct(), "shared")
+    placed = new.select("s", (F.col("n") - F.col("n_common")).alias("n_rare"), F.posexplode("prefix").alias("place", "token"))
+    shared = saved(_shared(placed.withColumn("rare", F.col("place") < F.col("n_rare"))).distinct(), "shared")
     matrix = saved(_across(shared, sets, labels).groupBy("token", "g").agg(F.min("s").alias("s")), "matrix")
     first = matrix.groupBy("token").agg(F.min("s").alias("b"))
     witness = (matrix.join(first, "token").where("s <> b").groupBy(F.col("s").alias("a"), "b")
@@ -334,17 +369,18 @@ def links(df: DataFrame, doc_id: str = "doc_id", text: str = "text", k: int = K)
     across = saved(_across(shared, sets, labels), "across")
     size = small(_with_groups(sets.select("s"), labels).groupBy("g").agg(F.count(F.lit(1)).alias("size"))
                  .where("size > 1"))
-    sized = across.join(size, "g", "left").withColumn("size", F.coalesce("size", F.lit(1)))
-    union = sized.groupBy("token", "g").agg(F.min("n").alias("n_lo"), F.max("n").alias("n_hi"),
-                                            F.min("size").alias("g_size"))
-    q = sized.withColumnsRenamed({"g": "own", "size": "own_size"})
-    lo, hi = F.greatest(F.col("n_lo"), F.ceil(F.col("n") * 3 / 4)), F.least(F.col("n_hi"), F.floor(F.col("n") * 4 / 3))
-    found = (q.join(union, "token")
-             .where((F.col("own_size") < F.col("g_size")) | ((F.col("own_size") == F.col("g_size")) & (F.col("own") < F.col("g"))))
-             .where(lo <= hi)
-             .groupBy("s", "n", "own", "g").agg(F.count(F.lit(1)).alias("common"), F.min("n_lo").alias("n_lo"),
-                                                F.max("n_hi").alias("n_hi"), F.min("g_size").alias("g_size")))
-    found = saved(found.where(F.col("common") >= _least_needed(F.col("n"), lo, hi)), "qualified")
+    found = (_meetings(across, size).groupBy("s", "n", "n_common", "late", "own", "g")
+             .agg(F.count_if("rare").alias("n_rare"), F.count_if(~F.col("rare")).alias("n_late"),
+                  F.min("n_lo").alias("n_lo"), F.max("n_hi").alias("n_hi"), F.max("common_hi").alias("common_hi"),
+                  F.max("late_hi").alias("late_hi"), F.min("g_size").alias("g_size")))
+    # sets that share rare tokens may miss rows of common ones: as many as both prefixes hold
+    most = F.col("n_rare") + F.least("late", "late_hi")
+    found = found.withColumn("common", F.when(F.col("n_rare") > 0, most).otherwise(F.col("n_late")))
+    (lo, hi), n = _range(), F.col("n")
+    needed, overlap = _least_needed(n, lo, hi), F.ceil(F.lit(3) * (n + lo) / 7)
+    reaches = (F.least("late", "late_hi") > 0) & (F.col("n_rare") + F.least("n_common", "common_hi") >= overlap)
+    found = found.where((F.col("n_rare") >= needed) | (reaches & (F.col("common") >= needed)))
+    found = saved(found.select("s", "n", "own", "g", "common", "g_size"), "qualified")
     large = found.where(F.col("g_size") >= LARGE)
     narrowed = None
     if large.limit(1).count():
